@@ -7,8 +7,13 @@ from importlib import import_module
 #: Query name: (module, SQL constant or None).
 _QUERIES = {
     "op3_token_counts": ("token_counts", None),
+    "op4_best_fit_packing": ("packing", None),
     "op5_near_dedup": ("near_dedup", "OP5_SQL"),
+    "op6_toxicity": ("toxicity", None),
+    "op7_quality": ("quality", None),
+    "op8_pii_surrogates": ("pii", None),
     "op9_decontaminate": ("decontaminate", "OP9_SQL"),
+    "op10_language_id": ("language_id", None),
 }
 
 

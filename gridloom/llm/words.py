@@ -11,12 +11,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.cluster import ship_package
 
 #: Bytes of text that are worked on at once (one longer document is a slice of its own).
 SLICE_BYTES = 1 << 20
+#: Rows of a slice at most, and of an Arrow batch that a Python worker gets.
+SLICE_ROWS = 2048
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -132,11 +134,20 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
     ends, i = np.cumsum(np.asarray(size, dtype=np.int64)), 0
     while i < batch.num_rows:
         base = ends[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        j = min(max(i + 1, int(np.searchsorted(ends, base + limit, side="right"))), i + SLICE_ROWS)
         yield batch.slice(i, j - i)
         i = j
 
 
+def prepare(spark: SparkSession) -> None:
+    """Batches of texts hold fewer rows than Spark's default, for the workers' memory."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > SLICE_ROWS:
+        spark.conf.set(name, SLICE_ROWS)
+
+
 def add_columns(
     df: DataFrame, text_col: str, out: dict[str, str], fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]
 ) -> DataFrame:
@@ -161,7 +172,7 @@ def add_columns(
                 cols = [*part.columns, *(pa.array(new[k], type=kinds[k]) if not isinstance(new[k], pa.Array) else new[k].cast(kinds[k]) for k in out)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, *out])
 
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -180,7 +191,7 @@ def emit_rows(df: DataFrame, text_col: str, schema: str, fn: Callable[[pa.Record
                 if new is not None:
                     yield pa.RecordBatch.from_arrays([new[f.name] if isinstance(new[f.name], pa.Array) else pa.array(new[f.name], type=f.type) for f in arrow], schema=arrow)
 
-    ship_package(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(run, kind)
 
 
