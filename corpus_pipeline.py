@@ -1,10 +1,75 @@
-"""A corpus from raw documents to packed training bins, in stages that are tables."""
+"""A corpus from raw documents to packed training bins.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read
+again as the next stage's docs. All stages but the last return the columns of `documents`:
+
+1. language_id: documents whose language can't be told (no text, no letter, or a posterior below
+   `LEAST_SCORE`) go. The model learns from the labelled rows of its input.
+2. near_dedup: of each group of linked texts the one with the smallest id stays.
+3. decontaminate: documents that hold a window of the benchmark go.
+4. pii: personal data gets surrogates; n_chars follows the new text.
+5. packing: the documents' pieces and their bins. Equal texts and equal sources don't share a bin.
+
+Null and empty texts go in the first stage; empty tables give empty results. SQL can express
+neither the first nor the last two stages, so the tests hold the pipeline against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import decontaminate, language_id, near_dedup, packing, pii
+from gridloom.llm.tables import shared_dir, small
+
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language_id.detect(docs, language_id.learn(docs.where(~language_id.held_out())))
+    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("hits") == 0).select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    new = pii.pseudonymise(docs)
+    changed = F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return new.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontamination_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order on the table `documents`, each written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark)}/gridloom/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

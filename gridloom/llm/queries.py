@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Query name: (module, SQL constant or None).
 _QUERIES = {
+    "op1_secrets": ("secrets", None),
+    "op2_substring_dedup": ("substring_dedup", "OP2_SQL"),
     "op3_token_counts": ("token_counts", None),
     "op4_best_fit_packing": ("packing", None),
     "op5_near_dedup": ("near_dedup", "OP5_SQL"),

@@ -117,6 +117,14 @@ def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def range_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hash of the sequence h[start:end] for each range; seeds give independent hashes."""
+    v = mix(h ^ _U(0xA0761D6478BD642F * (seed + 1) & (1 << 64) - 1))
+    c = np.zeros(len(v) + 1, dtype=_U)
+    np.cumsum(v * _power(_P, len(v)), dtype=_U, out=c[1:])
+    return mix((c[ends] - c[starts]) * _power(_P_INV, len(v) + 1)[starts] + (ends - starts).astype(_U))
+
+
 def full(doc: np.ndarray, n: int) -> np.ndarray:
     """Whether words i..i+n-1 are of one document."""
     m = max(0, len(doc) - n + 1)
