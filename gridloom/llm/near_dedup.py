@@ -1,19 +1,24 @@
 """Near-duplicate groups by bottom-k sketches of one hash function and exact Jaccard.
 
 A text's set is its distinct shingles of five lower-cased words. One 64-bit hash orders all
-shingles; its residues split the universe into `PARTS` parts, and the sketch keeps the
-`RETAINED` smallest values of each part (a bottom-k sketch of that part). Inverted lists hold
-the documents that retain the same values in a part: lists of single values would be as long as
-the most frequent passage. Two sets of similarity s meet in a list with probability
-1 - (1 - s**4)**40 or more, so a pair at the threshold 0.75 is missed once in 4 million.
+shingles; its residues split the universe into parts, and the sketch keeps the `RETAINED`
+smallest values of each part (a bottom-k sketch of that part). Inverted lists hold the documents
+that retain the same values in a part: lists of single values would be as long as the most
+frequent passage. Texts of 177 shingles or more have `PARTS` parts, and a pair of similarity s meets
+in a list with probability 1 - (1 - s**4)**40 or more; at the threshold 0.75 one in 4 million
+is missed. Shorter texts have parts of about four shingles and so many splits that there are
+`PARTS` lists too; their lists belong to a class of sizes, and each text is in the lists of its class
+and the next, so that any two sizes within the threshold share one.
 
 Exact copies are one class beforehand and never expanded. Within a list each class is compared
 with the list's smallest id; texts of compared classes give the estimate from the union of the two
 sketches, and where it isn't far below the threshold, the exact similarity of the full sets.
 Connected lists are done. Where a list still spans several components, the classes outside its
-main component are compared with all others of the list, unless the distances to the smallest
-id already exclude a link (Jaccard distance is a metric). So no pair of a list stays undecided
-between components, and a list of n near copies costs about n comparisons.
+main component are compared with all others of the list, unless something excludes a link for sure:
+the sizes, the distances to the smallest id (Jaccard distance is a metric), or the parities of
+the two sets' hash counts (each that differs stands for a shingle in one set alone). So no
+pair of a list stays undecided between components, and a list of n near copies costs about n
+comparisons.
 
 Null and empty texts and texts without words have no shingles and are linked with nothing. Rows
 with a null id take no part (their component is null) and are kept. Repeated rows (same id and
@@ -34,6 +39,8 @@ SHINGLE = 5
 #: Similarity of 75 / 100 or more.
 PERCENT = 75
 PARTS, RETAINED = 40, 4
+#: Class of sizes from which on all texts have PARTS parts; class c starts at (4/3)**c shingles.
+LARGEST = 18
 #: The estimate must lie so far below the threshold for a pair to be dropped without the exact
 #: similarity (over six standard errors of a sketch of 160 values).
 MARGIN = 0.25
@@ -67,10 +74,50 @@ def sketch(d: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     group = d * PARTS + part
     order = np.lexsort((v, group))
     group, v = group[order], v[order]
+    keep = _starts(group)[1] < RETAINED
+    return group[keep] // PARTS, group[keep] % PARTS, v[keep]
+
+
+def _starts(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index of each run of equal values, rank of each entry in its run)."""
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
-    rank = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
+    return first, np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
+
+
+def lists(d: np.ndarray, v: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, list) of the inverted lists that hold each document, by document."""
+    own = np.floor(np.log(np.maximum(size, 1)) / np.log(4 / 3) + 1e-9).astype(np.int64).clip(0, LARGEST)
+    docs, vals, groups = [], [], []
+    for c in range(int(own.max(initial=0)) + 2):
+        if c > LARGEST:
+            break
+        inside = (own == c) | (own == c - 1) if c < LARGEST else own >= c - 1
+        e = np.flatnonzero(inside[d] & (size[d] > 2))  # sets of one or two shingles have no partner but copies
+        if not len(e):
+            continue
+        parts = PARTS if c == LARGEST else max(2, round((4 / 3) ** c / RETAINED))
+        for split in range(-(-PARTS // parts)):
+            docs.append(d[e])
+            vals.append(v[e])
+            groups.append((c * 64 + split) * 64 + (mix(v[e] + np.uint64(split)) % np.uint64(parts)).astype(np.int64))
+    if not docs:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    doc, val, group = np.concatenate(docs), np.concatenate(vals), np.concatenate(groups)
+    key = doc * ((LARGEST + 1) * 64 * 64) + group
+    order = np.lexsort((val, key))
+    doc, val, group, key = doc[order], val[order], group[order], key[order]
+    _, rank = _starts(key)
     keep = rank < RETAINED
-    return group[keep] // PARTS, group[keep] % PARTS, v[keep]
+    doc, val, group, key, rank = doc[keep], val[keep], group[keep], key[keep], rank[keep]
+    first, _ = _starts(key)
+    return doc[first], mix(np.add.reduceat(mix(val + rank.astype(np.uint64)), first) + group[first].astype(np.uint64))
+
+
+def parities(d: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """For each document 256 bits (4 integers): the parities of its shingles' counts by hash."""
+    at = (mix(v ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(255)).astype(np.int64)
+    odd = (np.bincount(d * 256 + at, minlength=n * 256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, 4)
 
 
 def _describe(batch: pa.RecordBatch, text_col: str) -> dict[str, pa.Array]:
@@ -78,17 +125,13 @@ def _describe(batch: pa.RecordBatch, text_col: str) -> dict[str, pa.Array]:
     d, v = shingle_sets(column(batch, text_col))
     size = np.bincount(d, minlength=n)
     low, high = (_sums(d, x, n) for x in (v, mix(v ^ np.uint64(0x5851F42D4C957F2D))))
-    sd, sp, sv = sketch(d, v)
-    group = sd * PARTS + sp
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.empty(0, np.int64)
-    rank = np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
-    lists = mix(np.add.reduceat(mix(sv + rank.astype(np.uint64)), first) + sp[first].astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
-    offs = np.searchsorted(sd[first], np.arange(n + 1)).astype(np.int32)
+    doc, own = lists(d, v, size)
     return {
         "n_shingles": pa.array(size, pa.int64()),
         "low": pa.array(mix(low).view(np.int64)),
         "high": pa.array(mix(high).view(np.int64)),
-        "lists": pa.ListArray.from_arrays(pa.array(offs), pa.array(lists.view(np.int64))),
+        "odd": pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 4), pa.array(parities(d, v, n).ravel())),
+        "lists": pa.ListArray.from_arrays(pa.array(doc_bounds(doc, n).astype(np.int32)), pa.array(own.view(np.int64))),
     }
 
 
@@ -165,8 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id_col, n_shingles, component_id (smallest id of the group of
     linked texts, its own if it has no link) and kept (whether it is that id)."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = save(add_columns(base, "text", {"n_shingles": "bigint", "low": "bigint", "high": "bigint", "lists": "array<bigint>"}, lambda b: _describe(b, "text")).drop("text"), "sketches")
-    classes = rows.where("id IS NOT NULL AND n_shingles > 0").groupBy("low", "high").agg(F.min("id").alias("rep"), F.first("lists").alias("lists"))
+    rows = save(add_columns(base, "text", {"n_shingles": "bigint", "low": "bigint", "high": "bigint", "odd": "array<bigint>", "lists": "array<bigint>"}, lambda b: _describe(b, "text")).drop("text"), "sketches")
+    classes = rows.where("id IS NOT NULL AND n_shingles > 0").groupBy("low", "high").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("odd").alias("odd"), F.first("lists").alias("lists"))
     classes = save(classes, "classes")
 
     entries = classes.select("rep", F.explode("lists").alias("list"))
@@ -178,21 +221,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = linked & (100 * F.col("common") >= PERCENT * F.col("total"))
     comp = components(first.where(linked))
 
-    rest = _undecided(members, first, comp)
+    rest = _undecided(members, first, comp, classes.select("rep", "size", *[F.col("odd")[i].alias(f"o{i}") for i in range(4)]))
     if not rest.isEmpty():
         second = _compare(rest, base, "id", "text").where(linked)
         if not second.isEmpty():
             comp = components(first.where(linked).select("a", "b").unionByName(second.select("a", "b")))
-    ids = classes.drop("lists").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("component"))
-    out = rows.drop("lists").join(ids, ["low", "high"], "left")
+    ids = classes.select("low", "high", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("component"))
+    out = rows.drop("lists", "odd").join(ids, ["low", "high"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), own)
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
-def _undecided(members: DataFrame, compared: DataFrame, comp: DataFrame) -> DataFrame:
+def _undecided(members: DataFrame, compared: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of a list that the comparisons with its head leave in different components and
-    that the distances to the head don't exclude."""
+    that neither sizes nor parities nor the distances to the head exclude."""
     exact = F.col("total") > 0
     share = F.col("common") / F.greatest("total", F.lit(1))
     lo = F.when(exact, 1 - share).otherwise(-F.col("total") / 1e6)
@@ -202,12 +245,18 @@ def _undecided(members: DataFrame, compared: DataFrame, comp: DataFrame) -> Data
     span = m.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
     m = m.join(span, "list").join(known, ["head", "rep"], "left").fillna(0.0, ["lo", "hi"])  # the head itself: 0
     heads = comp.select(F.col("id").alias("head"), F.col("component").alias("main"))
-    m = save(m.join(heads, "head", "left").withColumn("main", F.coalesce("main", "head")).select("list", "rep", "component", "main", "lo", "hi"), "open")
-    x = m.where("component <> main").select("list", F.col("rep").alias("x"), F.col("component").alias("cx"), F.col("lo").alias("lx"), F.col("hi").alias("hx"))
-    y = m.select("list", F.col("rep").alias("y"), F.col("component").alias("cy"), "main", F.col("lo").alias("ly"), F.col("hi").alias("hy"))
+    own = ["list", "rep", "component", "main", "lo", "hi", "size", "o0", "o1", "o2", "o3"]
+    m = save(m.join(heads, "head", "left").withColumn("main", F.coalesce("main", "head")).join(sets, "rep").select(*own), "open")
+    x, y = m.where("component <> main").alias("x"), m.alias("y")
     most = 1 - PERCENT / 100 + 1e-9
-    near = (F.col("lx") - F.col("hy") <= most) & (F.col("ly") - F.col("hx") <= most)
-    pairs = x.join(y, "list").where((F.col("cx") != F.col("cy")) & near & ((F.col("x") < F.col("y")) | (F.col("cy") == F.col("main"))))
+    near = (F.col("x.lo") - F.col("y.hi") <= most) & (F.col("y.lo") - F.col("x.hi") <= most)
+    sizes = 100 * F.least("x.size", "y.size") >= PERCENT * F.greatest("x.size", "y.size")
+    alone = sum((F.bit_count(F.col(f"x.o{i}").bitwiseXOR(F.col(f"y.o{i}"))) for i in range(4)), F.lit(0))
+    # similarity s of sets with a and b members: (a + b) (1 - s) / (1 + s) members are in one alone
+    differ = alone * (100 + PERCENT) <= (100 - PERCENT) * (F.col("x.size") + F.col("y.size"))
+    once = (F.col("x.rep") < F.col("y.rep")) | (F.col("y.component") == F.col("y.main"))
+    pairs = x.join(y, F.col("x.list") == F.col("y.list")).where((F.col("x.component") != F.col("y.component")) & sizes & near & differ & once)
+    pairs = pairs.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return save(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "undecided")
 
