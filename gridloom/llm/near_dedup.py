@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = linked & (100 * F.col("common") >= PERCENT * F.col("total"))
     comp = components(first.where(linked))
 
-    rest = _undecided(members, first, comp, classes.select("rep", "size", *[F.col("odd")[i].alias(f"o{i}") for i in range(4)]))
+    rest = _undecided(members, first, comp, classes.select("rep", "size", "lists", *[F.col("odd")[i].alias(f"o{i}") for i in range(4)]))
     if not rest.isEmpty():
         second = _compare(rest, base, "id", "text").where(linked)
         if not second.isEmpty():
@@ -245,7 +245,7 @@ def _undecided(members: DataFrame, compared: DataFrame, comp: DataFrame, sets: D
     span = m.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
     m = m.join(span, "list").join(known, ["head", "rep"], "left").fillna(0.0, ["lo", "hi"])  # the head itself: 0
     heads = comp.select(F.col("id").alias("head"), F.col("component").alias("main"))
-    own = ["list", "rep", "component", "main", "lo", "hi", "size", "o0", "o1", "o2", "o3"]
+    own = ["list", "rep", "component", "main", "lo", "hi", "size", "lists", "o0", "o1", "o2", "o3"]
     m = save(m.join(heads, "head", "left").withColumn("main", F.coalesce("main", "head")).join(sets, "rep").select(*own), "open")
     x, y = m.where("component <> main").alias("x"), m.alias("y")
     most = 1 - PERCENT / 100 + 1e-9
@@ -255,7 +255,9 @@ def _undecided(members: DataFrame, compared: DataFrame, comp: DataFrame, sets: D
     # similarity s of sets with a and b members: (a + b) (1 - s) / (1 + s) members are in one alone
     differ = alone * (100 + PERCENT) <= (100 - PERCENT) * (F.col("x.size") + F.col("y.size"))
     once = (F.col("x.rep") < F.col("y.rep")) | (F.col("y.component") == F.col("y.main"))
-    pairs = x.join(y, F.col("x.list") == F.col("y.list")).where((F.col("x.component") != F.col("y.component")) & sizes & near & differ & once)
+    # near copies share most of their lists: a pair is taken from one of them
+    here = F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("x.list")
+    pairs = x.join(y, F.col("x.list") == F.col("y.list")).where((F.col("x.component") != F.col("y.component")) & sizes & near & differ & once & here)
     pairs = pairs.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return save(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "undecided")
