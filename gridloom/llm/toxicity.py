@@ -61,21 +61,24 @@ def word_features(own: Bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(texts: pa.Array, toxic: np.ndarray, share: float) -> tuple[np.ndarray, float]:
     """(weight of each bucket, intercept); `share` is the true share of toxic texts."""
-    docs, words, names, grams, done = [], [], [], [], 0
-    table = pa.record_batch([texts], names=["text"])
+    table, docs, words, done = pa.record_batch([texts], names=["text"]), [], [], 0
     for part in slices(table, "text"):
-        d, w, h, own = distinct_words(column(part, "text"))
-        gw, gb = word_features(own)
+        d, w, h, _ = distinct_words(column(part, "text"))
         docs.append(d + done)
         words.append(h[w])
-        names.append(h[gw])
-        grams.append(gb)
         done += part.num_rows
     doc, (vocabulary, word, df) = np.concatenate(docs), np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
-    pair = np.unique(np.searchsorted(vocabulary, np.concatenate(names)) * BUCKETS + np.concatenate(grams))
+    # features of each word once; words of one text alone say nothing of others
+    open_, pairs = vocabulary[df > 1], []
+    for part in slices(table, "text"):
+        _, _, h, own = distinct_words(column(part, "text"))
+        new = np.isin(h, open_)
+        open_ = open_[~np.isin(open_, h)]
+        gw, gb = word_features(own)
+        keep = new[gw]
+        pairs.append(np.unique(np.searchsorted(vocabulary, h)[gw[keep]] * BUCKETS + gb[keep]))
+    pair = np.concatenate(pairs)
     gw, gb = pair // BUCKETS, pair % BUCKETS
-    keep = df[gw] > 1  # words of one text alone say nothing of others
-    gw, gb = gw[keep], gb[keep]
     used, gb = np.unique(gb, return_inverse=True)
 
     def by_bucket(x: np.ndarray) -> np.ndarray:
