@@ -25,7 +25,8 @@ from gridloom.llm.words import LOWER, NOT_SPACE, Bytes, add_columns, byte_class,
 BUCKETS = 1 << 16
 #: Least mean log ratio (nats for each n-gram) of a text that is kept.
 THRESHOLD = -0.4
-SMOOTHING = 1.0
+#: Share of each multinomial that is spread evenly over all buckets.
+SMOOTHING = 0.1
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -61,11 +62,12 @@ def learn(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
 
     prepare(docs.sparkSession)
     got = rows.mapInArrow(run, "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.full(BUCKETS, SMOOTHING), np.full(BUCKETS, SMOOTHING)
-    at = got.column("bucket").to_numpy()
-    raw[at] += got.column("raw").to_numpy()
-    target[at] += got.column("target").to_numpy()
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    out, at = [], got.column("bucket").to_numpy()
+    for name in ("target", "raw"):
+        count = np.zeros(BUCKETS)
+        count[at] = got.column(name).to_numpy()
+        out.append(np.log((1 - SMOOTHING) * count / max(1.0, count.sum()) + SMOOTHING / BUCKETS))
+    return out[0] - out[1]
 
 
 def statistics(texts: pa.Array) -> dict[str, np.ndarray]:

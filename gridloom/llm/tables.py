@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a table of a few numeric columns is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 
 
@@ -29,7 +30,13 @@ def save(df: DataFrame, name: str) -> DataFrame:
     executor costs no more than the tasks that ran on it. `stored(df)` is the path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # what the write shuffled is of no use once the table stands
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
