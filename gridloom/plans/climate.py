@@ -21,7 +21,11 @@ def _(i):
     return heat.daily_statistics(i.hourly, (1995, 2001))
 
 
-@query("d03_leap_years", "SELECT year, CAST(max(dayofyear) AS INT) AS last_day, count(DISTINCT dayofyear) AS days FROM daily GROUP BY year")
+@query("d03_leap_years", """
+    WITH t AS (SELECT CAST(year(time - INTERVAL '1' MINUTE) AS INT) AS year, CAST(dayofyear(time - INTERVAL '1' MINUTE) AS INT) AS doy FROM hourly),
+    long AS (SELECT year, count(DISTINCT doy) > 365 AS leap FROM t GROUP BY year)
+    SELECT t.year, CAST(max(CASE WHEN leap AND doy > 60 THEN doy - 1 ELSE doy END) AS INT) AS last_day, count(DISTINCT CASE WHEN leap AND doy > 60 THEN doy - 1 ELSE doy END) AS days
+    FROM t JOIN long ON long.year = t.year WHERE t.year BETWEEN 1995 AND 2001 AND NOT (leap AND doy = 60) GROUP BY t.year""")
 def _(i):
     d = heat.daily_statistics(i.hourly, (1995, 2001), leap_from_data=True)
     return d.groupBy("year").agg(F.max("dayofyear").alias("last_day"), F.count_distinct("dayofyear").alias("days"))
@@ -164,12 +168,12 @@ def _rolling_sql(table: str, columns: str) -> str:
 _ROLLED = [f"{n}{s}" for s in range(1, 7) for n in ("PR", "PRET")]
 
 
-@query("e01_rolling_sums", _rolling_sql("annual_part", "row, col, year"))
+@query("e01_rolling_sums", _rolling_sql("annual_part", "row, col, year"), signed=tuple(_ROLLED))
 def _(i):
     return r6(climate.rolling_indices(i.annual_part).select("row", "col", "year", *_ROLLED), *_ROLLED)
 
 
-@query("e02_water_year_indices", _rolling_sql("annual", "row, col, year"))
+@query("e02_water_year_indices", _rolling_sql("annual", "row, col, year"), signed=tuple(_ROLLED))
 def _(i):
     return r6(climate.rolling_indices(climate.water_year(i.monthly)).select("row", "col", "year", *_ROLLED), *_ROLLED)
 
@@ -223,12 +227,12 @@ def _(i):
     return climate.index_suite(i.annual_part, (1995, 1999), (1998, 2001), spans=(1, 2, 3))
 
 
-@query("g03_suite_sums", "SELECT * FROM (" + _rolling_sql("annual", "row, col, year") + ") x WHERE year BETWEEN 1998 AND 2001")
+@query("g03_suite_sums", "SELECT * FROM (" + _rolling_sql("annual", "row, col, year") + ") x WHERE year BETWEEN 1998 AND 2001", signed=tuple(_ROLLED))
 def _(i):
     return r6(climate.index_suite(i.annual, (1995, 1999), (1998, 2001), names=("PR", "PRET")).select("row", "col", "year", *_ROLLED), *_ROLLED)
 
 
-@query("g04_spliced_sums", "WITH j AS (SELECT * FROM annual WHERE year BETWEEN 1996 AND 1998 UNION ALL SELECT row, col, year, ppt * 2 AS ppt, pet, tmn, tmx FROM annual WHERE year BETWEEN 1999 AND 2001) SELECT * FROM (" + _rolling_sql("j", "row, col, year") + ") x WHERE year BETWEEN 1999 AND 2001")
+@query("g04_spliced_sums", "WITH j AS (SELECT * FROM annual WHERE year BETWEEN 1996 AND 1998 UNION ALL SELECT row, col, year, ppt * 2 AS ppt, pet, tmn, tmx FROM annual WHERE year BETWEEN 1999 AND 2001) SELECT * FROM (" + _rolling_sql("j", "row, col, year") + ") x WHERE year BETWEEN 1999 AND 2001", signed=tuple(_ROLLED))
 def _(i):
     future = i.annual.withColumn("ppt", F.col("ppt") * 2)
     out = climate.index_suite(future, (1996, 1998), (1999, 2001), names=("PR", "PRET"), reference=i.annual)

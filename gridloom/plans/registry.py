@@ -28,13 +28,15 @@ class Inputs:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a function of Inputs; sql is over the shared views."""
+def query(name: str, sql: str | None = None, signed: tuple[str, ...] = ()):
+    """Registers a function of Inputs; sql is over the shared views. `signed` columns may round
+    to minus zero in DuckDB; Spark's round has no minus zero."""
 
     def add(fn: Callable[[Inputs], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
         if sql:
-            SQL[name] = for_duckdb(sql)
+            plain = ", ".join(f'CASE WHEN "{c}" = 0 THEN 0.0E0 ELSE "{c}" END AS "{c}"' for c in signed)
+            SQL[name] = f"SELECT * REPLACE ({plain}) FROM ({for_duckdb(sql)}) q" if signed else for_duckdb(sql)
         return fn
 
     return add

@@ -40,12 +40,12 @@ def _slope_sql(w: int) -> str:
                CASE WHEN n = {w * w} THEN round(CASE WHEN gx = 0 AND gy = 0 THEN 0 ELSE -gy / sqrt(gx * gx + gy * gy) END, 6) END AS northness FROM g"""
 
 
-@query("i02_slope_aspect", _slope_sql(9))
+@query("i02_slope_aspect", _slope_sql(9), signed=("eastness", "northness"))
 def _(i):
     return _metric(i, "slope", "eastness", "northness")
 
 
-@query("i02_slope_aspect_3x3", _slope_sql(3))
+@query("i02_slope_aspect_3x3", _slope_sql(3), signed=("eastness", "northness"))
 def _(i):
     return _metric(i, "slope", "eastness", "northness", w=3)
 
@@ -55,7 +55,7 @@ def _(i):
     return _metric(i, "vrm")
 
 
-@query("i04_position", f"SELECT c.row, c.col, round(any_value(c.elevation) - (sum(n.elevation) - any_value(c.elevation)) / (count(*) - 1), 6) AS tpi {_NEAR.format(r=4)} GROUP BY c.row, c.col")
+@query("i04_position", f"SELECT c.row, c.col, round(any_value(c.elevation) - (sum(n.elevation) - any_value(c.elevation)) / (count(*) - 1), 6) AS tpi {_NEAR.format(r=4)} GROUP BY c.row, c.col", signed=("tpi",))
 def _(i):
     return _metric(i, "tpi")
 
@@ -74,7 +74,7 @@ def _(i):
 
 @query("i07_deviation", """
     SELECT c.row, c.col, round((any_value(c.elevation) - avg(n.elevation)) / (max(n.elevation) - min(n.elevation)), 6) AS dmv
-    FROM dem c JOIN dem n ON n.row BETWEEN c.row - 9 AND c.row + 9 AND n.col BETWEEN c.col - 9 AND c.col + 9 AND (n.row - c.row) * (n.row - c.row) + (n.col - c.col) * (n.col - c.col) <= 81 GROUP BY c.row, c.col""")
+    FROM dem c JOIN dem n ON n.row BETWEEN c.row - 9 AND c.row + 9 AND n.col BETWEEN c.col - 9 AND c.col + 9 AND (n.row - c.row) * (n.row - c.row) + (n.col - c.col) * (n.col - c.col) <= 81 GROUP BY c.row, c.col""", signed=("dmv",))
 def _(i):
     return _metric(i, "dmv")
 
@@ -90,7 +90,7 @@ def _(i):
 
 @query("i09_terrain_on_grid", f"""
     WITH t AS (SELECT c.row, c.col, round(any_value(c.elevation) - (sum(n.elevation) - any_value(c.elevation)) / (count(*) - 1), 6) AS tpi {_NEAR.format(r=4)} GROUP BY c.row, c.col)
-    SELECT d.row, d.col, d.year, t.tpi, e.elevation FROM annual d LEFT JOIN t ON t.row = d.row * 2 + 1 AND t.col = d.col * 2 + 1 LEFT JOIN dem e ON e.row = d.row * 2 + 1 AND e.col = d.col * 2 + 1""")
+    SELECT d.row, d.col, d.year, t.tpi, e.elevation FROM annual d LEFT JOIN t ON t.row = d.row * 2 + 1 AND t.col = d.col * 2 + 1 LEFT JOIN dem e ON e.row = d.row * 2 + 1 AND e.col = d.col * 2 + 1""", signed=("tpi",))
 def _(i):
     made = _metric(i, "tpi").join(i.dem, ["row", "col"])
     target = i.annual.select("row", "col", "year", ((F.col("col") * 2 + 1.5) * 270.0).alias("easting"), (-(F.col("row") * 2 + 1.5) * 270.0).alias("northing"))
