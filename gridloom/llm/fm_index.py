@@ -54,9 +54,15 @@ class FMIndex:
         both = self.ranks(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         return self.first[symbol] + both[: len(low)], self.first[symbol] + both[len(low) :]
 
-    def find(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of the patterns text[s : s + length]; empty ones do not occur."""
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.suffixes), np.int64)
-        for k in range(length - 1, -1, -1):
-            low, high = self.extend(low, high, text[starts + k])
+    def find(self, text: np.ndarray, starts: np.ndarray, length: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix ranges of the patterns text[s : s + length]. A search ends as soon as fewer than
+        `least` suffixes are left; such patterns, and those that do not occur, have empty ranges."""
+        last = text[starts + length - 1]
+        low, high = self.first[last], self.first[last + 1]
+        on = np.arange(len(starts))
+        for k in range(length - 2, -1, -1):
+            on = on[high[on] - low[on] >= least]
+            low[on], high[on] = self.extend(low[on], high[on], text[starts[on] + k])
+        short = high - low < least
+        high[short] = low[short]
         return low, high

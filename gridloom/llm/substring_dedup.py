@@ -107,16 +107,18 @@ def search_shard(ids: np.ndarray, words: pa.Array) -> list[np.ndarray]:
     text[place] = symbol + 1
     owner = np.zeros(len(text), np.int64)
     owner[place] = ids[seg]
-    index = FMIndex(text, WINDOW)
+    index = FMIndex(text, WINDOW)  # it ends with a separator, which no window holds
     at = place[: max(0, len(seg) - WINDOW + 1)][full(seg, WINDOW)]
-    low, high = index.find(text, at, WINDOW)
-    by_suffix = np.append(owner[index.suffixes], np.iinfo(np.int64).max)
-    uniq, back = np.unique(low, return_inverse=True)
-    stop = np.zeros(len(uniq), np.int64)
-    stop[back] = high
-    least = np.minimum.reduceat(by_suffix, np.column_stack([uniq, stop]).ravel())[::2] if len(uniq) else uniq
+    low, high = index.find(text, at, WINDOW, least=2)
+    values = owner[at]  # of windows that occur once
+    twice = np.flatnonzero(high > low)
+    if len(twice):
+        uniq, back = np.unique(low[twice], return_inverse=True)
+        stop = np.zeros(len(uniq), np.int64)
+        stop[back] = high[twice]
+        by_suffix = np.append(owner[index.suffixes], np.iinfo(np.int64).max)
+        values[twice] = np.minimum.reduceat(by_suffix, np.column_stack([uniq, stop]).ravel())[::2][back]
     of = np.searchsorted(seg[: max(0, len(seg) - WINDOW + 1)][full(seg, WINDOW)], np.arange(b.n + 1))
-    values = least[back]
     return [values[of[i] : of[i + 1]] for i in range(b.n)]
 
 
