@@ -4,7 +4,7 @@ A text's features are the 3- to 5-byte n-grams inside its distinct words (A-Z lo
 space before and after), hashed into `BUCKETS` buckets; a word counts once however often it stands. Each feature
 is scaled by the log ratio of its smoothed frequencies in toxic and clean texts, and a logistic
 regression is fitted to the scaled features. The score of a text is a sum over its distinct words, so
-a word that repeats in a slice of a batch is computed once.
+a task computes a word once and looks it up from then on.
 
 The classifier is fitted on at most `PER_CLASS` labelled texts of each class, those with the
 smallest hash of the id; its intercept is then moved to the classes' true shares. Null and
@@ -14,19 +14,23 @@ Labels whose id no document has, or that are null, are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.tables import small
-from gridloom.llm.words import LOWER, Bytes, add_columns, byte_class, column, slices
+from gridloom.llm.words import LOWER, Bytes, Table, add_columns, byte_class, column, slices
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 #: Bound of the training sample: labelled texts of each class.
 PER_CLASS = 2500
 SMOOTHING, DECAY, STEPS, RATE = 1.0, 0.03, 200, 0.04
+#: Words whose score a task keeps; when they are more, it starts anew.
+STORE = 1_000_000
 WORD = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
 
@@ -117,19 +121,56 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(rows.column("text").combine_chunks(), toxic, count[1] / (count[0] + count[1]))
 
 
+class WordScores:
+    """Scores of words by their hash, computed once: a large table and a small list of newer words."""
+
+    def __init__(self, weight: np.ndarray):
+        self.weight = weight
+        self.known, self.scores = np.empty(0, np.uint64), np.empty(0)
+        self.table = Table(self.known, np.empty(0, np.int32))
+        self.tabled = 0
+
+    def get(self, h: np.ndarray, own: Bytes) -> np.ndarray:
+        """Scores of the words with hashes h (sorted, distinct), whose bytes are `own`."""
+        if len(self.known) > STORE:
+            self.__init__(self.weight)
+        at = self.table.get(h)
+        missing = np.flatnonzero(at < 0)
+        out = np.where(at >= 0, self.scores[at] if len(self.scores) else 0.0, 0.0)
+        if len(missing):
+            part = Bytes(pa.array([], pa.binary()))
+            size = np.diff(own.offs)[missing]
+            part.n, part.offs = len(missing), np.concatenate([[0], np.cumsum(size)])
+            within = np.arange(size.sum()) - np.repeat(part.offs[:-1], size)
+            part.raw = part.data = own.data[np.repeat(own.offs[missing], size) + within]
+            gw, gb = word_features(part)
+            pair = np.unique(gw * BUCKETS + gb)  # an n-gram counts once in a word
+            out[missing] = np.bincount(pair // BUCKETS, weights=self.weight[pair % BUCKETS], minlength=len(missing))
+            self.known, self.scores = np.concatenate([self.known, h[missing]]), np.concatenate([self.scores, out[missing]])
+            if len(self.known) > 1.25 * self.tabled + 20_000:
+                self.known, first = np.unique(self.known, return_index=True)
+                self.scores = self.scores[first]
+                self.table, self.tabled = Table(self.known, np.arange(len(self.known), dtype=np.int32)), len(self.known)
+        return out
+
+
+_stores: dict[str, WordScores] = {}
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on); columns with these names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex  # of this model, for the workers' stores
 
     def fn(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         if shared.value is None:
             return {"score": np.zeros(batch.num_rows), "predicted": np.zeros(batch.num_rows, np.int32)}
         weight, b = shared.value
+        if name not in _own_stores():
+            _own_stores().clear()
+            _own_stores()[name] = WordScores(weight)
         doc, word, h, own = distinct_words(column(batch, text_col))
-        gw, gb = word_features(own)
-        # an n-gram counts once in a word
-        pair = np.unique(gw * BUCKETS + gb)
-        each = np.bincount(pair // BUCKETS, weights=weight[pair % BUCKETS], minlength=len(h))
+        each = _own_stores()[name].get(h, own)
         z = b + np.bincount(doc, weights=each[word], minlength=batch.num_rows)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         return {"score": p, "predicted": (p >= 0.5).astype(np.int32)}
@@ -137,6 +178,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str
     return add_columns(docs, text_col, {"score": "double", "predicted": "int"}, fn)
 
 
+def _own_stores() -> dict[str, WordScores]:
+    """The stores of this worker process."""
+    return _stores
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows whose labels aren't learnt from: crc32 of the id as text is 0 modulo 5."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
