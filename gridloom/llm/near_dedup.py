@@ -22,11 +22,13 @@ comparisons.
 
 Null and empty texts and texts without words have no shingles and are linked with nothing. Rows
 with a null id take no part (their component is null) and are kept. Repeated rows (same id and
-text) have the same result. Columns of the input other than the id and the text aren't read.
+text) have the same result. Columns of the input other than the id, the text and those to be carried along aren't read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -204,11 +206,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", "component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (smallest id of the group of
-    linked texts, its own if it has no link) and kept (whether it is that id)."""
+    linked texts, its own if it has no link), kept (whether it is that id) and the columns `carry`."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = save(add_columns(base, "text", {"n_shingles": "bigint", "low": "bigint", "high": "bigint", "odd": "array<bigint>", "lists": "array<bigint>"}, lambda b: _describe(b, "text")).drop("text"), "sketches")
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    rows = save(add_columns(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried), "text", {"n_shingles": "bigint", "low": "bigint", "high": "bigint", "odd": "array<bigint>", "lists": "array<bigint>"}, lambda b: _describe(b, "text")).drop("text"), "sketches")
     classes = rows.where("id IS NOT NULL AND n_shingles > 0").groupBy("low", "high").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("odd").alias("odd"), F.first("lists").alias("lists"))
     classes = save(classes, "classes")
 
@@ -230,7 +233,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = rows.drop("lists", "odd").join(ids, ["low", "high"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), own)
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"), *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def _undecided(members: DataFrame, compared: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:

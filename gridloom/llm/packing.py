@@ -7,8 +7,12 @@ source nor its cluster; the search continues from residual to residual until suc
 found, else a new bin is opened. A document longer than a bin is cut into pieces, all but the
 last of a bin's size.
 
+A duplicate cluster is a group of linked near copies (`near_dedup`: exact copies too), whatever their
+sources. Texts without words link with nothing; of them, equal texts are a cluster.
+
 Documents are dealt by a hash of their id into groups of about `GROUP` and each group is packed by
-one task, so bins never span groups; each group leaves a few bins partly empty. One source or
+one task, so bins never span groups: a document goes to the tightest compatible bin of its group,
+not of the table, and each group leaves a few bins partly empty. One source or
 cluster may hold any share of the rows: its documents are spread over all groups.
 
 Null and empty texts have length 0 and are placed like others; a null source or cluster
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.cluster import ship_package
+from gridloom.llm.near_dedup import near_duplicates
 
 #: Bytes of UTF-8 in a bin, and documents of a group.
 CAPACITY = 16_384
@@ -61,19 +66,25 @@ def _dense(values: list) -> list[int | None]:
     return [None if v is None else number.setdefault(v, len(number)) for v in values]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", cluster_col: str | None = None, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", cluster_col: str | None = None, capacity: int = CAPACITY, group: int = GROUP, near: bool = False) -> DataFrame:
     """One row per piece of a document: id_col, piece (from 0), start and length (bytes of the
     text), bin_id and position (order of placement in the bin). Without cluster_col, equal
-    texts are a cluster."""
+    texts are a cluster; with `near`, linked near copies are one (instead of cluster_col)."""
     if capacity < 1:
         raise ValueError("a bin must hold at least one byte")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(
+    base_columns = [
         F.col(id_col).alias("id"),
         F.octet_length(text).cast("long").alias("size"),
         (F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")).alias("source"),
         (F.when(F.col(cluster_col).isNotNull(), F.xxhash64(F.col(cluster_col))) if cluster_col else F.when(text != "", F.xxhash64(text))).alias("cluster"),
-    )
+    ]
+    base = docs.select(*base_columns)
+    if near:
+        # the key is of row and text, so that a null id or an id with two texts has its clusters too
+        keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"), F.struct(*base_columns).alias("doc"))
+        found = near_duplicates(keyed, "key", "text", ["doc"])
+        base = found.select("doc.id", "doc.size", "doc.source", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc.cluster")).alias("cluster"))
     groups = max(1, -(-docs.count() // group))
     pieces = base.selectExpr("*", f"explode(sequence(0L, (greatest(size, 1L) - 1) div {capacity})) AS piece")
     pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("length", F.least(F.col("size") - F.col("start"), F.lit(capacity).cast("long")))
@@ -101,4 +112,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), near=True)

@@ -225,6 +225,27 @@ def test_packing(spark, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(20):
+        words = text(rng, 80).split()
+        for j in range(4):
+            words[40] = f"changed{j}"
+            rows.append((None if j == 3 else 10 * k + j, " ".join(words), f"s{j}", k))
+    rows += [(1000, " \n ", "s0", 90), (1001, " \n ", "s1", 90), (1002, "", "s2", None), (10, text(rng, 30), "s3", 91)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, k long")
+    df.drop("k").write.parquet(f"{tmp_path}/documents.parquet")
+    got = packing.op4_best_fit_packing(spark, str(tmp_path)).toPandas()
+    assert len(got) == len(rows) and got.bin_id.nunique() < 30
+    groups = {(i, len((t or "").encode())): k for i, t, _, k in rows if i is not None}
+    known = got.dropna(subset=["doc_id"])
+    known = known.assign(k=[groups[int(i), n] for i, n in zip(known.doc_id, known.length, strict=True)]).dropna(subset=["k"])
+    assert not known.duplicated(["bin_id", "k"]).any()
+    apart = [packing.pack(df.where(f"k = {k}"), near=True).select("bin_id").distinct().count() for k in (0, 1)]
+    assert apart == [4, 4]  # the null id among them
+
+
 # --- 5 near duplicates
 
 
