@@ -40,15 +40,15 @@ def _(i):
 
 @query("h02_fold_grid")
 def _(i):
-    t = _training(i).withColumn("fold", F.col("fold") % 2)
-    found, _ = models.fold_grid(t, features.feature_columns(t), trees=5, threads=2)
+    t = _training(i)
+    found, _ = models.fold_grid(t, features.feature_columns(t))
     return r6(evaluate.performance_matrix(found), "r2", "rmse")
 
 
 @query("h02_importances")
 def _(i):
-    t = _training(i).withColumn("fold", F.col("fold") % 2)
-    _, importances = models.fold_grid(t, features.feature_columns(t), trees=5, threads=2)
+    t = _training(i)
+    _, importances = models.fold_grid(t, features.feature_columns(t))
     return importances
 
 

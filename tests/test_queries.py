@@ -45,3 +45,19 @@ def test_lags_and_rolling_share_one_shuffle(spark):
     plan = queries.queries()["c04_lags"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert plan.count("Exchange hashpartitioning") == 2  # the view's aggregate, and the frames' cells
+
+
+@pytest.mark.parametrize("name", ["h02_fold_grid", "h02_importances"])
+def test_fold_grid_queries_use_all_folds_and_trees(spark, monkeypatch, name):
+    from gridloom.plans import models
+
+    class Called(Exception):
+        pass
+
+    def fold_grid(table, features, **options):
+        raise Called({r.fold for r in table.select("fold").distinct().collect()}, options)
+
+    monkeypatch.setattr(models.models, "fold_grid", fold_grid)
+    with pytest.raises(Called) as found:
+        queries.queries()[name](spark, SF)
+    assert found.value.args == ({0, 1, 2}, {})
