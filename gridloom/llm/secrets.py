@@ -213,7 +213,7 @@ def _weak_labels(tokens: Tokens, texts: list[str]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, text_col: str = "text", lines: int = TRAIN_LINES) -> Field | None:
-    """The field, from at most `lines` lines of docs, half of them with a match."""
+    """The field, from at most `lines` different lines of docs of at most 400 tokens, half of them with a match."""
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
         texts = column(batch, "text")
@@ -238,7 +238,8 @@ def learn(docs: DataFrame, text_col: str = "text", lines: int = TRAIN_LINES) ->
 
     rows = save(emit_rows(docs.select(F.col(text_col).alias("text")), "text", "hit boolean, ord bigint, x binary, y binary", fn), "lines")
     order = ["ord", "x", "y"]
-    sample = rows.where("hit").orderBy(*order).limit(lines // 2).unionByName(rows.where("NOT hit").orderBy(*order).limit(lines // 2)).toArrow()
+    different = rows.distinct()  # a copied line counts once
+    sample = different.where("hit").orderBy(*order).limit(lines // 2).unionByName(different.where("NOT hit").orderBy(*order).limit(lines // 2)).toArrow()
     drop(rows)
     got = [(np.frombuffer(x, np.int16).reshape(-1, 6).astype(np.int64), np.frombuffer(y, np.int8).astype(np.int64)) for x, y in zip(sample.column("x").to_pylist(), sample.column("y").to_pylist(), strict=True)]
     return fit(got) if any(y.any() for _, y in got) else None

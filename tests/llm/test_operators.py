@@ -113,6 +113,13 @@ def test_field_finds_what_the_patterns_do_not(spark):
     assert [s.kind for s in got[0].secrets] == ["crf"] and got[1].secrets == []
 
 
+def test_copied_lines_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "fit", lambda lines: lines)
+    rows = [(f"api_key = {k:016x}{k:016x} of it" + " word" * k,) for k in range(8) for _ in range(30)]
+    sample = secrets.learn(spark.createDataFrame(rows, "text string"), lines=16)
+    assert len({len(y) for _, y in sample}) == len(sample) == 8
+
+
 # --- 2 substring deduplication
 
 
