@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.functions.sized import small
+
 
 @dataclass(frozen=True)
 class GridSpec:
@@ -74,7 +76,7 @@ def shuffled_folds(cells: DataFrame, seed: int = 0, slices: int = 64) -> DataFra
         sizes = df.groupBy(*part).count()
         before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
         own = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-        return df.withColumn("own", own).join(F.broadcast(before), part).withColumn(name, F.col("own") + F.col("before"))
+        return df.withColumn("own", own).join(small(before), part).withColumn(name, F.col("own") + F.col("before"))
 
     by_hash = numbered(c, ["slice"], ["h", "id"], "n").select("id", "n")
     by_fold = numbered(c, ["fold", "slice"], ["id"], "n").select("fold", "n")

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.grid import rounded
+from gridloom.functions.sized import small
+
 
 def key_differences(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that only one side has, with the column `side`."""
@@ -23,10 +26,37 @@ def exact_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
     return left.join(right, list(keys))
 
 
+def positional_join(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("row", "col")) -> DataFrame:
+    """Inner join by position; of columns that both have besides, the left one's stay."""
+    return left.join(right.drop(*[c for c in right.columns if c in left.columns and c not in keys]), list(keys))
+
+
+def spatial_join(left: DataFrame, right: DataFrame, also: Sequence[str] = (), x: str = "easting", y: str = "northing", places: int = 4) -> DataFrame:
+    """Inner join on coordinates that are equal when rounded (ties to even), and on the columns
+    `also`; static tables have no year among these. Coordinates and other shared columns are the
+    left one's. A row without coordinates meets none."""
+    keys = [f"__{x}", f"__{y}"]
+    a, b = (d.withColumns({keys[0]: rounded(F.col(x), places), keys[1]: rounded(F.col(y), places)}) for d in (left, right))
+    return positional_join(a, b, [*keys, *also]).drop(*keys)
+
+
+def variable_files(files: Sequence[tuple[DataFrame, Sequence[int], str, str]], keys: Sequence[str] = ("row", "col")) -> DataFrame:
+    """One table of files that hold one variable each: (bands, the years of the file's bands,
+    the value's name there, its new name); all must have the same cells and years."""
+    out = None
+    for bands, years, value, name in files:
+        one = bands_to_years(bands.select(*keys, "band", value), years, value, name)
+        out = one if out is None else exact_join(out, one, [*keys, "year"])
+    if out is None:
+        raise ValueError("a table needs a file")
+    return out
+
+
 def missing_pairs(present: DataFrame, first: str, second: str) -> DataFrame:
-    """Pairs of known values of two columns that do not occur together."""
+    """Pairs of known values of two columns that do not occur together (a null is no value)."""
     pairs = present.select(first, second).distinct()
-    return pairs.select(first).distinct().crossJoin(F.broadcast(pairs.select(second).distinct())).join(pairs, [first, second], "left_anti")
+    every = pairs.select(second).where(F.col(second).isNotNull()).distinct()
+    return pairs.select(first).where(F.col(first).isNotNull()).distinct().join(small(every), how="cross").join(pairs, [first, second], "left_anti")
 
 
 def require_complete(present: DataFrame, first: str, second: str) -> None:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.missing import poison, statistic
+from gridloom.functions.sized import small
+from gridloom.operators.select import year_range
 
 #: How each monthly variable becomes an annual one.
 WATER_YEAR = {v: "sum" for v in ("aet", "cwd", "pck", "pet", "ppt", "rch", "run", "str")} | {"tmn": "min", "tmx": "max"}
@@ -41,7 +43,7 @@ def with_year_index(annual: DataFrame, year: str = "year") -> DataFrame:
     """annual with year_index: the rank of the year among all years of the table (a small
     table), so that frames over it count a cell's absent years as missing ones."""
     years = annual.select(year).distinct().withColumn("year_index", F.row_number().over(Window.orderBy(year)))
-    return annual.join(F.broadcast(years), year)
+    return annual.join(small(years), year)
 
 
 def rolling_sum(value: Column, span: int, keys: Sequence[str], order: str = "year_index") -> Column:
@@ -62,7 +64,7 @@ def rolling_indices(annual: DataFrame, spans: Sequence[int] = SPANS, keys: Seque
 
 def splice(reference: DataFrame, focal: DataFrame, reference_years: tuple[int, int], focal_years: tuple[int, int], keys: Sequence[str] = ("row", "col")) -> DataFrame:
     """Reference years of one table before focal years of another, for cells that both have."""
-    ref, foc = (d.where(F.col("year").between(*y)) for d, y in ((reference, reference_years), (focal, focal_years)))
+    ref, foc = (year_range(d, *y) for d, y in ((reference, reference_years), (focal, focal_years)))
     cells = list(keys)
     return ref.join(foc.select(*cells).distinct(), cells, "left_semi").unionByName(foc.join(ref.select(*cells).distinct(), cells, "left_semi"))
 
@@ -84,7 +86,7 @@ def index_suite(annual: DataFrame, reference_years: tuple[int, int], focal_years
     original = annual.columns
     base = [n for n, needs in (("PR", {"PR", "SPI"}), ("PRET", {"PRET", "SPEI"})) if needs & set(names)]
     df = rolling_indices(annual, spans, keys, base)
-    focal = df.where(F.col("year").between(*focal_years))
+    focal = year_range(df, *focal_years)
     for name, source, kind in (("SPI", "PR", "gamma"), ("SPEI", "PRET", "shifted_gamma")):
         if name in names:
             focal = standardised(df, focal, {f"{source}{s}": f"{name}{s}" for s in spans}, reference_years, kind, keys)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.names import feature_parts
+from gridloom.functions.sized import small
 
 PAIR = ("train_year", "eval_year")
 
@@ -19,7 +20,7 @@ def split_membership(samples: DataFrame) -> DataFrame:
     size = samples.groupBy("year", "fold").count()
     by_year = size.groupBy("year").agg(F.sum("count").alias("in_year"))
     by_fold = size.groupBy("fold").agg(F.sum("count").alias("n_test"))
-    splits = by_year.crossJoin(F.broadcast(by_fold))
+    splits = by_year.join(small(by_fold), how="cross")
     own = splits.join(size, ["year", "fold"], "left")
     return own.select("year", "fold", (F.col("in_year") - F.coalesce("count", F.lit(0))).alias("n_train"), "n_test")
 
@@ -28,7 +29,7 @@ def dense_predictions(predictions: DataFrame) -> DataFrame:
     """(train_year, eval_year, id) for all combinations of known values, absent ones as 0. For
     small tables; `performance_matrix` counts absent ones without making them."""
     train, evals, ids = (predictions.select(c).distinct() for c in ("train_year", "eval_year", "id"))
-    frame = ids.crossJoin(F.broadcast(train)).crossJoin(F.broadcast(evals))
+    frame = ids.join(small(train), how="cross").join(small(evals), how="cross")
     both = frame.join(predictions, [*PAIR, "id"], "left")
     return both.select(*PAIR, "id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("prediction", "target")])
 
@@ -40,7 +41,7 @@ def performance_matrix(predictions: DataFrame, dense: bool = False, keys: Sequen
     g = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum((t - p) * (t - p)).alias("sse"), F.sum(t).alias("st"), F.sum(t * t).alias("stt"))
     if dense:
         n_ids = predictions.select("id").distinct().agg(F.count("id").alias("n_ids"))
-        g = g.crossJoin(F.broadcast(n_ids)).withColumn("n", F.col("n_ids")).drop("n_ids")
+        g = g.join(F.broadcast(n_ids), how="cross").withColumn("n", F.col("n_ids")).drop("n_ids")
     around = F.col("stt") - F.col("st") * F.col("st") / F.col("n")
     flat = around <= 1e-9 * F.greatest(F.col("stt"), F.lit(1e-300))
     r2 = F.when(flat, F.when(F.col("sse") == 0, 1.0).otherwise(0.0)).otherwise(1 - F.col("sse") / around)
@@ -97,8 +98,18 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return both.withColumn("cumulative_share", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy()))
 
 
-def systematic_sample(predictions: DataFrame, step: int = 1000) -> DataFrame:
-    """Every step-th id of each model's own year, with the largest value of the year's sample as limit."""
-    w = Window.partitionBy("train_year").orderBy("id")
-    own = predictions.where("train_year = eval_year").withColumn("__n", F.row_number().over(w) - 1).where(F.col("__n") % step == 0).drop("__n")
+def systematic_sample(predictions: DataFrame, step: int = 1000, slices: int = 256) -> DataFrame:
+    """Every step-th id of each model's own year, with the largest value of the year's sample as limit.
+
+    Ids are numbered within slices of their range, plus the sizes of the slices before: no task
+    sorts all ids of a year. Equal ids follow one another in no order of their own."""
+    own = predictions.where("train_year = eval_year")
+    span = own.groupBy("train_year").agg(F.min("id").alias("__lo"), F.max("id").alias("__hi"))
+    at = F.floor((F.col("id") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * slices)
+    own = own.join(small(span), "train_year").withColumn("__slice", at).drop("__lo", "__hi")
+    upto = Window.partitionBy("train_year").orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = own.groupBy("train_year", "__slice").count().select("train_year", "__slice", (F.sum("count").over(upto) - F.col("count")).alias("__before"))
+    w = Window.partitionBy("train_year", "__slice").orderBy("id")
+    numbered = own.withColumn("__n", F.row_number().over(w) - 1).join(small(sizes), ["train_year", "__slice"])
+    own = numbered.where((F.col("__n") + F.col("__before")) % step == 0).drop("__n", "__slice", "__before")
     return own.withColumn("limit", F.max(F.greatest("prediction", "target")).over(Window.partitionBy("train_year")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.align import lagged
+from gridloom.operators.select import present_samples
 
 #: Severity codes 0 to 5 as percentages, the midpoints and ranges of their classes.
 MIDPOINTS = (None, 2.0, 6.5, 20.0, 40.0, 75.0)
@@ -41,8 +42,28 @@ def training_table(
     cells = wanted.select(*k).distinct()
     c = lagged(climate.join(cells, k, "left_semi").select(*k, "year", *indices), indices, lags, k).drop(*indices)
     h = lagged(heat.join(cells, k, "left_semi").select(*k, "year", heat_column), [heat_column], lags, k).drop(heat_column)
-    t = topo.select(*k, *topo_columns).dropna(subset=list(topo_columns))
-    return wanted.join(c, [*k, "year"]).join(h, [*k, "year"]).join(t, k)
+    joined = wanted.join(c, [*k, "year"]).join(h, [*k, "year"]).join(topo.select(*k, *topo_columns), k)
+    return present_samples(joined, "target", topo_columns)
+
+
+def by_name(yearly: DataFrame, static: DataFrame, names: Sequence[str], years: tuple[int, int], keys: Sequence[str] = ("row", "col")) -> DataFrame:
+    """(keys, year, names): the features that a model's configuration names, for the years
+    [start, end). {column}-{lag} is a yearly column so many years back less one, other names are
+    columns of the static table (terrain, coordinates). A value that isn't there is missing; a
+    name that neither table can give is an error."""
+    k, lags, plain = list(keys), {}, []
+    for n in names:
+        base, _, lag = n.rpartition("-")
+        if lag.isdigit() and int(lag) > 0 and base in yearly.columns:
+            lags[n] = (base, int(lag))
+        elif n in static.columns and n not in k:
+            plain.append(n)
+        else:
+            raise ValueError(f"no table has the feature {n!r}")
+    columns = sorted({c for c, _ in lags.values()})
+    out = lagged(yearly.select(*k, "year", *columns), columns, max((b for _, b in lags.values()), default=0), k)
+    out = out.where((F.col("year") >= years[0]) & (F.col("year") < years[1])).select(*k, "year", *[F.col(f"`{n}`") for n in lags])
+    return out.join(static.select(*k, *plain), k, "left").select(*k, "year", *[F.col(f"`{n}`") for n in names])
 
 
 def feature_columns(table: DataFrame) -> list[str]:

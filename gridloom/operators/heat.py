@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.sized import small
+from gridloom.operators.select import year_range
+
 CELL = ("latitude", "longitude")
 
 
@@ -20,7 +23,7 @@ def daily_statistics(hourly: DataFrame, years: tuple[int, int], value: str = "t2
     t = hourly.select(*keys, F.col(value), F.year(time).alias("year"), F.dayofyear(time).alias("doy")).where(F.col("year").between(*years))
     if leap_from_data:
         long = t.select("year", "doy").distinct().groupBy("year").count().where(F.col("count") > 365).select("year", F.lit(True).alias("leap"))
-        t = t.join(F.broadcast(long), "year", "left").withColumn("leap", F.coalesce("leap", F.lit(False)))
+        t = t.join(small(long), "year", "left").withColumn("leap", F.coalesce("leap", F.lit(False)))
     else:
         y = F.col("year")
         t = t.withColumn("leap", ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0))
@@ -31,13 +34,13 @@ def daily_statistics(hourly: DataFrame, years: tuple[int, int], value: str = "t2
 
 def climatology(daily: DataFrame, years: tuple[int, int], value: str = "t2m_max", q: float = 0.9, keys: Sequence[str] = CELL) -> DataFrame:
     """(keys, dayofyear, normal, high): mean and quantile over the reference years, in one pass."""
-    ref = daily.where(F.col("year").between(*years))
+    ref = year_range(daily, *years)
     return ref.groupBy(*keys, "dayofyear").agg(F.avg(value).alias("normal"), F.percentile(value, F.lit(q)).alias("high"))
 
 
 def with_climatology(daily: DataFrame, normals: DataFrame, years: tuple[int, int], keys: Sequence[str] = CELL) -> DataFrame:
     """Focal days with their day's climatology, missing where there is none."""
-    return daily.where(F.col("year").between(*years)).join(normals, [*keys, "dayofyear"], "left")
+    return year_range(daily, *years).join(normals, [*keys, "dayofyear"], "left")
 
 
 def hot_day_fraction(days: DataFrame, excess: float = 5.0, value: str = "t2m_max", keys: Sequence[str] = CELL) -> DataFrame:

@@ -13,15 +13,20 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.missing import clamp_columns
+from gridloom.functions.missing import clamp_infinity
+from gridloom.functions.sized import small, stored
 from gridloom.operators.features import RANGES, complete_rows, positive_targets, severity_midpoint
+from gridloom.operators.select import distinct_splits
 
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """df with the vector `features`; rows with a missing feature get none (VectorAssembler would fail)."""
+def assembled(df: DataFrame, features: Sequence[str], fill: float | None = None, keep: bool = False) -> DataFrame:
+    """df with the vector `features`. Rows with a missing feature go, or with `keep` stay, with NaN
+    in the vector. With `fill`, infinities are clamped in the vector alone."""
     plain = {f: f"__f{i}" for i, f in enumerate(features)}
-    wide = df.where(complete_rows(features)).withColumns({v: F.col(f"`{k}`").cast("double") for k, v in plain.items()})
-    return VectorAssembler(inputCols=list(plain.values()), outputCol="features").transform(wide).drop(*plain.values())
+    value = lambda f: F.col(f"`{f}`").cast("double")
+    rows = df if keep else df.where(complete_rows(features))
+    wide = rows.withColumns({v: value(k) if fill is None else clamp_infinity(value(k), fill) for k, v in plain.items()})
+    return VectorAssembler(inputCols=list(plain.values()), outputCol="features", handleInvalid="keep").transform(wide).drop(*plain.values())
 
 
 def regressor(seed: int = 0, trees: int = 100, depth: int = 5) -> RandomForestRegressor:
@@ -36,10 +41,11 @@ def classifier(seed: int = 0, trees: int = 100, depth: int = 5, weight: str | No
 
 def fold_grid(table: DataFrame, features: Sequence[str], fill: float = 100.0, trees: int = 100, threads: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(predictions, importances) of one regressor for each (year, fold): trained on the year's other
-    folds, applied to all years of the fold. The table is assembled and cached once; a few
-    models train at a time."""
-    ready = assembled(clamp_columns(table, features, fill, strict=False), features).select("id", "fold", "year", F.col("target").cast("double").alias("target"), "features").persist()
-    splits = sorted((r[0], r[1]) for r in ready.select("year", "fold").distinct().collect())
+    folds, applied to all years of the fold. The assembled table is stored by fold, so that a
+    model is applied to its fold's files only; a few models train at a time."""
+    ready = assembled(table, features, fill).select("id", "fold", "year", F.col("target").cast("double").alias("target"), "features")
+    ready = stored(ready.repartition("fold"), "fold-grid", ["fold"])
+    splits = [tuple(r) for r in distinct_splits(ready).collect()]
 
     def one(split: tuple[int, int]) -> tuple[DataFrame, list[tuple[int, int, str, float]]] | None:
         year, fold = split
@@ -63,13 +69,13 @@ def fold_grid(table: DataFrame, features: Sequence[str], fill: float = 100.0, tr
 
 def fit_year(table: DataFrame, features: Sequence[str], year: int, fill: float = 100.0, trees: int = 100) -> PipelineModel:
     """The final regressor, from one year's rows."""
-    rows = assembled(clamp_columns(table.where(F.col("year") == year), features, fill, strict=False), features)
+    rows = assembled(table.where(F.col("year") == year), features, fill)
     return Pipeline(stages=[regressor(trees=trees)]).fit(rows)
 
 
 def fit_severity(table: DataFrame, features: Sequence[str], classes: bool = True, fill: float = 100.0, trees: int = 100) -> tuple[PipelineModel, dict]:
     """(model, {features, ranges}): of positive codes, a classifier, or a regressor on the classes' midpoints."""
-    rows = assembled(clamp_columns(positive_targets(table), features, fill, strict=False), features)
+    rows = assembled(positive_targets(table), features, fill)
     if not classes:
         rows = rows.withColumn("target", severity_midpoint(F.col("target")))
     model = Pipeline(stages=[classifier(trees=trees) if classes else regressor(trees=trees)]).fit(rows.withColumn("target", F.col("target").cast("double")))
@@ -80,14 +86,15 @@ def class_weights(rows: DataFrame, target: str = "target") -> DataFrame:
     """rows with weight n / (k n_c), so that all classes weigh alike."""
     n = rows.groupBy(target).agg(F.count(F.lit(1)).alias("__n"))
     total = n.agg(F.sum("__n").alias("__all"), F.count(F.lit(1)).alias("__k"))
-    return rows.join(F.broadcast(n), target).crossJoin(F.broadcast(total)).withColumn("weight", F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__n", "__all", "__k")
+    return rows.join(small(n), target).join(F.broadcast(total), how="cross").withColumn("weight", F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__n", "__all", "__k")
 
 
 def leave_year_out(table: DataFrame, features: Sequence[str], fill: float = 10.0, trees: int = 100) -> DataFrame:
     """(year, id, target, prediction): each year's classes by a classifier of all other years."""
-    ready = assembled(clamp_columns(positive_targets(table), features, fill, strict=False), features).select("id", "year", F.col("target").cast("double").alias("target"), "features").persist()
+    ready = assembled(positive_targets(table), features, fill).select("id", "year", F.col("target").cast("double").alias("target"), "features")
+    ready = stored(ready.repartition("year"), "leave-year-out", ["year"])
     out = None
-    for (year,) in sorted(r for r in ready.select("year").distinct().collect()):
+    for (year,) in distinct_splits(ready, ["year"]).collect():
         model = classifier(trees=trees, weight="weight").fit(class_weights(ready.where(F.col("year") != year)))
         one = model.transform(ready.where(F.col("year") == year)).select("year", "id", "target", "prediction")
         out = one if out is None else out.unionByName(one)
@@ -96,12 +103,13 @@ def leave_year_out(table: DataFrame, features: Sequence[str], fill: float = 10.0
     return out
 
 
-def apply_model(model: PipelineModel, table: DataFrame, features: Sequence[str], years: tuple[int, int], name: str = "prediction", keys: Sequence[str] = ("row", "col"), fill: float = 100.0) -> DataFrame:
-    """table's rows of the years [start, end) with the prediction, missing where a feature is."""
+def apply_model(model: PipelineModel, table: DataFrame, features: Sequence[str], years: tuple[int, int], name: str = "prediction", fill: float = 100.0) -> DataFrame:
+    """table's rows of the years [start, end) with the prediction, missing where a feature is; one
+    pass, without a shuffle. A column with the prediction's name is replaced."""
+    kept = [c for c in table.columns if c.lower() not in (name.lower(), "prediction", "features", "rawprediction", "probability")]
     rows = table.where((F.col("year") >= years[0]) & (F.col("year") < years[1]))
-    k = [*keys, "year"]
-    scored = model.transform(assembled(clamp_columns(rows, features, fill, strict=False), features)).select(*k, F.col("prediction").alias(name))
-    return rows.join(scored, k, "left")
+    scored = model.transform(assembled(rows.select(*[F.col(f"`{c}`") for c in kept]), features, fill, keep=True))
+    return scored.select(*[F.col(f"`{c}`") for c in kept], F.when(complete_rows(features), F.col("prediction")).alias(name))
 
 
 def posterior_quantile(probabilities: Column, ranges: Sequence[tuple[float, float]], q: float = 0.5) -> Column:

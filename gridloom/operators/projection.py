@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.missing import poison_over, statistic
+from gridloom.functions.sized import small
 from gridloom.operators.features import survival_share
 
 
@@ -41,16 +42,44 @@ def habitat_survival(df: DataFrame, percent: str, name: str = "survival", keys:
 
 
 def regional_series(df: DataFrame, value: str, how: str = "median", by: Sequence[str] = ("year",), approximate: bool = False) -> DataFrame:
-    """One value a year over all cells. The exact median counts equal values first, so that no task
-    holds a year's values one by one; `approximate` bounds it whatever the values."""
+    """One value a year over all cells. The exact median is found by counts of values in ranges that
+    narrow twice, so that no task holds a year's values; `approximate` needs one pass only."""
     if how == "mean":
         return df.groupBy(*by).agg(F.avg(value).alias(value))
     if how != "median":
         raise ValueError("a regional series is a median or a mean")
     if approximate:
         return df.groupBy(*by).agg(F.percentile_approx(value, 0.5, 10_000).alias(value))
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).count()
-    return counted.groupBy(*by).agg(F.percentile(value, F.lit(0.5), F.col("count")).alias(value))
+    return _exact_median(df, value, list(by))
+
+
+#: Ranges that a narrowing step counts.
+_RANGES = 1 << 16
+
+
+def _exact_median(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    v, lo, hi, before = F.col("__v"), F.col("__lo"), F.col("__hi"), F.col("__n") - F.col("count")
+    # the middle ranks (one, or two of an even number), each with the range of values that holds it
+    size = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    half = F.array_distinct(F.array(F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)))
+    ranks = size.select(*by, "__lo", "__hi", F.explode(half).alias("__middle")).withColumn("__k", F.col("__middle"))
+
+    def inside(ranks: DataFrame, part: Column) -> DataFrame:
+        """Counts of the ranks' own rows by parts, and the parts that hold the ranks."""
+        own = rows.join(small(ranks), by).where(v.between(lo, hi)).groupBy(*by, "__middle", "__k", part.alias("__part"))
+        counts = own.agg(F.count(F.lit(1)).alias("count"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+        w = Window.partitionBy(*by, "__middle").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+        held = counts.withColumn("__n", F.sum("count").over(w)).where((before <= F.col("__k")) & (F.col("__k") < F.col("__n")))
+        return held.select(*by, "__middle", (F.col("__k") - before).alias("__k"), "__lo", "__hi")
+
+    share = F.coalesce((v - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.0))
+    # infinities are parts of their own at both ends
+    part = F.when(v == float("-inf"), -1).when(v == float("inf"), _RANGES).when(share.between(0, 1), F.least(F.floor(share * _RANGES), F.lit(_RANGES - 1))).otherwise(0)
+    for _ in range(2):
+        ranks = inside(ranks, part)
+    exact = inside(ranks, v)
+    return exact.groupBy(*by).agg(F.avg("__lo").alias(value))
 
 
 def predictions_on_grid(grid: DataFrame, predictions: DataFrame, target: str) -> DataFrame:

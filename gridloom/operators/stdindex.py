@@ -13,17 +13,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.cluster import ship_package
 from gridloom.functions.special import digamma, gammainc, gammaln, norm_ppf, trigamma
+from gridloom.operators.select import year_range
 
 
 def fit_statistics(df: DataFrame, columns: Sequence[str], reference_years: tuple[int, int], keys: Sequence[str] = ("row", "col")) -> DataFrame:
     """Per cell and column c over the reference years: c_n, c_p0 (share of zeros), c_mean and
     c_meanlog (of the positive values)."""
-    ref = df.where(F.col("year").between(*reference_years))
+    ref = year_range(df, *reference_years)
     out = []
     for c in columns:
         v = F.col(c)
@@ -99,18 +101,17 @@ def shifted_gamma_scores(x: np.ndarray, shape: np.ndarray, loc: np.ndarray, scal
 def shifted_gamma_parameters(df: DataFrame, columns: Sequence[str], reference_years: tuple[int, int], keys: Sequence[str] = ("row", "col")) -> DataFrame:
     """Per cell and column c: c_shape, c_loc, c_scale, fitted on the reference years. Projections
     of several models share them."""
-    ref = df.where(F.col("year").between(*reference_years))
+    ref = year_range(df, *reference_years)
     packed = ref.groupBy(*keys).agg(*[F.array_sort(F.collect_list(c)).alias(c) for c in columns])
     ship_package(df.sparkSession)
 
-    @F.pandas_udf("shape double, loc double, scale double")
-    def fit(values: pd.Series) -> pd.DataFrame:
-        n = values.map(len).to_numpy()
+    @F.arrow_udf("shape double, loc double, scale double")
+    def fit(values: pa.Array) -> pa.Array:
+        n = np.asarray(values.value_lengths().fill_null(0))
         v = np.zeros((len(n), max(1, int(n.max(initial=0)))))
-        for i, x in enumerate(values):
-            v[i, : len(x)] = x
+        v[np.arange(v.shape[1]) < n[:, None]] = values.flatten().to_numpy()
         out = shifted_gamma_fit(v, n)
-        return pd.DataFrame(dict(zip(("shape", "loc", "scale"), out, strict=True)))
+        return pa.StructArray.from_arrays([pa.array(x, from_pandas=True) for x in out], names=["shape", "loc", "scale"])
 
     fitted = packed.select(*keys, *[fit(c).alias(c) for c in columns])
     return fitted.select(*keys, *[F.col(f"{c}.{p}").alias(f"{c}_{p}") for c in columns for p in ("shape", "loc", "scale")])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions.grid import with_folds
-from gridloom.operators import evaluate, features, models
+from gridloom.operators import climate, evaluate, features, models
+from gridloom.plans.climate import _ROLLED, _rolling_sql
 from gridloom.plans.registry import query, r6
 from gridloom.plans.tables import SUPPLIERS
 
@@ -22,19 +23,21 @@ def _training(i):
 
 def _lag_sql() -> tuple[str, str]:
     cols, joins = [], []
-    for b in range(_LAGS):
-        joins.append(f"LEFT JOIN annual a{b} ON a{b}.row = m.row AND a{b}.col = m.col AND a{b}.year = m.year - {b} LEFT JOIN heat h{b} ON h{b}.row = m.row AND h{b}.col = m.col AND h{b}.year = m.year - {b}")
-        cols += [f'round(a{b}.{v}, 6) AS "{v}-{b + 1}"' for v in _INDEX] + [f'round(h{b}.fraction_hot_days, 6) AS "fraction_hot_days-{b + 1}"']
+    for b in range(6):
+        joins.append(f"LEFT JOIN rolled a{b} ON a{b}.row = m.row AND a{b}.col = m.col AND a{b}.year = m.year - {b} LEFT JOIN heat h{b} ON h{b}.row = m.row AND h{b}.col = m.col AND h{b}.year = m.year - {b}")
+        cols += [f'CASE WHEN a{b}.{v} = 0 THEN 0.0E0 ELSE a{b}.{v} END AS "{v}-{b + 1}"' for v in _ROLLED] + [f'round(h{b}.fraction_hot_days, 6) AS "fraction_hot_days-{b + 1}"']
     return ", ".join(cols), " ".join(joins)
 
 
 @query("h01_training_table", f"""
+    WITH rolled AS ({_rolling_sql('annual', 'row, col, year')})
     SELECT m.row, m.col, m.year, m.severity_code AS target, CAST(CAST(floor(m.col / 4.0) AS INT) + 3 * CAST(floor(m.row / 4.0) AS INT) AS INT) AS fold, CAST(m.row * 10 + m.col AS BIGINT) AS id, m.northing AS northings, m.easting AS eastings,
            round(t.slope, 6) AS slope, t.elevation, {_lag_sql()[0]}
     FROM mortality m JOIN topo t ON t.row = m.row AND t.col = m.col {_lag_sql()[1]}
     WHERE m.severity_code IS NOT NULL AND t.slope IS NOT NULL AND m.year IN (1998, 1999, 2000) AND a0.year IS NOT NULL AND h0.year IS NOT NULL""")
 def _(i):
-    t = _training(i).drop("northing", "easting")
+    grid = with_folds(i.mortality, SUPPLIERS, 4)
+    t = features.training_table(grid, climate.rolling_indices(i.annual), i.topo, i.heat, "severity_code", _YEARS, _ROLLED, _TOPO).drop("northing", "easting")
     return r6(t, "slope", *[c for c in t.columns if "-" in c])
 
 
@@ -56,21 +59,21 @@ def _(i):
 def _(i):
     t = _training(i)
     names = features.feature_columns(t)
-    return r6(models.apply_model(models.fit_year(t, names, 1999, trees=10), t, names, (1998, 2001)).select("row", "col", "year", "target", "prediction"), "prediction")
+    return r6(models.apply_model(models.fit_year(t, names, 1999), t, names, (1998, 2001)).select("row", "col", "year", "target", "prediction"), "prediction")
 
 
 @query("h04_severity_model")
 def _(i):
     t = _training(i)
     names = features.feature_columns(t)
-    model, _ = models.fit_severity(t, names, classes=False, trees=10)
+    model, _ = models.fit_severity(t, names, classes=False)
     return r6(models.apply_model(model, t, names, (1998, 2001)).select("row", "col", "year", "prediction"), "prediction")
 
 
 @query("h05_leave_year_out")
 def _(i):
     t = _training(i)
-    out = models.leave_year_out(t, features.feature_columns(t), trees=5)
+    out = models.leave_year_out(t, features.feature_columns(t))
     return r6(evaluate.balanced_accuracy(out, ["year"]), "balanced_accuracy")
 
 
@@ -78,8 +81,11 @@ def _(i):
 def _(i):
     t = _training(i)
     names = features.feature_columns(t)
-    model, extra = models.fit_severity(t, names, trees=10)
-    return models.apply_model(model, t, extra["features"], (1998, 2001), "severity").select("row", "col", "year", "severity")
+    model, extra = models.fit_severity(t, names)
+    yearly = i.annual.join(i.heat, ["row", "col", "year"], "left")
+    static = i.topo.withColumns({"eastings": SUPPLIERS.easting(F.col("col")), "northings": SUPPLIERS.northing(F.col("row"))})
+    scored = models.apply_model(model, features.by_name(yearly, static, extra["features"], (1998, 2001)), extra["features"], (1998, 2001), "severity")
+    return scored.select("row", "col", "year", "severity")
 
 
 @query("h07_posterior_quantile", """

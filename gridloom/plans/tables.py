@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.grid import GridSpec, rounded, with_folds
 from gridloom.functions.missing import aggregate_by, clamp_columns, nodata_to_null
 from gridloom.functions.names import feature_parts, member_month, member_variable
-from gridloom.operators import align, features, spatial
+from gridloom.operators import align, features, select, spatial
 from gridloom.operators.climate import splice
 from gridloom.operators.evaluate import dense_predictions, split_membership
 from gridloom.operators.projection import labelled, predictions_on_grid
@@ -70,13 +70,18 @@ def _(i):
 
 
 @query("a09_variable_files", """
-    SELECT row, col, year, sum(l_quantity) AS area, count(*) AS mortality, min(l_quantity) AS tpa FROM item GROUP BY row, col, year""")
+    SELECT row, col, CAST(2010 + l_linenumber AS INT) AS year, sum(l_quantity) AS area, count(*) AS mortality, min(l_quantity) AS tpa FROM item GROUP BY row, col, l_linenumber""")
 def _(i):
-    g = i.item.groupBy("row", "col", "year")
-    out = g.agg(F.sum("l_quantity").alias("area"))
-    for other in (g.agg(F.count(F.lit(1)).alias("mortality")), g.agg(F.min("l_quantity").alias("tpa"))):
-        out = align.exact_join(out, other, ["row", "col", "year"])
-    return out
+    def bands(band, value):  # each file has its own order of bands, its own years and its own name for the value
+        return i.item.groupBy("row", "col", band.alias("band")).agg(value.alias("band_data"))
+
+    up, down = list(range(2011, 2018)), list(range(2017, 2010, -1))
+    files = [
+        (bands(F.col("l_linenumber"), F.sum("l_quantity")), up, "band_data", "area"),
+        (bands(8 - F.col("l_linenumber"), F.count(F.lit(1))), down, "band_data", "mortality"),
+        (bands(F.col("l_linenumber"), F.min("l_quantity")), up, "band_data", "tpa"),
+    ]
+    return align.variable_files(files)
 
 
 @query("a10_missing_years", "SELECT CAST(y AS INT) AS year FROM range(1990, 2006) t(y) WHERE y NOT IN (SELECT DISTINCT year FROM item)")
@@ -116,12 +121,12 @@ def _(i):
 
 @query("b01_year_range", "SELECT row, col, year, ppt FROM annual WHERE year >= 1996 AND year <= 1999")
 def _(i):
-    return i.annual.where(F.col("year").between(1996, 1999)).select("row", "col", "year", "ppt")
+    return select.year_range(i.annual, 1996, 1999).select("row", "col", "year", "ppt")
 
 
 @query("b02_year_slice", "SELECT row, col, tmx FROM annual WHERE year = 1998")
 def _(i):
-    return i.annual.where("year = 1998").select("row", "col", "tmx")
+    return select.year_slice(i.annual.select("row", "col", "year", "tmx"), 1998)
 
 
 @query("b03_rounded_keys", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice / 7, 4) AS x FROM item")
@@ -138,7 +143,7 @@ def _(i):
 
 @query("b05_present_samples", "SELECT m.row, m.col, m.year, severity_code, slope FROM mortality m JOIN topo t ON m.row = t.row AND m.col = t.col WHERE severity_code IS NOT NULL AND slope IS NOT NULL AND elevation IS NOT NULL".replace("slope FROM", "round(slope, 6) AS slope FROM"))
 def _(i):
-    return r6(i.mortality.join(i.topo, ["row", "col"]).dropna(subset=["severity_code", "slope", "elevation"]).select("row", "col", "year", "severity_code", "slope"), "slope")
+    return r6(select.present_samples(i.mortality.join(i.topo, ["row", "col"]), "severity_code", ["slope", "elevation"]).select("row", "col", "year", "severity_code", "slope"), "slope")
 
 
 @query("b06_positive_targets", "SELECT row, col, year, severity_code FROM mortality WHERE severity_code > 0")
@@ -190,7 +195,7 @@ def _(i):
 
 @query("b14_class_filter", "SELECT row, col, year, severity_code FROM mortality WHERE severity_code IN (1, 3, 5) AND year IN (1996, 1998)")
 def _(i):
-    return i.mortality.where(F.col("severity_code").isin(1, 3, 5) & F.col("year").isin(1996, 1998)).select("row", "col", "year", "severity_code")
+    return select.chosen(i.mortality, [1, 3, 5], [1996, 1998], "severity_code").select("row", "col", "year", "severity_code")
 
 
 @query("b15_feature_names", r"""
@@ -200,15 +205,23 @@ def _(i):
     return i.importances.select("feature", index.alias("idx"), span.alias("span"), lag.alias("lag")).distinct()
 
 
+def _placed(df, shift: float):
+    """df by coordinates alone, off by less than the rounding and, in every third column, by more."""
+    off = F.when(F.col("col") % 3 == 0, 1e-3).otherwise(shift)
+    return df.withColumns({"easting": SUPPLIERS.easting(F.col("col")) + off, "northing": SUPPLIERS.northing(F.col("row")) - shift}).drop("row", "col")
+
+
 @query("c01_spatial_join", """
-    SELECT a.row, a.col, a.year, ppt, round(slope, 6) AS slope, round(fraction_hot_days, 6) AS hot, severity_code
-    FROM annual a JOIN mortality m ON a.row = m.row AND a.col = m.col AND a.year = m.year JOIN heat h ON a.row = h.row AND a.col = h.col AND a.year = h.year JOIN topo t ON a.row = t.row AND a.col = t.col""")
+    SELECT m.row, m.col, m.year, ppt, round(slope, 6) AS slope, round(fraction_hot_days, 6) AS hot, severity_code
+    FROM mortality m JOIN (SELECT *, col * 270.0E0 + 135.0E0 + CASE WHEN col % 3 = 0 THEN 1E-3 ELSE 1E-6 END AS x, -(row * 270.0E0 + 135.0E0) - 1E-6 AS y FROM annual) a
+         ON round_even(m.easting, 4) = round_even(a.x, 4) AND round_even(m.northing, 4) = round_even(a.y, 4) AND a.year = m.year
+    JOIN heat h ON m.row = h.row AND m.col = h.col AND m.year = h.year JOIN topo t ON m.row = t.row AND m.col = t.col""")
 def _(i):
-    k = ["row", "col", "year"]
-    m = i.mortality.withColumns({"x": rounded(F.col("easting") + 1e-6), "y": rounded(F.col("northing") - 1e-6)})
-    keyed = m.select("x", "y", "year", "severity_code", "row", "col")
-    out = i.annual.join(keyed, k).join(i.heat, k).join(i.topo, ["row", "col"])
-    return r6(out.select(*k, "ppt", "slope", F.col("fraction_hot_days").alias("hot"), "severity_code"), "slope", "hot")
+    out = align.spatial_join(i.mortality, _placed(i.annual, 1e-6), ["year"])
+    heat = i.heat.withColumns({"easting": SUPPLIERS.easting(F.col("col")) - 2e-5, "northing": SUPPLIERS.northing(F.col("row"))}).drop("row", "col")
+    topo = i.topo.withColumns({"easting": SUPPLIERS.easting(F.col("col")), "northing": SUPPLIERS.northing(F.col("row")) + 3e-5}).drop("row", "col")
+    out = align.spatial_join(align.spatial_join(out, heat, ["year"]), topo)
+    return r6(out.select("row", "col", "year", "ppt", "slope", F.col("fraction_hot_days").alias("hot"), "severity_code"), "slope", "hot")
 
 
 @query("c02_key_differences", """
@@ -221,7 +234,7 @@ def _(i):
 @query("c03_positional_join", "SELECT a.row, a.col, a.time, a.northing, a.ppt, b.tmn FROM monthly a JOIN monthly b ON a.row = b.row AND a.col = b.col AND a.time = b.time")
 def _(i):
     other = i.monthly.select("row", "col", "time", "tmn")
-    return i.monthly.drop("tmn").join(other, ["row", "col", "time"]).select("row", "col", F.col("time").cast("timestamp_ntz").alias("time"), "northing", "ppt", "tmn")
+    return align.positional_join(i.monthly.drop("tmn"), other, ["row", "col", "time"]).select("row", "col", F.col("time").cast("timestamp_ntz").alias("time"), "northing", "ppt", "tmn")
 
 
 @query("c04_lags", """
@@ -275,9 +288,9 @@ def _(i):
 @query("c10_dense_scaffold", """
     SELECT t.train_year, e.eval_year, d.id, round(coalesce(p.prediction, 0), 6) AS prediction, round(coalesce(p.target, 0), 6) AS target
     FROM (SELECT DISTINCT train_year FROM sparse) t CROSS JOIN (SELECT DISTINCT eval_year FROM sparse) e CROSS JOIN (SELECT DISTINCT id FROM sparse) d
-    LEFT JOIN sparse p ON p.train_year = t.train_year AND p.eval_year = e.eval_year AND p.id = d.id""".replace("sparse", "(SELECT * FROM predictions WHERE (id + train_year) % 4 <> 0)"))
+    LEFT JOIN sparse p ON p.train_year = t.train_year AND p.eval_year = e.eval_year AND p.id = d.id""")
 def _(i):
-    return r6(dense_predictions(i.predictions.where("(id + train_year) % 4 <> 0")), "prediction", "target")
+    return r6(dense_predictions(i.sparse), "prediction", "target")
 
 
 @query("c11_splice", """
@@ -312,17 +325,14 @@ def _(i):
 @query("j02_shared_cells", "SELECT row, col FROM (SELECT DISTINCT row, col FROM annual_part WHERE year = 1995 INTERSECT SELECT DISTINCT row, col FROM annual_part WHERE year = 2001) x")
 def _(i):
     p = i.annual_part
-    return p.where("year = 1995").select("row", "col").intersect(p.where("year = 2001").select("row", "col"))
+    return select.shared_keys(select.year_slice(p, 1995), select.year_slice(p, 2001))
 
 
 @query("j03_missing_cells", "SELECT row, col FROM dem EXCEPT SELECT row, col FROM annual_part WHERE year = 1998")
 def _(i):
-    return i.dem.select("row", "col").join(i.annual_part.where("year = 1998").select("row", "col"), ["row", "col"], "left_anti")
+    return select.missing_keys(i.dem, select.year_slice(i.annual_part, 1998))
 
 
 @query("j04_time_order", "SELECT row, col, time, row_number() OVER (PARTITION BY row, col ORDER BY time) AS position FROM monthly")
 def _(i):
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("row", "col").orderBy("time")
-    return i.monthly.select("row", "col", F.col("time").cast("timestamp_ntz").alias("time"), F.row_number().over(w).cast("bigint").alias("position"))
+    return select.in_time_order(i.monthly.select("row", "col", F.col("time").cast("timestamp_ntz").alias("time")))

@@ -50,7 +50,18 @@ def _(i):
     return _metric(i, "slope", "eastness", "northness", w=3)
 
 
-@query("i03_ruggedness")
+def _gradient_sql(w: int) -> str:
+    """(row, col, n, gx, gy): the gradient of each cell and how many cells of its window there are."""
+    r, by = w // 2, 2.0 * (w - 1) ** 2 * _RES
+    return f"""SELECT c.row, c.col, count(*) AS n, ({_edge('col', 1, w)} - {_edge('col', -1, w)}) / {by}E0 AS gx, ({_edge('row', -1, w)} - {_edge('row', 1, w)}) / {by}E0 AS gy
+        {_NEAR.format(r=r)} GROUP BY c.row, c.col"""
+
+
+@query("i03_ruggedness", f"""
+    WITH u AS (SELECT row, col, -gx / sqrt(1 + gx * gx + gy * gy) AS x, -gy / sqrt(1 + gx * gx + gy * gy) AS y, 1 / sqrt(1 + gx * gx + gy * gy) AS z FROM ({_gradient_sql(3)}) g WHERE n = 9)
+    SELECT d.row, d.col, v.vrm FROM dem d LEFT JOIN (
+        SELECT c.row, c.col, round(1 - sqrt(sum(n.x) * sum(n.x) + sum(n.y) * sum(n.y) + sum(n.z) * sum(n.z)) / count(*), 6) AS vrm {_NEAR.format(r=4).replace('dem n', 'u n')} GROUP BY c.row, c.col) v
+    ON v.row = d.row AND v.col = d.col""")
 def _(i):
     return _metric(i, "vrm")
 
@@ -67,7 +78,26 @@ def _(i):
     return _metric(i, "rie")
 
 
-@query("i06_surface_ratio")
+#: Neighbours around a cell, in order: two that follow each other and the cell make a triangle.
+_RING = ((-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1))
+
+
+def _triangles_sql() -> str:
+    """(row, col, area) of the cells with all neighbours: eight triangles with halved edges, by Heron's formula."""
+    near = ", ".join(f"sum(CASE WHEN n.row = c.row + ({i}) AND n.col = c.col + ({j}) THEN n.elevation END) AS z{k}" for k, (i, j) in enumerate(_RING))
+    areas = []
+    for k, (i, j) in enumerate(_RING):
+        m, (p, q) = (k + 1) % 8, _RING[(k + 1) % 8]
+        a, b, c = (f"sqrt({d}E0 + ({u} - {v}) * ({u} - {v})) / 2" for d, u, v in ((_RES**2 * (i * i + j * j), f"z{k}", "z"), (_RES**2 * (p * p + q * q), f"z{m}", "z"), (_RES**2, f"z{k}", f"z{m}")))
+        s = f"(({a} + {b} + {c}) / 2)"
+        areas.append(f"sqrt(greatest({s} * ({s} - {a}) * ({s} - {b}) * ({s} - {c}), 0))")
+    return f"SELECT row, col, {' + '.join(areas)} AS area FROM (SELECT c.row, c.col, any_value(c.elevation) AS z, {near} {_NEAR.format(r=1)} GROUP BY c.row, c.col HAVING count(*) = 9) t"
+
+
+@query("i06_surface_ratio", f"""
+    WITH t AS ({_triangles_sql()}), g AS ({_gradient_sql(9)}),
+    s AS (SELECT c.row, c.col, sum(n.area) AS area, count(*) AS n {_NEAR.format(r=4).replace('dem n', 't n')} GROUP BY c.row, c.col)
+    SELECT g.row, g.col, CASE WHEN g.n = 81 THEN round(s.area / (s.n * {_RES**2}E0 * sqrt(1 + gx * gx + gy * gy)), 6) END AS sapa FROM g LEFT JOIN s ON s.row = g.row AND s.col = g.col""")
 def _(i):
     return _metric(i, "sapa")
 

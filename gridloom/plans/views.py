@@ -1,7 +1,8 @@
 """Gridded tables as views of the test tables, in SQL that Spark and DuckDB share.
 
 Cells are suppliers (row = key div 10, col = key mod 10) or parts (row = key div 50, col = key
-mod 50); time is the ship date. {table} stands for a base table; views may use earlier views.
+mod 50); time is the ship date. Hourly temperatures are whole hundredths of a degree, so that their
+sums are exact in any order. {table} stands for a base table; views may use earlier views.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ VIEWS = {
                concat(v, CAST(year AS VARCHAR(4)), '.zip') AS archive, v AS variable
         FROM (SELECT year, month, CASE l_linenumber WHEN 1 THEN 'ppt' WHEN 2 THEN 'pet' WHEN 3 THEN 'tmn' WHEN 4 THEN 'tmx' WHEN 5 THEN 'aet' WHEN 6 THEN 'cwd' ELSE 'run' END AS v FROM item) x""",
     "hourly": """
-        SELECT CAST(row AS DOUBLE) AS latitude, CAST(col AS DOUBLE) AS longitude, time, l_extendedprice / 5000 AS t2m FROM item""",
+        SELECT CAST(row AS DOUBLE) AS latitude, CAST(col AS DOUBLE) AS longitude, time, CAST(floor(l_extendedprice / 50) AS DOUBLE) AS t2m FROM item""",
     "daily": """
         SELECT latitude, longitude, year, CASE WHEN leap AND doy > 60 THEN doy - 1 ELSE doy END AS dayofyear, max(t2m) AS t2m_max, min(t2m) AS t2m_min
         FROM (SELECT latitude, longitude, t2m, year, doy, (year % 4 = 0 AND year % 100 <> 0) OR year % 400 = 0 AS leap
@@ -43,7 +44,7 @@ VIEWS = {
         WHERE NOT (leap AND doy = 60) AND year BETWEEN 1995 AND 2001
         GROUP BY latitude, longitude, year, CASE WHEN leap AND doy > 60 THEN doy - 1 ELSE doy END""",
     "heat": """
-        SELECT CAST(latitude AS INT) AS row, CAST(longitude AS INT) AS col, year, avg(CASE WHEN t2m_max > 18 THEN 1.0E0 ELSE 0.0E0 END) AS fraction_hot_days
+        SELECT CAST(latitude AS INT) AS row, CAST(longitude AS INT) AS col, year, avg(CASE WHEN t2m_max > 1800 THEN 1.0E0 ELSE 0.0E0 END) AS fraction_hot_days
         FROM daily GROUP BY latitude, longitude, year""",
     "mortality": """
         SELECT DISTINCT row, col, -(row * 270.0E0 + 135.0E0) AS northing, col * 270.0E0 + 135.0E0 AS easting, year,
@@ -61,6 +62,9 @@ VIEWS = {
         SELECT t.year AS train_year, e.year AS eval_year, CAST(e.row % 3 AS INT) AS fold, CAST(e.row * 10 + e.col AS BIGINT) AS id, t.m AS prediction, e.m AS target
         FROM (SELECT row, col, year, avg(l_quantity) AS m FROM item GROUP BY row, col, year) e
         JOIN (SELECT row, col, year, avg(l_quantity) AS m FROM item GROUP BY row, col, year) t ON t.row = e.row AND t.col = e.col""",
+    "sparse": """
+        SELECT t.year AS train_year, e.year AS eval_year, CAST(e.row * 50 + e.col AS BIGINT) AS id, t.ppt AS prediction, e.ppt AS target
+        FROM annual_part e JOIN annual_part t ON t.row = e.row AND t.col = e.col""",
     "importances": """
         SELECT year AS train_year, CAST(row % 3 AS INT) AS fold,
                concat(CASE col % 4 WHEN 0 THEN 'PR' WHEN 1 THEN 'PRET' WHEN 2 THEN 'SPI' ELSE 'SPEI' END, CAST(l_linenumber % 6 + 1 AS VARCHAR(2)), '-', CAST(month % 6 + 1 AS VARCHAR(2))) AS feature,
