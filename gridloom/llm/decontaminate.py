@@ -7,14 +7,19 @@ once; a match's offset in the normalised text gives its words, and these give th
 the original text.
 
 Nulls, empty texts and texts without words have no words and no hits. Items without words are
-no windows. Repeated documents are each judged; repeated items share their windows. The
-benchmark is sent to the tasks in blocks of at most `BLOCK_BYTES` of text, each with an
-automaton of its own; usually there is one block.
+no windows; the windows of an item without an id count as hits, but it is not listed. Repeated
+documents are each judged; repeated items share their windows.
+
+An automaton has about 450 bytes for each byte of its items. A benchmark of more than
+`BLOCK_BYTES` is dealt by a hash of its items into blocks of about that size (one longer item is
+more), and block after block is read, sent to the tasks, scanned for and forgotten, with a
+written table in between; what a block finds is added to the result, so that this is the same
+for any number of blocks.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.tables import drop, save
 from gridloom.llm.words import LOWER, add_columns, byte_class, column
 
 WINDOW = 10
-#: Bound of the benchmark text that one automaton holds (and that is broadcast at once).
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one automaton holds, and that the driver reads and sends at once.
+BLOCK_BYTES = 1 << 20
 #: Normalisation of bytes: word bytes lower-cased, all others to a space.
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 _NORM = bytes(int(b) if WORD[b] else 32 for b in LOWER)
@@ -46,13 +52,14 @@ def windows(words: list[bytes], n: int) -> list[bytes]:
 _built: dict[str, object] = {}
 
 
-def automaton(items: list[tuple[str, str | None]], n: int) -> tuple[object, list[list[int]]]:
+def automaton(key: str, items: list[tuple[str | None, str]], n: int) -> tuple[object, list[list[int]]]:
     """Automaton over the distinct windows of the items; a window's value is its number, and
-    owners[number] are the indexes of its items. Bytes stand as the characters of their value."""
+    owners[number] are the indexes of its items. Bytes stand as the characters of their value.
+    A worker keeps the automaton with the last key."""
     import ahocorasick
 
-    key = hashlib.md5(repr((n, items)).encode()).hexdigest()
     if key not in _built:
+        _built.clear()
         auto, number, owners = ahocorasick.Automaton(), {}, []
         for k, (_, text) in enumerate(items):
             for w in dict.fromkeys(windows(normal_words(text), n)):
@@ -62,40 +69,40 @@ def automaton(items: list[tuple[str, str | None]], n: int) -> tuple[object, list
                     auto.add_word(w.decode("latin-1"), (i, w.count(b" ") - 1))
                 owners[i].append(k)
         auto.make_automaton()
-        _built.clear()
         _built[key] = (auto, owners)
     return _built[key]
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[str, str | None]]]:
-    """Items in blocks of a bounded size, in the order of their ids."""
-    blocks: list[list[tuple[str, str | None]]] = [[]]
-    size = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text IS NOT NULL").orderBy("item", "text")
-    for r in rows.toLocalIterator():
-        if size > BLOCK_BYTES:
-            blocks, size = [*blocks, []], 0
-        blocks[-1].append((r[0] if r[0] is not None else "", r[1]))
-        size += len(r[1])
-    return blocks
+def _blocks(benchmark: DataFrame) -> list[DataFrame]:
+    """The items (item, text) in blocks of a bounded size."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text IS NOT NULL").distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // BLOCK_BYTES))
+    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """docs with n_words, hits (word ranges [start, end) inside windows of the benchmark, merged),
     spans (the same as code points of the original text, end exclusive) and items (ids with
     occurring windows, sorted as strings); columns of docs with these names are replaced."""
-    out = docs
-    for k, items in enumerate(_blocks(benchmark)):
-        out = _scan(out, items, window, text_col, first=k == 0)
+    out, blocks, before = docs, _blocks(benchmark), None
+    for k, block in enumerate(blocks):
+        items = [(r.item, r.text) for r in block.orderBy("item", "text").collect()]
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        out = _scan(out, shared, uuid.uuid4().hex, window, text_col, first=k == 0)
+        if k + 1 < len(blocks):
+            out = save(out, "scanned")
+            shared.unpersist()
+            if before is not None:
+                drop(before)
+            before = out
     return out
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int, text_col: str, first: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
+def _scan(docs: DataFrame, shared, key: str, window: int, text_col: str, first: bool) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         known = shared.value
-        auto, owners = automaton(known, window)
+        auto, owners = automaton(key, known, window)
         texts = column(batch, text_col)
         before = None if first else (column(batch, "hits").to_pylist(), column(batch, "items").to_pylist())
         n_words, hits, spans, found = [], [], [], []
@@ -112,7 +119,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str | None]], window: int, tex
                     for end, (number, n) in got:
                         last = int(np.searchsorted(at, end))
                         ranges.append((last - n, last))
-                        ids.update(known[j][0] for j in owners[number])
+                        ids.update(known[j][0] for j in owners[number] if known[j][0] is not None)
             if before is not None:
                 ranges += [tuple(x.values()) for x in before[0][i]]
                 ids.update(before[1][i])

@@ -7,8 +7,9 @@ with equal priors.
 
 Learning is one pass over all labelled texts and one step of expectation maximisation from equal
 piece probabilities: the forward-backward algorithm gives each piece's expected count in each
-language. All words of a slice of a batch advance together, letter by letter, and a word that
-repeats in the slice is computed once.
+language. All words of a slice of a batch advance together, byte by byte, and a word that
+repeats is computed once. Words that are so long that a product could leave the range of doubles are
+summed in logarithms; no run of letters is cut, however long it is (scripts without spaces).
 
 Null texts and texts without a letter are `und` with score 0. Labels that are null are not
 learnt from; equal posteriors go to the language whose name sorts first. With nothing to
@@ -18,6 +19,7 @@ learn from, every text is `und`.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,13 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.words import LOWER, Bytes, Table, add_columns, byte_class, column, prepare, slices
+from gridloom.llm.words import LOWER, Bytes, Store, Table, add_columns, byte_class, column, own_store, prepare, slices
 
 UNKNOWN = "und"
 SMOOTHING = 0.05
-#: Longer runs of letters are scored in parts of so many bytes.
-WORD_BYTES = 40
-CHUNK = 4096
+#: Cells (words x letters x languages) of a chunk, and positions of a word that are matched at once.
+CELLS, BLOCK = 1 << 22, 1 << 15
+#: Log of the smallest probability that is left to plain products.
+SAFE = -600.0
+#: Words whose probabilities a task keeps; when they are more, it starts anew.
+STORE = 1_000_000
 LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _FOLD = np.where(LETTER, LOWER, 32).astype(np.uint8)
 
@@ -41,11 +46,13 @@ _FOLD = np.where(LETTER, LOWER, 32).astype(np.uint8)
 @lru_cache(maxsize=2)
 def pieces(path: str) -> tuple[Table, int, int]:
     """(table of piece hashes, number of pieces, longest piece in bytes) of the vocabulary's
-    pieces that normalised words can hold, single bytes included."""
+    pieces that normalised words can hold, all single bytes of letters included."""
     with open(path, "rb") as f:
         own = [base64.b64decode(line.split()[0]) for line in f]
     inner = set(np.flatnonzero(LETTER & (LOWER == np.arange(256))).tolist())
-    own = [p for p in own if len(p) <= WORD_BYTES and set(p[1:]) <= inner and (p[0] == 32 or p[0] in inner)]
+    own = [p for p in own if set(p[1:]) <= inner and (p[0] == 32 or p[0] in inner)]
+    if not {bytes([b]) for b in inner | {32}} <= set(own):
+        raise ValueError(f"{path} lacks single bytes")
     b = Bytes(pa.array(own, pa.binary()))
     return Table(b.hashes(b.offs[:-1], b.offs[1:]), np.arange(len(own), dtype=np.int32)), len(own), max(map(len, own))
 
@@ -61,42 +68,72 @@ def _words(texts: pa.Array) -> tuple[Bytes, np.ndarray, np.ndarray, np.ndarray,
     b = Bytes(texts, _FOLD)
     start, end, doc = b.runs(LETTER)
     start = np.where(start > b.offs[doc], start - 1, start)
-    parts = -(-(end - start) // WORD_BYTES)
-    if len(parts) and parts.max() > 1:
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, end, doc = np.repeat(start, parts) + k * WORD_BYTES, np.repeat(end, parts), np.repeat(doc, parts)
-        end = np.minimum(end, start + WORD_BYTES)
     _, first, word = np.unique(b.hashes(start, end), return_index=True, return_inverse=True)
     return b, doc, word, start[first], end[first]
 
 
-def _matches(b: Bytes, start: np.ndarray, size: np.ndarray, table: Table, longest: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(end position, length, words, pieces) of all pieces in words that are sorted by size, descending."""
-    for i in range(1, int(size[0]) + 1):
-        on = int(np.searchsorted(-size, -i, side="right"))
-        for n in range(1, min(i, longest) + 1):
-            t = table.get(b.hashes(start[:on] + i - n, start[:on] + i))
-            w = np.flatnonzero(t >= 0)
-            if len(w):
-                yield i, n, w, t[w]
-
-
-def _chunks(start: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
+def _matches(b: Bytes, start: np.ndarray, size: np.ndarray, table: Table, longest: int, low: int, high: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(end position, length, words, pieces) of all pieces that end at positions low + 1 to high of
+    words that are sorted by size, descending; by end position and length."""
+    live = int(np.searchsorted(-size, -low, side="left"))
+    count = np.minimum(size[:live], high) - low
+    word = np.repeat(np.arange(live), count)
+    end = low + 1 + np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+    found = []
+    for n in range(1, min(longest, high) + 1):
+        if n > low + 1:
+            on = end >= n
+            word, end = word[on], end[on]
+        at = start[word] + end
+        t = table.get(b.hashes(at - n, at))
+        w = np.flatnonzero(t >= 0)
+        found.append((end[w], np.full(len(w), n), word[w], t[w]))
+    end, length, word, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    key = end * (longest + 1) + length
+    order = np.argsort(key, kind="stable")
+    key, word, piece = key[order], word[order], piece[order]
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+    return [(int(key[a]) // (longest + 1), int(key[a]) % (longest + 1), word[a:z], piece[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _chunks(start: np.ndarray, end: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Words of like sizes, longest first in each chunk, so many that a table of their positions is bounded."""
     order = np.argsort(start - end, kind="stable")
-    for k in range(0, len(order), CHUNK):
-        yield order[k : k + CHUNK]
+    size, k = (end - start)[order], 0
+    while k < len(order):
+        n = max(1, CELLS // (width * (int(size[k]) + 1)))
+        yield order[k : k + n]
+        k += n
 
 
 def log_probabilities(b: Bytes, start: np.ndarray, end: np.ndarray, table: Table, longest: int, p: np.ndarray) -> np.ndarray:
     """log of the sum over all segmentations of each word, for each column (language) of p."""
     out = np.zeros((len(start), p.shape[1]))
-    for own in _chunks(start, end):
+    logp = np.log(p)
+    for own in _chunks(start, end, p.shape[1]):
         size = (end - start)[own]
-        alpha = np.zeros((int(size[0]) + 1, len(own), p.shape[1]))
-        alpha[0] = 1
-        for i, n, w, t in _matches(b, start[own], size, table, longest):
-            alpha[i, w] += alpha[i - n, w] * p[t]
-        out[own] = np.log(np.maximum(alpha[size, np.arange(len(own))], 1e-300))
+        top = int(size[0])
+        plain = top * float(logp.min()) > SAFE
+        # a word's last `longest` positions are all that its next ones need
+        rows = min(top, longest + BLOCK) + 1
+        alpha = np.full((rows, len(own), p.shape[1]), 0.0 if plain else -np.inf)
+        alpha[0] = 1.0 if plain else 0.0
+        base = 0  # the position of alpha[0]
+        for low in range(0, top, BLOCK):
+            high = min(top, low + BLOCK)
+            if high - base >= rows:
+                keep = min(longest, low - base)
+                alpha[: keep + 1] = alpha[low - base - keep : low - base + 1].copy()
+                alpha[keep + 1 :] = 0.0 if plain else -np.inf
+                base = low - keep
+            for i, n, w, t in _matches(b, start[own], size, table, longest, low, high):
+                if plain:
+                    alpha[i - base, w] += alpha[i - n - base, w] * p[t]
+                else:
+                    alpha[i - base, w] = np.logaddexp(alpha[i - base, w], alpha[i - n - base, w] + logp[t])
+            done = np.flatnonzero((size > low) & (size <= high))
+            last = alpha[size[done] - base, done]
+            out[own[done]] = np.log(last) if plain else last
     return out
 
 
@@ -104,26 +141,85 @@ def expected_counts(b: Bytes, start: np.ndarray, end: np.ndarray, table: Table,
     """Expected piece counts (pieces x languages) under equal piece probabilities; `weight` has
     each word's count in each language."""
     out = np.zeros((n_pieces, weight.shape[1]))
-    p = 1.0 / n_pieces
-    for own in _chunks(start, end):
-        size = (end - start)[own]
-        alpha, found = np.zeros((int(size[0]) + 1, len(own))), []
-        alpha[0] = 1
-        for i, n, w, t in _matches(b, start[own], size, table, longest):
-            alpha[i, w] += alpha[i - n, w] * p
-            found.append((i, n, w, t))
-        beta, at = np.zeros_like(alpha), np.arange(len(own))
-        total = np.maximum(alpha[size, at], 1e-300)
-        beta[size, at] = 1
-        for i, n, w, t in reversed(found):  # pieces that end at i need beta[i] whole: later ends come first
-            beta[i - n, w] += beta[i, w] * p
-        for i, n, w, t in found:
-            share = alpha[i - n, w] * p * beta[i, w] / total[w]
-            for k in range(weight.shape[1]):
-                out[:, k] += np.bincount(t, weights=share * weight[own[w], k], minlength=n_pieces)
+    logp = -np.log(n_pieces)
+    for own in _chunks(start, end, 4):
+        size, at = (end - start)[own], np.arange(len(own))
+        top = int(size[0])
+        plain = top * logp > SAFE
+        zero, one = (0.0, 1.0) if plain else (-np.inf, 0.0)
+        alpha = np.full((top + 1, len(own)), zero)
+        alpha[0] = one
+        blocks = [(low, min(top, low + BLOCK)) for low in range(0, top, BLOCK)]
+        found: list = []
+        for low, high in blocks:
+            found = _matches(b, start[own], size, table, longest, low, high)
+            for i, n, w, _ in found:
+                if plain:
+                    alpha[i, w] += alpha[i - n, w] / n_pieces
+                else:
+                    alpha[i, w] = np.logaddexp(alpha[i, w], alpha[i - n, w] + logp)
+        beta = np.full_like(alpha, zero)
+        total = alpha[size, at]
+        beta[size, at] = one
+        for low, high in reversed(blocks):
+            if high < top:
+                found = _matches(b, start[own], size, table, longest, low, high)
+            for i, n, w, t in reversed(found):  # pieces that end at i need beta[i] whole: later ends come first
+                if plain:
+                    share = alpha[i - n, w] * beta[i, w] / n_pieces / total[w]
+                    beta[i - n, w] += beta[i, w] / n_pieces
+                else:
+                    share = np.exp(alpha[i - n, w] + beta[i, w] + logp - total[w])
+                    beta[i - n, w] = np.logaddexp(beta[i - n, w], beta[i, w] + logp)
+                for k in range(weight.shape[1]):
+                    np.add.at(out[:, k], t, share * weight[own[w], k])
     return out
 
 
+class WordCounts:
+    """Words of many slices with their counts by language, so that a word that a task meets again and
+    again is segmented once (or a few times, until the store is sorted anew). A full store is emptied into `counts`."""
+
+    def __init__(self, path: str):
+        self.table, self.n, self.longest = pieces(path)
+        self.index, self.words = Store(STORE), []
+        self.weights: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.counts: dict[str, np.ndarray] = {}
+        self.names: dict[str, int] = {}
+        self.bytes = 0
+
+    def add(self, texts: pa.Array, langs: list[str]) -> None:
+        b, doc, word, start, end = _words(texts)
+        if not len(word):
+            return
+        lang = np.array([self.names.setdefault(x, len(self.names)) for x in langs])
+        h, raw = b.hashes(start, end), b.data.tobytes()
+        at, missing = self.index.get(h, 1)
+        own = at[:, 0].astype(np.int64)
+        own[missing] = np.arange(len(self.words), len(self.words) + len(missing))
+        self.index.put(h[missing], own[missing, None].astype(float))
+        self.words += [raw[s:e] for s, e in zip(start[missing].tolist(), end[missing].tolist(), strict=True)]
+        self.bytes += int((end - start)[missing].sum())
+        key, n = np.unique(own[word] * 4096 + lang[doc], return_counts=True)
+        if len(self.names) > 4096:
+            raise ValueError("more than 4096 languages")
+        self.weights.append((key // 4096, key % 4096, n))
+        if len(self.words) > STORE // 4 or self.bytes > 1 << 25 or len(self.weights) > 256:
+            self.flush()
+
+    def flush(self) -> None:
+        """The words' expected counts go to `counts`."""
+        if self.words:
+            at, lang, n = (np.concatenate(x) for x in zip(*self.weights, strict=True))
+            weight = np.zeros((len(self.words), len(self.names)))
+            np.add.at(weight, (at, lang), n)
+            b = Bytes(pa.array(self.words, pa.binary()))
+            got = expected_counts(b, b.offs[:-1], b.offs[1:], self.table, self.longest, self.n, weight)
+            for name, k in self.names.items():
+                self.counts[name] = self.counts.get(name, 0) + got[:, k]
+        self.index, self.words, self.weights, self.bytes = Store(STORE), [], [], 0
+
+
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", path: str | None = None) -> tuple[list[str], np.ndarray]:
     """(languages in order, piece probabilities: pieces x languages) from all rows of docs whose
     label and text are given. The counts are summed in the executors; the model that reaches the
@@ -132,19 +228,12 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", path:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n, longest = pieces(path)
-        counts: dict[str, np.ndarray] = {}
+        counts = WordCounts(path)
         for batch in batches:
             for part in slices(batch, "text"):
-                names, lang = np.unique(np.asarray(column(part, "lang").to_pylist(), dtype=object), return_inverse=True)
-                b, doc, word, start, end = _words(column(part, "text"))
-                if len(word):
-                    k = len(names)
-                    weight = np.bincount(word * k + lang[doc], minlength=len(start) * k).reshape(-1, k).astype(float)
-                    got = expected_counts(b, start, end, table, longest, n, weight)
-                    for j, name in enumerate(names):
-                        counts[name] = counts.get(name, 0) + got[:, j]
-        for name, c in counts.items():
+                counts.add(column(part, "text"), column(part, "lang").to_pylist())
+        counts.flush()
+        for name, c in counts.counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], names=["lang", "piece", "n"])
 
@@ -164,6 +253,7 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     path = path or vocabulary_path()
     langs = model[0]
     shared = docs.sparkSession.sparkContext.broadcast(model[1])
+    name = uuid.uuid4().hex  # of this model, for the workers' stores
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         texts, n = column(batch, text_col), batch.num_rows
@@ -171,7 +261,11 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
             return {"lang_pred": [UNKNOWN] * n, "score": [0.0] * n}
         table, _, longest = pieces(path)
         b, doc, word, start, end = _words(texts)
-        each = log_probabilities(b, start, end, table, longest, shared.value)
+        store, h = own_store(name, STORE), b.hashes(start, end)
+        each, missing = store.get(h, len(langs))
+        if len(missing):
+            each[missing] = log_probabilities(b, start[missing], end[missing], table, longest, shared.value)
+            store.put(h[missing], each[missing])
         total = np.stack([np.bincount(doc, weights=each[word, k], minlength=n) for k in range(len(langs))], axis=1)
         best = total.argmax(axis=1)
         score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)

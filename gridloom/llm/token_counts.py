@@ -4,7 +4,8 @@ For a piece of text that the tokenizer's pattern cuts out (a pretoken), the last
 encoding of each prefix is the one token that ends there and may follow the last token of the
 rest ("may follow": the pair encodes to itself). So one pass gives the count at every prefix.
 Pretokens are computed once per task and then looked up; counts of a text are running sums over
-its pretokens. Truncation to a budget and questions about any prefix need no further encoding.
+its pretokens, and the count at any prefix is such a sum and a stored count inside one pretoken.
+Truncation to a budget and questions about any prefix need no further encoding.
 
 The encoding is that of the tokenizers file with its defaults: no tokens are added, the special
 string inside a text is one token. Null and empty texts have no tokens.
@@ -17,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.words import Bytes, Table, add_columns, column
@@ -71,6 +72,7 @@ class PrefixCounter:
         self.store: dict[str, int] = {}
         self.first: dict[str, int] = {}
         self.spaced: dict[str, int] = {}
+        self.kept: dict[str, np.ndarray] = {}
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether token b after token a stays as it is: undoing the later merge on either side of
@@ -241,42 +243,92 @@ class PrefixCounter:
         return [self._total(t) if t else 0 for t in texts]
 
     def cut(self, text: str, counts: list[int], sizes: list[int], budget: int) -> int:
-        """Code points of the longest prefix of whole pretokens with at most `budget` tokens."""
-        sums = np.cumsum(counts)
+        """Code points of the longest prefix with at most `budget` tokens, from the running sums of
+        parts and the stored counts of the prefixes around the border."""
+        sums, ends = np.cumsum(counts), np.cumsum(sizes)
         k = int(np.searchsorted(sums, budget, side="right"))
-        at, left = int(sum(sizes[:k])), budget - (int(sums[k - 1]) if k else 0)
-        if k < len(sizes):
-            for p in self.pieces(text[at : at + sizes[k]]):
-                left -= self.count(p) if p not in self.special else 1
-                if left < 0:
-                    break
+        first = max(0, k - 2)  # a run of white space before a word is two pretokens at most
+        base, at = (int(sums[first - 1]), int(ends[first - 1])) if first else (0, 0)
+        around = self.at_every_prefix(text[at : int(ends[min(k + 3, len(ends) - 1)])])
+        return at + int(np.flatnonzero(base + around <= budget)[-1])
+
+    def prefixes(self, pretoken: str) -> np.ndarray:
+        """Token count of each prefix of a pretoken, by code points from 0; kept."""
+        got = self.kept.get(pretoken)
+        if got is None:
+            if len(self.kept) > STORE:
+                self.kept.clear()
+            counts = np.array(self.prefix_counts(pretoken.encode()))
+            ends = np.cumsum([0, *(len(c.encode()) for c in pretoken)])
+            got = counts[ends]
+            if len(pretoken) <= 64:
+                self.kept[pretoken] = got
+        return got
+
+    def _plain_prefixes(self, text: str) -> np.ndarray:
+        """at_every_prefix of a text whose special strings are ordinary text.
+
+        Inside a pretoken a prefix has the tokens before it and those of the pretoken's prefix. Two
+        cuts depend on what follows, so a prefix has another one: a run of white space is one
+        pretoken until a word follows, and a contraction's letters are a word until it is whole.
+        """
+        out, done, at, pieces = np.zeros(len(text) + 1, np.int64), 0, 0, self.split(text)
+        k = 0
+        while k < len(pieces):
+            p = pieces[k]
+            if p.isspace():
+                run, total = p, self.count(p)
+                while k + 1 < len(pieces) and pieces[k + 1].isspace():
+                    k += 1
+                    run, total = run + pieces[k], total + self.count(pieces[k])
+                joined = k + 1 < len(pieces) and pieces[k + 1][0] == " "
+                inside = done + self.prefixes(run + " " if joined else run)[1:]
+                end = at + len(run)
+                done += total
+                if joined:  # the run's last space is the next word's first
+                    k += 1
+                    out[end + 1 : end + len(pieces[k]) + 1] = done + self.prefixes(pieces[k])[1:]
+                    done += self.count(pieces[k])
+                out[at + 1 : at + 1 + len(inside)] = inside
+                at = end + (len(pieces[k]) if joined else 0)
+                if joined:
+                    out[at] = done if len(pieces[k]) > 1 else out[at]
+            else:
+                if p[0] == "'" and len(p) > 1 and p[1].isalpha():
+                    own = np.append(0, self.count("'") + self.prefixes(p[1:]))
+                    own[-1] = self.count(p)
+                else:
+                    own = self.prefixes(p)
+                out[at + 1 : at + len(p) + 1] = done + own[1:]
+                done += self.count(p)
                 at += len(p)
-        return at
+            k += 1
+        return out
 
     def at_every_prefix(self, text: str) -> np.ndarray:
-        """Exact token count of text[:i] for i = 0..len(text).
+        """Exact token count of text[:i] for i = 0..len(text), in one pass.
 
-        Inside a pretoken it is the count up to the pretoken and that of its prefix. Where the
-        pattern would cut the prefix differently (in white space before a word, in a contraction
-        or inside a special string) the cut is made anew from the last pretoken's start.
+        A special string is one token once it is whole; before, its signs go with what stands before it.
         """
+        if not self.special or not any(s in text for s in self.special):
+            return self._plain_prefixes(text)
         out, done, at = np.zeros(len(text) + 1, np.int64), 0, 0
-        pieces = self.pieces(text)
-        for k, p in enumerate(pieces):
-            # a run of white space is one pretoken until a word follows; the signs of a special string join what is before
-            back = at - len(pieces[k - 1]) if k and (p in self.special or pieces[k - 1].isspace()) else at
-            if p in self.special or p.startswith("'") or p.isspace() or back < at:
-                base = out[back]
-                for i in range(1, len(p) + 1):
-                    part = text[back : at + i]
-                    out[at + i] = base + sum(self.counts_of(self.pieces(part)))
-            else:
-                counts, b = self.prefix_counts(p.encode()), 0
-                for i, c in enumerate(p, 1):
-                    b += len(c.encode())
-                    out[at + i] = done + counts[b]
-            at += len(p)
-            done = int(out[at])
+        parts = self.at_special(text)
+        for k in range(0, len(parts), 2):
+            part, special = parts[k], parts[k + 1] if k + 1 < len(parts) else ""
+            own = self._plain_prefixes(part)
+            out[at + 1 : at + len(part) + 1] = done + own[1:]
+            if special:
+                pieces = self.split(part)
+                back = len(part)
+                while pieces and (back == len(part) or pieces[-1].isspace()):  # the last pretoken and white space before
+                    back -= len(pieces.pop())
+                again = self._plain_prefixes(part[back:] + special[:-1])
+                at_special = at + len(part)
+                out[at_special + 1 : at_special + len(special)] = done + own[back] + again[len(part) - back + 1 :]
+                done += int(own[-1]) + 1
+                at = at_special + len(special)
+                out[at] = done
         return out
 
 
@@ -293,12 +345,13 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 
 def count_tokens(docs: DataFrame, path: str | None = None, budgets: tuple[int, ...] = (LIMIT,), text_col: str = "text", prefixes: bool = False) -> DataFrame:
     """docs with n_bytes, n_tokens and, for each budget b, cut_b: the code points of the longest
-    prefix of whole pretokens that has at most b tokens. With `prefixes`, also pretoken_ends
-    (code points) and prefix_tokens (the counts there)."""
+    prefix that has at most b tokens. With `prefixes`, also prefix_tokens: the exact counts of
+    text[:i] for i = 0..length, from which `tokens_before` and `longest_prefix` answer any other
+    question. Columns with these names are replaced."""
     path = path or vocabulary_path()
     out = {"n_bytes": "bigint", "n_tokens": "bigint"} | {f"cut_{b}": "bigint" for b in budgets}
     if prefixes:
-        out |= {"pretoken_ends": "array<int>", "prefix_tokens": "array<int>"}
+        out["prefix_tokens"] = "array<int>"
 
     def fn(batch: pa.RecordBatch) -> dict[str, list]:
         c, new = counter(path), {k: [] for k in out}
@@ -310,14 +363,23 @@ def count_tokens(docs: DataFrame, path: str | None = None, budgets: tuple[int, .
             for b in budgets:
                 new[f"cut_{b}"].append(len(text) if n <= b else c.cut(text, *parts, b))
             if prefixes:
-                pieces = c.pieces(text)
-                new["pretoken_ends"].append(np.cumsum([len(p) for p in pieces]).astype(np.int32))
-                new["prefix_tokens"].append(np.cumsum(c.counts_of(pieces)).astype(np.int32))
+                new["prefix_tokens"].append(c.at_every_prefix(text).astype(np.int32))
         return new
 
     return add_columns(docs, text_col, out, fn)
 
 
+def tokens_before(prefix_tokens: Column, length: Column) -> Column:
+    """Tokens of a text's prefix of so many code points, from its stored counts."""
+    return F.get(prefix_tokens, F.least(length, F.size(prefix_tokens) - 1).cast("int"))
+
+
+def longest_prefix(prefix_tokens: Column, budget: Column) -> Column:
+    """Code points of a text's longest prefix within a budget of tokens, from its stored counts."""
+    fits = F.transform(prefix_tokens, lambda n, i: F.when(n <= budget, i))
+    return F.array_max(fits).cast("bigint")
+
+
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     counted = count_tokens(docs)

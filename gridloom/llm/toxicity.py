@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the 3- to 5-byte n-grams inside its distinct words (A-Z lower-cased, with a
-space before and after), hashed into `BUCKETS` buckets; a word counts once however often it stands. Each feature
+A text's features are the n-grams of 3 to 5 characters (code points) inside its distinct words (A-Z
+lower-cased, with a space before and after), hashed into `BUCKETS` buckets; a word counts once however often it stands. Each feature
 is scaled by the log ratio of its smoothed frequencies in toxic and clean texts, and a logistic
 regression is fitted to the scaled features. The score of a text is a sum over its distinct words, so
 a task computes a word once and looks it up from then on.
 
 The classifier is fitted on at most `PER_CLASS` labelled texts of each class, those with the
-smallest hash of the id; its intercept is then moved to the classes' true shares. Null and
+smallest hash of the id, and on at most `SAMPLE_BYTES` of their texts in that order (the first is
+whole, however long); its intercept is then moved to the classes' true shares. Null and
 empty texts get the score of a text without features. Without labels of both classes the score is 0.
 Labels whose id no document has, or that are null, are ignored.
 """
@@ -20,14 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gridloom.llm.tables import small
-from gridloom.llm.words import LOWER, Bytes, Table, add_columns, byte_class, column, slices
+from gridloom.llm.words import LOWER, Bytes, add_columns, byte_class, column, own_store, slices
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
 #: Bound of the training sample: labelled texts of each class.
 PER_CLASS = 2500
+#: And bytes of their texts, which the driver reads.
+SAMPLE_BYTES = 64 << 20
 SMOOTHING, DECAY, STEPS, RATE = 1.0, 0.03, 200, 0.04
 #: Words whose score a task keeps; when they are more, it starts anew.
 STORE = 1_000_000
@@ -54,12 +58,14 @@ def distinct_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def word_features(own: Bytes) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of all n-grams of the words."""
     words, buckets = [], []
-    word_at = np.repeat(np.arange(own.n), np.diff(own.offs))
-    at = np.arange(len(own.data))
+    start = np.flatnonzero((own.data & 0xC0) != 0x80)  # of characters
+    end = np.append(start[1:], len(own.data))
+    word = np.searchsorted(own.offs, start, side="right") - 1
     for n in SIZES:
-        start = at[at + n <= own.offs[word_at + 1]]
-        words.append(word_at[start])
-        buckets.append((own.hashes(start, start + n) % np.uint64(BUCKETS)).astype(np.int64))
+        at = np.arange(max(0, len(start) - n + 1))
+        at = at[word[at] == word[at + n - 1]]
+        words.append(word[at])
+        buckets.append((own.hashes(start[at], end[at + n - 1]) % np.uint64(BUCKETS)).astype(np.int64))
     return np.concatenate(words), np.concatenate(buckets)
 
 
@@ -114,47 +120,30 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     order = [F.xxhash64("id"), "id"]
     ids = known.where("toxic = 1").orderBy(*order).limit(per_class).unionByName(known.where("toxic = 0").orderBy(*order).limit(per_class))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(ids), "id").select("id", "toxic", "text").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(ids), "id").select("id", "toxic", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
+    upto = Window.orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, -1)  # over the sample alone
+    bounded = rows.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0))).where((F.col("before") + F.col("size") <= SAMPLE_BYTES) | (F.col("before") == 0))
+    rows = bounded.select("id", "toxic", "text").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     toxic = rows.column("toxic").to_numpy().astype(float)
     if len(set(toxic)) < 2:
         return None
     return fit(rows.column("text").combine_chunks(), toxic, count[1] / (count[0] + count[1]))
 
 
-class WordScores:
-    """Scores of words by their hash, computed once: a large table and a small list of newer words."""
+def word_scores(own: Bytes, weight: np.ndarray) -> np.ndarray:
+    """Scores of the words whose bytes are `own`; an n-gram counts once in a word."""
+    gw, gb = word_features(own)
+    pair = np.unique(gw * BUCKETS + gb)
+    return np.bincount(pair // BUCKETS, weights=weight[pair % BUCKETS], minlength=own.n)
 
-    def __init__(self, weight: np.ndarray):
-        self.weight = weight
-        self.known, self.scores = np.empty(0, np.uint64), np.empty(0)
-        self.table = Table(self.known, np.empty(0, np.int32))
-        self.tabled = 0
 
-    def get(self, h: np.ndarray, own: Bytes) -> np.ndarray:
-        """Scores of the words with hashes h (sorted, distinct), whose bytes are `own`."""
-        if len(self.known) > STORE:
-            self.__init__(self.weight)
-        at = self.table.get(h)
-        missing = np.flatnonzero(at < 0)
-        out = np.where(at >= 0, self.scores[at] if len(self.scores) else 0.0, 0.0)
-        if len(missing):
-            part = Bytes(pa.array([], pa.binary()))
-            size = np.diff(own.offs)[missing]
-            part.n, part.offs = len(missing), np.concatenate([[0], np.cumsum(size)])
-            within = np.arange(size.sum()) - np.repeat(part.offs[:-1], size)
-            part.raw = part.data = own.data[np.repeat(own.offs[missing], size) + within]
-            gw, gb = word_features(part)
-            pair = np.unique(gw * BUCKETS + gb)  # an n-gram counts once in a word
-            out[missing] = np.bincount(pair // BUCKETS, weights=self.weight[pair % BUCKETS], minlength=len(missing))
-            self.known, self.scores = np.concatenate([self.known, h[missing]]), np.concatenate([self.scores, out[missing]])
-            if len(self.known) > 1.25 * self.tabled + 20_000:
-                self.known, first = np.unique(self.known, return_index=True)
-                self.scores = self.scores[first]
-                self.table, self.tabled = Table(self.known, np.arange(len(self.known), dtype=np.int32)), len(self.known)
-        return out
-
-
-_stores: dict[str, WordScores] = {}
+def some_words(own: Bytes, which: np.ndarray) -> Bytes:
+    """The chosen words' bytes alone."""
+    part, size = Bytes(pa.array([], pa.binary())), np.diff(own.offs)[which]
+    part.n, part.offs = len(which), np.concatenate([[0], np.cumsum(size)])
+    within = np.arange(size.sum()) - np.repeat(part.offs[:-1], size)
+    part.raw = part.data = own.data[np.repeat(own.offs[which], size) + within]
+    return part
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str = "text") -> DataFrame:
@@ -166,23 +155,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str
         if shared.value is None:
             return {"score": np.zeros(batch.num_rows), "predicted": np.zeros(batch.num_rows, np.int32)}
         weight, b = shared.value
-        if name not in _own_stores():
-            _own_stores().clear()
-            _own_stores()[name] = WordScores(weight)
         doc, word, h, own = distinct_words(column(batch, text_col))
-        each = _own_stores()[name].get(h, own)
-        z = b + np.bincount(doc, weights=each[word], minlength=batch.num_rows)
+        store = own_store(name, STORE)
+        each, missing = store.get(h, 1)
+        if len(missing):
+            each[missing, 0] = word_scores(some_words(own, missing), weight)
+            store.put(h[missing], each[missing])
+        z = b + np.bincount(doc, weights=each[word, 0], minlength=batch.num_rows)
         p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         return {"score": p, "predicted": (p >= 0.5).astype(np.int32)}
 
     return add_columns(docs, text_col, {"score": "double", "predicted": "int"}, fn)
 
 
-def _own_stores() -> dict[str, WordScores]:
-    """The stores of this worker process."""
-    return _stores
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     """Rows whose labels aren't learnt from: crc32 of the id as text is 0 modulo 5."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))

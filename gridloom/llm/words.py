@@ -234,3 +234,47 @@ class Table:
             got[other] = self.values[at[other]]
             other = other[(got[other] >= 0) & (self.keys[at[other]] != keys[other])]
         return got
+
+
+class Store:
+    """Values of hashes that a task has computed, some numbers for each: a table, and a list of newer ones."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.values = np.empty(0, np.uint64), None
+        self.table, self.tabled = Table(self.known, np.empty(0, np.int32)), 0
+
+    def get(self, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(values: hashes x width, indexes of the hashes that aren't there)."""
+        if self.values is None:
+            self.values = np.empty((0, width))
+        at = self.table.get(h)
+        out = np.zeros((len(h), width))
+        have = np.flatnonzero(at >= 0)
+        out[have] = self.values[at[have]]
+        return out, np.flatnonzero(at < 0)
+
+    def put(self, h: np.ndarray, values: np.ndarray) -> None:
+        """A store that would have more than its limit is emptied first."""
+        if len(self.known) + len(h) > self.limit:
+            self._clear()
+            self.values = np.empty((0, values.shape[1]))
+        self.known, self.values = np.concatenate([self.known, h]), np.concatenate([self.values, values])
+        if len(self.known) > 1.25 * self.tabled + 8000:
+            self.known, first = np.unique(self.known, return_index=True)
+            self.values = self.values[first]
+            self.table, self.tabled = Table(self.known, np.arange(len(self.known), dtype=np.int32)), len(self.known)
+
+
+_stores: dict[str, Store] = {}
+
+
+def own_store(name: str, limit: int) -> Store:
+    """This worker process' store for one model; another model's store goes."""
+    if name not in _stores:
+        _stores.clear()
+        _stores[name] = Store(limit)
+    return _stores[name]

@@ -178,18 +178,38 @@ def test_token_counts_are_the_library_s(spark):
     letters = list(string.printable + "éßñ日本🙂  ")
     texts = TRICKY + ["".join(rng.choice(letters, 80)) for _ in range(200)] + [text(rng, 3000), None]
     df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(texts)], "doc_id int, text string, n_tokens int")
-    for r in token_counts.count_tokens(df, budgets=(5,), prefixes=True).collect():
+    for r in token_counts.count_tokens(df, budgets=(5, 1024), prefixes=True).collect():
         n = len(t.encode(r.text or "", add_special_tokens=False).ids)
         assert r.n_tokens == n and r.n_bytes == len((r.text or "").encode())
-        counts = dict(zip([0, *r.pretoken_ends], [0, *r.prefix_tokens], strict=True))
-        assert r.cut_5 == (len(r.text or "") if n <= 5 else max(k for k, c in counts.items() if c <= 5))
+        every = prefix_counts(t, r.text or "") if len(r.text or "") < 300 else None
+        assert every is None or r.prefix_tokens == every
+        assert r.prefix_tokens[-1] == n and r.cut_5 == max(i for i, k in enumerate(r.prefix_tokens) if k <= 5)
+        assert r.cut_1024 == max(i for i, k in enumerate(r.prefix_tokens) if k <= 1024)
+
+
+def prefix_counts(t, s):
+    return [len(t.encode(s[:i], add_special_tokens=False).ids) for i in range(len(s) + 1)]
+
+
+HARD = ["a  <|endoftext|>!", "!!! <|endoftext|> 's\n\n <|endoftext|><|endoftext|>'ll", "a\n \n  b", " \n\n\tx", "'l'll'lx 'd", "x  ", "12  'reé  日本 \u3000 a", " <|endoftext", "a \u00a0b", "don't'"]
 
 
 def test_every_prefix_has_its_exact_count():
     t, c, rng = library(), token_counts.counter(token_counts.vocabulary_path()), np.random.default_rng(4)
-    for s in TRICKY[:5] + ["".join(rng.choice(list("ab 'sdre\n!é1"), 40)) for _ in range(25)]:
-        want = [len(t.encode(s[:i], add_special_tokens=False).ids) for i in range(len(s) + 1)]
-        assert c.at_every_prefix(s).tolist() == want
+    signs = [*"ab  'sdrel\n!é1\t", "<|endoftext|>", "  "]
+    for s in TRICKY + HARD + ["".join(rng.choice(signs, 30)) for _ in range(150)]:
+        want = prefix_counts(t, s)
+        assert c.at_every_prefix(s).tolist() == want, s
+        for budget in (0, 1, 3, 7):
+            if want[-1] > budget:
+                assert c.cut(s, *c.units(s), budget) == max(i for i, n in enumerate(want) if n <= budget), (s, budget)
+
+
+def test_stored_counts_answer_questions(spark):
+    df = spark.createDataFrame([(1, "one two three, four"), (2, ""), (3, None)], "doc_id int, text string")
+    counted = token_counts.count_tokens(df, budgets=(), prefixes=True)
+    q = counted.select("doc_id", token_counts.tokens_before(F.col("prefix_tokens"), F.lit(7)).alias("n"), token_counts.longest_prefix(F.col("prefix_tokens"), F.lit(2)).alias("cut"))
+    assert {tuple(r) for r in q.collect()} == {(1, 2, 7), (2, 0, 0), (3, 0, 0)}
 
 
 # --- 4 packing
@@ -228,10 +248,31 @@ def test_packing(spark, empty):
     placed = got.assign(s=got.doc_id.map(source)).dropna(subset=["s"])
     assert not placed.duplicated(["bin_id", "s"]).any()
     assert sorted(got[got.doc_id == 900].start.unique()) == [0, 1000, 2000]
+    wide = packing.pack(spark.createDataFrame([(1, "a" + "é" * 2000, "s"), (2, "日本🙂" * 300, "t")], "doc_id long, text string, source string"), capacity=1000).toPandas()
+    for i, t in ((1, "a" + "é" * 2000), (2, "日本🙂" * 300)):
+        own = wide[wide.doc_id == i].sort_values("piece")
+        parts = [t.encode()[s : s + n] for s, n in zip(own.start, own.length, strict=True)]
+        assert b"".join(parts).decode() == t and all(p.decode() for p in parts) and own.length.iloc[:-1].min() > 996
     assert packing.pack(df.repartition(5), capacity=1000, group=64).orderBy("bin_id", "position").collect() == packing.pack(df, capacity=1000, group=64).orderBy("bin_id", "position").collect()
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_by_tokens(spark):
+    t, rng = library(), np.random.default_rng(8)
+    rows = [(i, text(rng, int(rng.integers(0, 120))), f"s{i % 5}") for i in range(80)] + [(900, "wörd 日本  <|endoftext|> x" * 40, "s1"), (901, None, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=64, group=64, tokens=True).toPandas()
+    assert got.groupby("bin_id")["size"].sum().max() <= 64
+    for i, s, _ in rows:
+        own, data = got[got.doc_id == i].sort_values("piece"), (s or "").encode()
+        parts = [data[a : a + n].decode() for a, n in zip(own.start, own.length, strict=True)]
+        assert "".join(parts) == (s or "")
+        assert own["size"].tolist() == [len(t.encode(p, add_special_tokens=False).ids) for p in parts]
+        rest = s or ""
+        for p in parts[:-1]:  # no longer prefix fits
+            assert all(len(t.encode(rest[:k], add_special_tokens=False).ids) > 64 for k in range(len(p) + 1, min(len(rest), len(p) + 40)))
+            rest = rest[len(p) :]
+
+
 def test_packing_keeps_near_copies_apart(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = []
@@ -322,33 +363,152 @@ def test_toxicity_is_learnt(spark, empty):
     assert toxicity.score(empty, toxicity.learn(empty, labels)).count() == 0
 
 
-def test_forward_algorithm_sums_all_segmentations():
-    import public_tokenizers
+def plain_grams(s):
+    """Buckets of the 3- to 5-character n-grams of each distinct word, once each."""
+    out = []
+    for w in {w for w in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", (s or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))}:
+        grams = {f" {w} "[i : i + n] for n in (3, 4, 5) for i in range(len(w) + 3 - n)}
+        b = Bytes(pa.array(sorted(grams)))
+        out.append(set((b.hashes(b.offs[:-1], b.offs[1:]) % np.uint64(toxicity.BUCKETS)).tolist()))
+    return out
+
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    table, n, longest = language_id.pieces(path)
-    p = np.random.default_rng(0).random((n, 2))
+def test_toxicity_scores_are_sums_over_character_grams(spark):
+    weight = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    texts = ["Злой злой текст a bc", "日本語 日本", "ÀÉ x" * 9, "", None, "plain words, and Plain again"]
+    got = toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string"), (weight, -0.3)).collect()
+    for r in got:
+        z = -0.3 + sum(weight[k] for grams in plain_grams(r.text) for k in grams)
+        assert np.isclose(r.score, 1 / (1 + np.exp(-np.clip(z, -40, 40)))) and r.predicted == int(r.score >= 0.5)
+
+
+def test_toxicity_fit_equals_a_dense_one():
+    rng = np.random.default_rng(2)
+    texts = [text(rng, 8, ["злой", "bad", "good", "fine", "thing", "other", "größe"]) for _ in range(30)]
+    toxic = np.array([float("bad" in t or "злой" in t) for t in texts])
+    words = Counter(w for t in texts for w in set(t.split()))
+    grams = [[g for w in dict.fromkeys(t.split()) if words[w] > 1 for g in plain_grams(w)] for t in texts]
+    used = sorted({k for t in grams for g in t for k in g})
+    x = np.array([[sum(k in g for g in t) for k in used] for t in grams], float)
+    p, q = x.T @ toxic + toxicity.SMOOTHING, x.T @ (1 - toxic) + toxicity.SMOOTHING
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    w, b, m, v = np.zeros(len(used)), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    for step in range(1, toxicity.STEPS + 1):
+        miss = (1 / (1 + np.exp(-(x * ratio @ w + b))) - toxic) / len(toxic)
+        g = np.append((x * ratio).T @ miss + toxicity.DECAY * w, miss.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    weight, intercept = toxicity.fit(pa.array(texts), toxic, toxic.mean())
+    assert np.allclose(weight[used], w * ratio, atol=1e-6) and np.isclose(intercept, b, atol=1e-6)
+    assert np.count_nonzero(weight) <= len(used)
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, share: seen.append(texts.to_pylist()))
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    for bound, n in ((1000, 10), (10**6, 20)):
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", bound)
+        toxicity.learn(df, labels)
+        assert len(seen[-1]) == n
+
+
+def plain_forward(word: bytes, table, longest, logp):
+    """log of the sum over all segmentations, position by position in Python."""
+    b = Bytes(pa.array([word], pa.binary()))
+    alpha = [0.0]
+    for i in range(1, len(word) + 1):
+        ways = []
+        for n in range(1, min(i, longest) + 1):
+            t = table.get(b.hashes(np.array([i - n]), np.array([i])))[0]
+            if t >= 0:
+                ways.append(alpha[i - n] + logp[t])
+        top = max(ways)
+        alpha.append(top + np.log(sum(np.exp(w - top) for w in ways)))
+    return alpha[-1]
+
+
+@pytest.mark.parametrize("block", [1 << 15, 7])
+def test_forward_algorithm_sums_all_segmentations(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    table, n, longest = language_id.pieces(language_id.vocabulary_path())
+    p = np.random.default_rng(0).random((n, 2)) ** 8  # some pieces are very rare
     p /= p.sum(axis=0)
-    b, doc, word, start, end = language_id._words(pa.array(["Über the the straße, " + "z" * 90]))
-    got = language_id.log_probabilities(b, start, end, table, longest, p)
+    run = "東京都千代田区は日本の首都であり多くの人がいる" * 12  # 828 bytes without a space
+    texts = ["Über the the straße, " + "z" * 90 + " достопримечательностями " + run, "of " + "ж" * 300 + "x"]
+    b, doc, word, start, end = language_id._words(pa.array(texts))
+    assert (end - start).max() == len(run.encode()) + 1  # no run is cut
+    for q in (p, np.maximum(p, 1e-12), np.full_like(p, 1e-13)):  # products far below the range of doubles
+        got = language_id.log_probabilities(b, start, end, table, longest, q)
+        for k in range(len(start)):
+            w = b.data[start[k] : end[k]].tobytes()
+            assert np.allclose(got[k], [plain_forward(w, table, longest, np.log(q[:, j])) for j in (0, 1)], rtol=1e-9)
+    small = language_id.log_probabilities(b, start, end, table, longest, np.stack([np.full(n, 5e-11), np.full(n, 5e-12)], axis=1))
+    assert (small[:, 0] > small[:, 1]).all()  # languages stay apart, however small the products
+
+
+@pytest.mark.parametrize("block", [1 << 15, 5])
+def test_expected_counts_are_those_of_all_segmentations(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK", block)
+    table, n, longest = language_id.pieces(language_id.vocabulary_path())
+    words = ["the", "straße", "ab", "жук", "zz" * 4]
+    b, doc, word, start, end = language_id._words(pa.array([" ".join(words) + " " + "кот" * 40]))
+    weight = np.arange(1.0, len(start) + 1)[:, None]
+    got = language_id.expected_counts(b, start, end, table, longest, n, weight)[:, 0]
+    want, long = np.zeros(n), []
     for k in range(len(start)):
-        s = start[k]
-
-        def total(at, stop, lang):
-            if at == stop:
-                return 1.0
-            ways = 0.0
-            for z in range(at + 1, min(stop, at + longest) + 1):
-                t = table.get(b.hashes(np.array([at]), np.array([z])))[0]
+        w = b.data[start[k] : end[k]].tobytes()
+        if len(w) > 20:
+            long.append(k)
+            continue
+        found: dict[tuple, float] = {}
+
+        def segment(at, used, w=w, found=found):
+            if at == len(w):
+                found[tuple(used)] = float(n) ** -len(used)
+            for z in range(at + 1, len(w) + 1):
+                own = Bytes(pa.array([w[at:z]], pa.binary()))
+                t = table.get(own.hashes(own.offs[:-1], own.offs[1:]))[0]
+                if t >= 0:
+                    segment(z, [*used, t])
+
+        segment(0, [])
+        total = sum(found.values())
+        for used, ways in found.items():
+            for t in used:
+                want[t] += weight[k, 0] * ways / total
+    assert (got >= want - 1e-9).all()
+    short = [k for k in range(len(start)) if k not in long]
+    own = language_id.expected_counts(b, start[short], end[short], table, longest, n, weight[short])[:, 0]
+    assert np.allclose(own, want, atol=1e-9)
+    # every byte of a word is in one piece of each segmentation
+    sizes = np.zeros(n)
+    for k in long:
+        single = language_id.expected_counts(b, start[[k]], end[[k]], table, longest, n, np.ones((1, 1)))[:, 0]
+        w = b.data[start[k] : end[k]].tobytes()
+        for a in range(len(w)):
+            for z in range(a + 1, min(len(w), a + longest) + 1):
+                own = Bytes(pa.array([w[a:z]], pa.binary()))
+                t = table.get(own.hashes(own.offs[:-1], own.offs[1:]))[0]
                 if t >= 0:
-                    ways += p[t, lang] * total(z, stop, lang)
-            return ways
+                    sizes[t] = z - a
+        assert abs((single * sizes).sum() - len(w)) < 1e-6
+
 
-        if end[k] - s <= 12:
-            assert np.allclose(got[k], np.log([total(s, end[k], 0), total(s, end[k], 1)]))
-    assert (end - start).max() <= language_id.WORD_BYTES
-    counts = language_id.expected_counts(b, start, end, table, longest, n, np.ones((len(start), 1)))
-    assert 0 < counts.sum() <= (end - start).sum()
+def test_word_counts_are_those_of_all_slices_together():
+    path = language_id.vocabulary_path()
+    texts = ["the cat sat", "кот и кот", "the the end " + "я" * 100, "the end"]
+    one, each = language_id.WordCounts(path), language_id.WordCounts(path)
+    one.add(pa.array(texts), ["a", "b", "a", "b"])
+    for t, k in zip(texts, "abab", strict=True):
+        each.add(pa.array([t]), [k])
+        if k == "b":
+            each.flush()
+    one.flush()
+    each.flush()
+    assert set(one.counts) == set(each.counts) == {"a", "b"} and all(np.allclose(one.counts[k], each.counts[k]) for k in "ab")
 
 
 def test_language_is_learnt(spark, empty):
@@ -394,6 +554,37 @@ def test_quality_statistics_and_verdicts(spark, docs, empty):
     assert quality.judge(empty, quality.learn(empty, empty)).count() == 0
 
 
+def plain_quality_grams(s):
+    w = re.findall(SPACES, (s or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+    b = Bytes(pa.array(w, pa.string()))
+    h = b.hashes(b.offs[:-1], b.offs[1:])
+    from gridloom.llm.words import ngrams
+
+    pairs = ngrams(h, np.zeros(len(h), np.int64), 2) if len(h) > 1 else np.empty(0, np.uint64)
+    return (np.concatenate([h, pairs]) % np.uint64(quality.BUCKETS)).astype(int).tolist()
+
+
+def test_quality_ratio_is_that_of_plain_counts(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, text(rng, int(rng.integers(0, 50)), WORDS[: 20 + 30 * (i % 2)]) if i % 9 else None) for i in range(60)] + [(60, "Bán BÁN bán"), (1, "a second text of id 1")]
+    trusted = {i for i, _ in rows if i % 4 == 0} | {1}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ratio = quality.learn(df, spark.createDataFrame([(i,) for i in trusted], "doc_id long"))
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        raw.update(plain_quality_grams(t))
+        good.update(plain_quality_grams(t) if i in trusted else [])
+    even = quality.SMOOTHING / quality.BUCKETS
+    share = lambda c, k: (1 - quality.SMOOTHING) * c[k] / max(1, sum(c.values())) + even
+    for k in raw:
+        assert np.isclose(ratio[k], np.log(share(good, k)) - np.log(share(raw, k)))
+    assert all(r == np.log(even) - np.log(even) for k, r in enumerate(ratio) if k not in raw)
+    for r in quality.judge(df, ratio).collect():
+        grams = plain_quality_grams(r.text)
+        assert np.isclose(r.llr, np.mean([ratio[k] for k in grams]) if grams else 0.0)
+        assert r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
+
+
 # --- 8 personal data
 
 PRIVATE = [
@@ -450,7 +641,7 @@ def brute_hits(t, items, n=10):
         for a in range(len(w) - size + 1 if size else 0):
             if tuple(w[a : a + size]) in wins:
                 hit.update(range(a, a + size))
-                found.add(str(k))
+                found |= {str(k)} - {"None"}
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
 
 
@@ -458,8 +649,8 @@ def brute_hits(t, items, n=10):
 def test_decontamination(spark, docs, empty, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)  # 100: several automata
     long = docs.where("doc_id = 9").first().text.split()
-    items = [(1, " ".join(long[100:125])), (2, "Bán-bán, ONE!"), (3, None), (4, "..."), (10, " ".join(long[110:119]) + "?"), (2, "one two"), (5, " ".join(long[118:140]).upper()), (6, "one two")]
-    df = docs.unionByName(spark.createDataFrame([(50, "xx ONE--two; " + "; ".join(long[95:130]), "", 0), (51, "ones two", "", 0)], docs.schema))
+    items = [(1, " ".join(long[100:125])), (2, "Bán-bán, ONE!"), (3, None), (4, "..."), (10, " ".join(long[110:119]) + "?"), (2, "one two"), (5, " ".join(long[118:140]).upper()), (6, "one two"), (None, " ".join(long[200:215])), (None, None)]
+    df = docs.unionByName(spark.createDataFrame([(50, "xx ONE--two; " + "; ".join(long[95:130]), "", 0), (52, " ".join(long[201:212]), "", 0), (51, "ones two", "", 0)], docs.schema))
     bench = spark.createDataFrame(items, "item_id int, text string")
     found = decontaminate.find_contamination(df, bench)
     got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.summary(found).collect())
