@@ -1,67 +1,117 @@
 """Keyed surrogates for personal data, in DataFrame functions alone.
 
-Found are e-mail addresses, IBANs, card numbers (13 to 19 digits), US social security numbers, phone numbers, IPv4
-addresses and names after a title. A surrogate is derived from a keyed hash of the entity's kind and
-normal form, so all mentions of an entity have the same one, in every document and in every
-format; it keeps the mention's format (separators, letter case, country code, top-level domain,
-issuer digit, title) and, for names, the gender that the title shows and the script.
+Found are e-mail addresses, IBANs, card numbers (13 to 19 digits), US social security numbers, phone
+numbers, IPv4 addresses and names with a title or an honorific (Latin, Cyrillic, Greek, Arabic and
+Chinese characters). In a document with such a name, every other capitalised word (or word of a
+script without capitals) that is a part of it is found too, so that "Mr. John Smith", "John Smith"
+and "Smith" stay one person. Patterns repeat characters or possessive groups only, so that no text,
+however long or hostile, makes the engine recurse.
+
+A surrogate is derived from a keyed hash of the entity's kind and normal form, so all mentions of an
+entity have the same one, in every document and in every format. Names are replaced part by part:
+a family name is the same beside any given name. Surrogates keep the mention's format (separators,
+letter case, title, country code, top-level domain, issuer digit) and what makes it a true one of its
+kind: a card's Luhn sum, an IBAN's remainder, a social security number's valid ranges, a name's
+script and gender (by the title; a title of either gender takes the one that the given name has
+most often in the corpus).
 
 Distinct entities keep distinct surrogates: the table of distinct entities is checked for two
 entities with one surrogate and for surrogates that are themselves entities of the corpus; those
-are derived anew with the next attempt number until none is left. No text is shuffled for that; the
-replacements return to the documents by their id and the text's hash, broadcast if they are few.
+are derived anew with the next attempt number, which makes names and addresses longer, until none
+is left. No text is shuffled for that; the replacements return to the documents by their id and
+the text's hash, broadcast if they are few.
 
 Null texts stay null, texts without entities are unchanged. Repeated rows are each replaced alike.
-Rows of one id with different texts are told apart by the text. A column named n_entities is
-replaced.
+Rows of one id with different texts are told apart by the text. A column that has the name of the
+count is replaced; other columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.tables import drop, save, small
+from gridloom.llm.tables import drop, free_names, save, small
 
-#: A production run passes a key of its own, which is kept secret.
-KEY = "change-me"
 ATTEMPTS = 24
-
-_MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|господин|г-н"
-_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|госпожа|г-жа"
+#: Rows and bytes up to which the replacements are broadcast.
+FEW_ROWS, FEW_BYTES = 50_000, 32 << 20
+
+#: Titles by gender, and honorifics after a name.
+_MALE = "Mr|Herr|Herrn|Monsieur|Señor|Sr|господин|г-н|السيد"
+_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Señorita|Sra|госпожа|г-жа|السيدة"
+_EITHER = "Dr|Prof|Professor|Doctor|доктор|профессор|الدكتور|الدكتورة"
+_HONORIFIC = "さん|様|氏|先生|女士"
+_TITLES = rf"(?:(?:{_MALE}|{_FEMALE}|{_EITHER})\.? ){{1,3}}+"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.(?=[A-Za-z]{2}|[A-Za-z0-9-]++\.))++[A-Za-z]{2,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
     "card": r"(?<![A-Za-z0-9+])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "phone": r"(?<![A-Za-z0-9+])(?:(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|(?:1[.-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![A-Za-z0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_MALE}|{_FEMALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "name": rf"(?<![\p{{L}}\p{{N}}]){_TITLES}(?!(?:{_MALE}|{_FEMALE}|{_EITHER})(?!\p{{L}}))(?:\p{{Lu}}[\p{{L}}'-]++(?: \p{{Lu}}[\p{{L}}'-]++){{0,2}}+|\p{{IsArabic}}++)|(?<!\p{{IsHan}})\p{{IsHan}}{{1,4}}?(?:{_HONORIFIC})",
 }
-PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_TITLE = rf"^(?:{_MALE}|{_FEMALE})\.? "
+#: Words that may be a part of a name that the document has with a title.
+WORD = r"(?<![\p{L}\p{N}])(?:\p{Lu}[\p{L}'-]++|\p{IsArabic}++)|(?<!\p{IsHan})\p{IsHan}{1,4}+(?!\p{IsHan})"
+# what a match may start with is looked at once for the four kinds of numbers
+_NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("card", "ssn", "phone", "ip"))
+PATTERN = f"(?:{PATTERNS['email']})|(?:(?=[A-Z]{{2}}[0-9]){PATTERNS['iban']})|(?:(?=[0-9+(])(?:{_NUMBERS}))|(?:{PATTERNS['name']})"
+WITH_WORDS = f"{PATTERN}|(?:{WORD})"
+_TITLE, _AFTER = rf"^{_TITLES}", f"(?:{_HONORIFIC})$"
+
+
+def _kind(mention: Column) -> Column:
+    return F.coalesce(*[F.when(mention.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()], F.lit("word"))
+
+
+def _script(token: Column) -> Column:
+    named = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "arabic": r"\p{IsArabic}", "han": r"\p{IsHan}"}
+    return F.coalesce(*[F.when(token.rlike(p), F.lit(k)) for k, p in named.items()], F.lit("latin"))
 
 
 def find_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Mentions: (id, text_hash, position from 0, mention, kind, norm)."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)).alias("found")
-    )
-    m = rows.where(F.size("found") > 0).select("id", "text_hash", F.posexplode("found").alias("position", "mention")).distinct()
-    kind = F.coalesce(*[F.when(F.col("mention").rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()])
-    m = m.withColumn("kind", kind)
+    """Mentions: (id, text_hash, named, position from 0, mention, kind). Documents with a name
+    (`named`) have their words too (kind word), of which most are no entities."""
+    text = F.col("text")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.select("id", "text", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found")).where(F.size("found") > 0)
+    rows = rows.withColumn("named", F.exists("found", lambda m: m.rlike(f"{_TITLE}|{_AFTER}")))
+    found = F.when(F.col("named"), F.regexp_extract_all(text, F.lit(WITH_WORDS), F.lit(0))).otherwise(F.col("found"))
+    m = rows.select("id", "text_hash", "named", F.posexplode(found).alias("position", "mention")).distinct()
+    return m.withColumn("kind", _kind(F.col("mention")))
+
+
+def entity_parts(mentions: DataFrame) -> DataFrame:
+    """mentions with part (from 0), part_kind, norm and token: names have a part for each of their
+    words (the last one is the family name), other entities one; words that are no part of a name of their document have no norm."""
+    kind, mention = F.col("kind"), F.col("mention")
     digits = F.regexp_replace("mention", "[^0-9]", "")
-    gender = F.when(F.col("mention").rlike(rf"^(?:{_FEMALE})\.? "), "f").otherwise("m")
-    script = F.when(F.regexp_replace("mention", _TITLE, "").rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    norm = (
-        F.when(F.col("kind") == "phone", F.right(digits, F.lit(10)))
-        .when(F.col("kind").isin("card", "ssn"), digits)
-        .when(F.col("kind") == "iban", F.regexp_replace("mention", " ", ""))
-        .when(F.col("kind") == "name", F.concat_ws("|", gender, script, F.lower(F.regexp_replace("mention", _TITLE, ""))))
-        .otherwise(F.lower("mention"))
-    )
-    return m.withColumn("norm", norm)
+    plain = mentions.where(~kind.isin("name", "word")).select(
+        "*", F.lit(0).alias("part"), kind.alias("part_kind"),
+        F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace("mention", " ", "")).otherwise(F.lower("mention")).alias("norm"),
+    )
+    # a name's gender: that of its last title which has one
+    gender = F.when(mention.rlike(rf"(?:^| )(?:{_FEMALE})\.? |女士$"), "f").when(mention.rlike(rf"(?:^| )(?:{_MALE})\.? "), "m").otherwise("u")
+    tokens = F.split(F.lower(F.regexp_replace(F.regexp_replace("mention", _TITLE, ""), _AFTER, "")), " ")
+    names = mentions.where(kind == "name").select("*", gender.alias("own"), F.size(tokens).alias("n"), F.posexplode(tokens).alias("part", "token"))
+    names = names.select("*", F.when(F.col("part") == F.col("n") - 1, "family").otherwise("given").alias("part_kind"), _script(F.col("token")).alias("script"))
+    given = names.where("part_kind = 'given'").groupBy("token").agg(F.sum((F.col("own") == "f").cast("int") - (F.col("own") == "m").cast("int")).alias("lean"))
+    names = names.join(small(given), "token", "left")
+    known = F.when(F.col("own") != "u", F.col("own")).when(F.col("lean") > 0, "f").when(F.col("lean") < 0, "m").otherwise("u")
+    slavic = F.when(F.col("token").rlike("[ая]$"), "f").otherwise("m")
+    of_part = F.when(F.col("part_kind") == "given", known).when(F.col("script") == "cyrillic", slavic).otherwise("u")
+    names = names.withColumn("norm", F.concat_ws("|", "script", of_part, "token"))
+    held = names.groupBy("id", "text_hash", "token").agg(F.min(F.struct("part_kind", "norm")).alias("held"))
+    words = mentions.where(kind == "word").withColumn("token", F.lower("mention"))
+    same = words["id"].eqNullSafe(held["id"]) & (words["text_hash"] == held["text_hash"]) & (words["token"] == held["token"])
+    words = words.join(held, same, "left").select(*[words[c] for c in mentions.columns], F.lit(0).alias("part"), F.col("held.part_kind").alias("part_kind"), F.col("held.norm").alias("norm"))
+    columns = [*mentions.columns, "part", "part_kind", "norm"]
+    return plain.select(columns).unionByName(names.select(columns)).unionByName(words.select(columns))
 
 
 def _byte(hexed: Column, i: Column) -> Column:
@@ -69,11 +119,21 @@ def _byte(hexed: Column, i: Column) -> Column:
     return F.conv(F.substr(hexed, F.pmod(i, F.lit(64)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+def _number(hexed: Column, at: int, below: int) -> Column:
+    """A number from 1 to below, by six bytes of the hash."""
+    return F.pmod(F.conv(F.substr(hexed, F.lit(at * 2 + 1), F.lit(12)), 16, 10).cast("bigint"), F.lit(below)) + 1
+
+
+def _once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is computed once, however often fn uses it (in a loop over characters, say)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def _chars(s: Column, hexed: Column) -> Column:
     """s with each ASCII letter and digit replaced by one of its kind that the hash names."""
 
-    def one(c: Column, i: Column) -> Column:
-        b = _byte(hexed, i)
+    def one(h: Column, c: Column, i: Column) -> Column:
+        b = _byte(h, i)
         return (
             F.when(c.rlike("^[0-9]$"), F.pmod(b, F.lit(10)).cast("string"))
             .when(c.rlike("^[a-z]$"), F.char(F.pmod(b, F.lit(26)) + 97))
@@ -81,7 +141,27 @@ def _chars(s: Column, hexed: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(s, ""), one), "")
+    return _once(hexed, lambda h: F.array_join(F.transform(F.split(s, ""), lambda c, i: one(h, c, i)), ""))
+
+
+def luhn_sum(digits: Column) -> Column:
+    """Sum of a card number's digits, every second from the right doubled."""
+
+    def one(c: Column, i: Column) -> Column:
+        d = c.cast("int")
+        return F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
+
+    return F.aggregate(F.transform(F.split(F.reverse(digits), ""), one), F.lit(0), lambda s, x: s + x)
+
+
+def iban_remainder(iban: Column) -> Column:
+    """The number that an IBAN stands for, modulo 97; 1 for valid ones."""
+    moved = F.concat(F.substr(iban, F.lit(5)), F.left(iban, F.lit(4)))
+
+    def step(s: Column, c: Column) -> Column:
+        return F.when(c.rlike("^[0-9]$"), F.pmod(s * 10 + c.cast("int"), F.lit(97))).otherwise(F.pmod(s * 100 + F.ascii(c) - 55, F.lit(97)))
+
+    return F.aggregate(F.split(moved, ""), F.lit(0), step)
 
 
 def _fill(mention: Column, slot: str, new: Column) -> Column:
@@ -90,66 +170,82 @@ def _fill(mention: Column, slot: str, new: Column) -> Column:
     return F.array_join(F.zip_with(around, chars, lambda a, c: F.concat(a, F.coalesce(c, F.lit("")))), "")
 
 
-def _syllables(hexed: Column, at: int, last: Column, script: Column) -> Column:
-    """A generated name of two syllables and an ending."""
-    latin = F.split(F.lit("b d f g k l m n p r s t v z br dr kl st"), " ")
-    cyrillic = F.split(F.lit("б д ф г к л м н п р с т в з бр др кл ст"), " ")
-    consonant = F.when(script == "cyrillic", cyrillic).otherwise(latin)
-    vowel = F.split(F.when(script == "cyrillic", F.lit("а е и о у")).otherwise(F.lit("a e i o u")), " ")
-    parts = []
-    for k in range(3):
-        parts.append(F.element_at(consonant, F.pmod(_byte(hexed, F.lit(at + 2 * k)), F.lit(18)) + 1))
-        parts.append(F.element_at(vowel, F.pmod(_byte(hexed, F.lit(at + 2 * k + 1)), F.lit(5)) + 1))
-    return F.initcap(F.concat(*parts, last))
+#: Sounds of generated names by script: first and second half of a syllable.
+SOUNDS = {
+    "latin": ("b d f g k l m n p r s t v z br dr kl st", "a e i o u"),
+    "cyrillic": ("б д ф г к л м н п р с т в з бр др кл ст", "а е и о у"),
+    "greek": ("β δ φ γ κ λ μ ν π ρ σ τ ζ θ", "α ε ι ο"),
+    "arabic": ("ب د ف ك ل م ن ر س ت ز ح", "ا ي و"),
+    "han": ("田 中 山 川 村 木 林 森 石 原 小 高 松 本 上 大 野 井 佐 金 北 南 西 東", ""),
+}
+#: Endings of given and family names by script and gender.
+ENDINGS = {("latin", "f"): "na", ("latin", "m"): "n", ("cyrillic", "f"): "ва", ("cyrillic", "m"): "в", ("greek", "f"): "α", ("greek", "m"): "ς"}
+
 
+def _generated(hexed: Column, script: Column, gender: Column, attempt: Column) -> Column:
+    """A name of three syllables (one more with each attempt) and its gender's ending."""
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+    def choice(half: int) -> Column:
+        out = F.lit(None).cast("array<string>")
+        for k, sounds in SOUNDS.items():
+            out = F.when(script == k, F.array(*[F.lit(x) for x in sounds[half].split(" ")])).otherwise(out)
+        return out
+
+    def pick(values: Column, h: Column, i: Column) -> Column:
+        return F.element_at(values, F.pmod(_byte(h, i), F.size(values)) + 1)
+
+    ending = F.lit("")
+    for (s, g), e in ENDINGS.items():
+        ending = F.when((script == s) & (gender == g), e).otherwise(ending)
+    syllables = _once(hexed, lambda h: F.array_join(F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.concat(pick(choice(0), h, 2 * i), pick(choice(1), h, 2 * i + 1))), ""))
+    return F.initcap(F.concat(syllables, ending))
+
+
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, norm, attempt) with surrogate: the new normal form."""
-    seed = F.concat_ws("|", F.lit(key), "kind", "norm", "attempt")
-    hexed = F.sha2(seed.cast("binary"), 512)
+    kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
+    hexed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt).cast("binary"), 512)
     local, domain = F.substring_index("norm", "@", 1), F.substring_index("norm", "@", -1)
     top = F.substring_index(domain, ".", -1)
     labels = F.substr(domain, F.lit(1), F.length(domain) - F.length(top))
     of_domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain).cast("binary"), 512)
-    longer = F.when(F.col("attempt") > 2, F.substr(hexed, F.lit(100), F.col("attempt"))).otherwise("")
+    longer = F.when(attempt > 2, F.substr(hexed, F.lit(100), attempt)).otherwise("")
     email = F.concat(_chars(local, hexed), longer, F.lit("@"), _chars(labels, of_domain), top)
     ip = F.concat_ws(".", *[(F.pmod(_byte(hexed, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])
     phone = F.concat((F.pmod(_byte(hexed, F.lit(63)), F.lit(8)) + 2).cast("string"), _chars(F.expr("substr(norm, 2)"), hexed))
-    gender, script, name = (F.split_part("norm", F.lit("|"), F.lit(i)) for i in (1, 2, 3))
-    ending = F.when(script == "cyrillic", F.when(gender == "f", "на").otherwise("н")).otherwise(F.when(gender == "f", "na").otherwise("n"))
-    first, second = _syllables(hexed, 0, ending, script), _syllables(hexed, 8, ending, script)
-    named = F.when(F.instr(name, " ") > 0, F.concat_ws(" ", first, second)).otherwise(first)
-    new = (
-        F.when(F.col("kind") == "email", email)
-        .when(F.col("kind") == "ip", ip)
-        .when(F.col("kind") == "phone", phone)
-        .when(F.col("kind") == "name", named)
-        .when(F.col("kind") == "iban", F.concat(F.left("norm", F.lit(2)), _chars(F.expr("substr(norm, 3)"), hexed)))
-        .when(F.col("kind") == "card", F.concat(F.left("norm", F.lit(1)), _chars(F.expr("substr(norm, 2)"), hexed)))
-        .otherwise(_chars(F.col("norm"), hexed))
-    )
+    ssn = F.concat(*[F.lpad(_number(hexed, 6 * i, below).cast("string"), width, "0") for i, (below, width) in enumerate(((665, 3), (99, 2), (9999, 4)))])
+    rest = F.concat(F.left(norm, F.lit(1)), _chars(F.substr(norm, F.lit(2), F.length(norm) - 2), hexed))
+    card = F.concat(rest, F.pmod(luhn_sum(norm) - luhn_sum(F.concat(rest, F.lit("0"))), F.lit(10)).cast("string"))
+    account, country = _chars(F.expr("substr(norm, 5)"), hexed), F.left(norm, F.lit(2))
+    check = 98 - iban_remainder(F.concat(country, F.lit("00"), account))
+    check = F.when(iban_remainder(norm) == 1, check).otherwise(check + 1)  # a false one stays false
+    iban = F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
+    script, gender = F.split_part("norm", F.lit("|"), F.lit(1)), F.split_part("norm", F.lit("|"), F.lit(2))
+    named = _generated(hexed, script, gender, attempt)
+    new = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "card", card).otherwise(named)
     return entities.select("kind", "norm", "attempt", new.alias("surrogate"))
 
 
-def _as_norm(kind: Column, norm: Column, surrogate: Column) -> Column:
-    """The surrogate in the form of `norm`, to compare it with entities."""
-    return F.when(kind == "name", F.concat_ws("|", F.split_part(norm, F.lit("|"), F.lit(1)), F.split_part(norm, F.lit("|"), F.lit(2)), F.lower(surrogate))).otherwise(surrogate)
-
-
-def distinct_surrogates(mentions: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, norm, surrogate) of all distinct entities; no surrogate twice in a kind, and none
-    that is an entity of the corpus."""
-    entities = mentions.select("kind", "norm").distinct().withColumn("attempt", F.lit(0))
+def distinct_surrogates(parts: DataFrame, key: str) -> DataFrame:
+    """(part_kind, norm, surrogate) of all distinct entities; no surrogate twice among those of a
+    kind (all names are one), and none that is an entity of the corpus."""
+    is_name = F.col("kind").isin("given", "family")
+    group = F.when(is_name, "name").otherwise(F.col("kind"))
+    entities = parts.where("norm IS NOT NULL").select(F.col("part_kind").alias("kind"), "norm").distinct().withColumn("attempt", F.lit(0))
     table = save(surrogates(entities, key), "surrogates")
     for _ in range(ATTEMPTS):
-        own = table.withColumn("as_norm", _as_norm(F.col("kind"), F.col("norm"), F.col("surrogate")))
-        taken = own.groupBy("kind", F.col("as_norm")).agg(F.min("norm").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-        real = table.select("kind", F.col("norm").alias("as_norm"), F.lit(True).alias("real"))
-        checked = own.join(taken, ["kind", "as_norm"], "left").join(real, ["kind", "as_norm"], "left")
-        checked = save(checked.select("kind", "norm", "attempt", (F.coalesce("real", F.lit(False)) | F.coalesce(F.col("keeper") != F.col("norm"), F.lit(False))).alias("clash")), "checked")
+        # what a text would show
+        own = table.select("*", group.alias("group"), F.lower("surrogate").alias("shown"), F.concat_ws("|", "kind", "norm").alias("who"))
+        taken = own.groupBy("group", "shown").agg(F.min("who").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+        real = own.select("group", F.lower(F.when(is_name, F.split_part("norm", F.lit("|"), F.lit(3))).otherwise(F.col("norm"))).alias("shown"), F.lit(True).alias("real")).distinct()
+        checked = own.join(taken, ["group", "shown"], "left").join(real, ["group", "shown"], "left")
+        clash = F.coalesce("real", F.lit(False)) | F.coalesce(F.col("keeper") != F.col("who"), F.lit(False))
+        checked = save(checked.select("kind", "norm", "attempt", clash.alias("clash")), "checked")
         if checked.where("clash").isEmpty():
             drop(checked)
-            return table.select("kind", "norm", "surrogate")
+            out = table.select(F.col("kind").alias("part_kind"), "norm", "surrogate")
+            out.stored_at = table.stored_at
+            return out
         new = save(surrogates(checked.select("kind", "norm", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt")), key), "surrogates")
         drop(checked)
         drop(table)
@@ -158,36 +254,58 @@ def distinct_surrogates(mentions: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def _in_format(mention: Column, kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the mention's format."""
+    """The surrogate in the mention's format; names come part by part, in `surrogate` joined again."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
     numbers = F.concat(F.left(digits, F.length(digits) - F.length(surrogate)), surrogate)
-    title = F.regexp_extract(mention, _TITLE, 0)
+    title, after = F.regexp_extract(mention, _TITLE, 0), F.regexp_extract(mention, _AFTER, 0)
     name = F.substr(mention, F.length(title) + 1)
-    cased = F.when(F.upper(name) == name, F.upper(surrogate)).otherwise(surrogate)
+    capitals = (F.upper(name) == name) & (F.lower(name) != name)
+    cased = F.when(capitals & (F.length(name) > 1), F.upper(surrogate)).otherwise(surrogate)
     return (
         F.when(kind.isin("phone", "card", "ssn"), _fill(mention, "[0-9]", numbers))
         .when(kind == "iban", _fill(mention, "[A-Z0-9]", surrogate))
-        .when(kind == "name", F.concat(title, cased))
+        .when(kind == "name", F.concat(title, cased, after))
+        .when(kind == "word", cased)
         .when((kind == "email") & (F.upper(mention) == mention), F.upper(surrogate))
         .otherwise(surrogate)
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col replaced, and n_entities."""
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
+    """docs with text_col replaced, and count_col: the number of mentions that were. Who knows the
+    key can look surrogates up by trying entities, so it is kept secret."""
+    if not key:
+        raise ValueError("surrogates need a key")
     mentions = save(find_entities(docs, id_col, text_col), "mentions")
-    table = distinct_surrogates(mentions, key)
-    new = mentions.join(small(table, 50_000), ["kind", "norm"]).withColumn("new", _in_format(F.col("mention"), F.col("kind"), F.col("surrogate")))
-    by_text = new.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.array_sort(F.collect_list(F.struct("position", "new"))).alias("__new"))
-    by_text = small(save(by_text, "replacements"), 50_000)
-    rest = docs.drop("n_entities")
-    text = F.col(text_col)
-    joined = rest.join(by_text, rest[id_col].eqNullSafe(by_text["__id"]) & (F.xxhash64(rest[text_col]) == by_text["__hash"]), "left")
-    parts = F.zip_with(F.split(text, PATTERN, -1), F.col("__new"), lambda a, n: F.concat(a, F.coalesce(n["new"], F.lit(""))))
-    done = F.when(F.col("__new").isNotNull(), F.array_join(parts, "")).otherwise(text)
-    return joined.withColumn(text_col, done).withColumn("n_entities", F.coalesce(F.size("__new"), F.lit(0)).cast("bigint")).select(*rest.columns, "n_entities")
+    parts = save(entity_parts(mentions), "parts")
+    table = distinct_surrogates(parts, key)
+    shown = parts.join(small(table, FEW_ROWS), ["part_kind", "norm"], "left")
+    whole = shown.groupBy("id", "text_hash", "named", "position", "mention", "kind").agg(F.array_sort(F.collect_list(F.struct("part", "surrogate"))).alias("p"))
+    joined = F.array_join(F.transform("p", lambda x: x["surrogate"]), " ")
+    known = F.size(F.filter("p", lambda x: x["surrogate"].isNotNull())) > 0
+    whole = whole.select("id", "text_hash", "named", "position", known.alias("known"), F.when(known, _in_format(F.col("mention"), F.col("kind"), joined)).otherwise(F.col("mention")).alias("new"))
+    t_id, t_hash, t_named, t_new, t_n = free_names(docs, "id", "hash", "named", "new", "n")
+    by_text = whole.groupBy(F.col("id").alias(t_id), F.col("text_hash").alias(t_hash)).agg(F.first("named").alias(t_named), F.array_sort(F.collect_list(F.struct("position", "new"))).alias(t_new), F.sum(F.col("known").cast("bigint")).alias(t_n))
+    by_text = save(by_text.withColumn(t_new, F.transform(t_new, lambda x: x["new"])), "replacements")
+    for t in (parts, mentions, table):
+        drop(t)
+    size = by_text.agg(F.count("*"), F.coalesce(F.sum(F.aggregate(t_new, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x) + 16)), F.lit(0))).first()
+    side = F.broadcast(by_text) if size[0] <= FEW_ROWS and size[1] <= FEW_BYTES else by_text
+    rest = docs.drop(count_col)
+    text = rest[f"`{text_col}`"]
+    both = rest.join(side, rest[f"`{id_col}`"].eqNullSafe(side[t_id]) & (F.xxhash64(text) == side[t_hash]), "left")
+    around = F.when(F.col(t_named), F.split(text, WITH_WORDS, -1)).otherwise(F.split(text, PATTERN, -1))
+    done = F.array_join(F.zip_with(around, F.col(t_new), lambda a, n: F.concat(a, F.coalesce(n, F.lit("")))), "")
+    new = F.when(F.col(t_new).isNotNull(), done).otherwise(text)
+    return both.select(*[new.alias(c) if c == text_col else rest[f"`{c}`"] for c in rest.columns], F.coalesce(F.col(t_n), F.lit(0)).cast("bigint").alias(count_col))
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's setting gridloom.pii.key names; where it is unset, a new one that
+    nobody knows: surrogates then can't be looked up, nor compared between runs."""
+    return spark.conf.get("gridloom.pii.key", None) or secrets.token_hex(32)
 
 
 def op8_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymise(docs).select("doc_id", "n_entities", "text")
+    return pseudonymise(docs, session_key(spark)).select("doc_id", "n_entities", "text")

@@ -2,35 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-#: Rows up to which a table of a few numeric columns is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own: list[str] = []
+from gridloom.functions.sized import BROADCAST_ROWS, shared_dir, small
 
+__all__ = ["BROADCAST_ROWS", "drop", "free_names", "save", "shared_dir", "small"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (local tests), a temporary folder of this process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own:
-        _own.append(f"file://{tempfile.mkdtemp(prefix='gridloom-')}")
-    return _own[0]
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there, and a lost
-    executor costs no more than the tasks that ran on it. `stored(df)` is the path."""
+    executor costs no more than the tasks that ran on it. While it writes, the session drops
+    shuffle files as soon as they have been read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
-    # what the write shuffled is of no use once the table stands
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -49,11 +37,12 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows (it reads no more than it needs to say so)."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows; else left to a shuffle join."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that df doesn't have."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        new = f"__{name}"
+        while new in have:
+            new += "_"
+        out.append(new)
+    return out

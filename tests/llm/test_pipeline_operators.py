@@ -589,7 +589,7 @@ def test_quality_ratio_is_that_of_plain_counts(spark):
 
 PRIVATE = [
     (1, "Write to Ana.Lo_7@mail.example.com or +1 (755) 555-9729. Mr. John Smith, 755-555-9729!", 4),
-    (2, "MR SMITH? Mrs. SMITH JONES 4111 1111 1111 1111 and 4111111111111111; 10.1.2.3.", 4),
+    (2, "MR SMITH? Mrs. SMITH JONES 4111 1111 1111 1111 and 4111111111111111; 10.1.2.3.", 5),
     (3, None, 0), (4, "", 0), (5, "clean 1999-01-02 text 3.14 v1.2.3.4.5 100 200 300", 0),
     (None, "ssn 123-45-6789 DE89 3704 0044 0532 0130 00 г-жа Иванова", 3),
     (1, "Write to Ana.Lo_7@mail.example.com or +1 (755) 555-9729. Mr. John Smith, 755-555-9729!", 4),
@@ -603,12 +603,13 @@ def test_surrogates(spark, empty):
     got = pii.pseudonymise(df, key="k").collect()
     assert Counter((r.doc_id, r.n_entities) for r in got) == Counter((i, n) for i, _, n in PRIVATE)
     new = {(r.doc_id, r.n_entities): r.text for r in got}
-    one = re.fullmatch(r"Write to (\S+@\S+\.com) or \+1 \((\d{3})\) (\d{3})-(\d{4})\. Mr\. (\w+n) (\w+n), (\d{3}-\d{3}-\d{4})!", new[1, 4])
+    one = re.fullmatch(r"Write to (\S+@\S+\.com) or \+1 \((\d{3})\) (\d{3})-(\d{4})\. Mr\. (\w+n) (\w+), (\d{3}-\d{3}-\d{4})!", new[1, 4])
     assert one and one[7] == f"{one[2]}-{one[3]}-{one[4]}"  # one number in two formats
     assert new[1, 1].endswith(one[1]) and new[7, 1] == one[1].upper()  # one address in three texts
-    two = re.fullmatch(r"MR SMITH\? Mrs\. ([A-Z]+NA) ([A-Z]+NA) (4\d{3}(?: \d{4}){3}) and (4\d{15}); (\d+(?:\.\d+){3})\.", new[2, 4])
-    assert two and two[3].replace(" ", "") == two[4]
-    assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4} DE\d\d(?: \d{4}){4} \d\d г-жа [А-Яа-я]+на", new[None, 3])
+    two = re.fullmatch(r"MR ([A-Z]+NA)\? Mrs\. ([A-Z]+NA) ([A-Z]+) (4\d{3}(?: \d{4}){3}) and (4\d{15}); (\d+(?:\.\d+){3})\.", new[2, 5])
+    assert two and two[4].replace(" ", "") == two[5] and two[1] == two[2] != "SMITH" and luhn(two[5]) % 10 == 0
+    three = re.fullmatch(r"ssn \d{3}-\d{2}-\d{4} (DE\d\d(?: \d{4}){4} \d\d) г-жа [А-Яа-я]+ва", new[None, 3])
+    assert three and mod97(three[1].replace(" ", "")) == 1
     assert new[5, 0] == PRIVATE[4][1] and new[3, 0] is None and new[4, 0] == ""
     many = re.findall(r"\S+", new[8, 1200])
     assert len(set(many)) == 1200 and not set(many) & set(PRIVATE[-1][1].split())
@@ -618,12 +619,87 @@ def test_surrogates(spark, empty):
                 assert not set(re.findall(r"\S+@\S+\w|\d{7,}", known)) & set(re.findall(r"\S+@\S+\w|\d{7,}", t))
     again = {(r.doc_id, r.n_entities): r.text for r in pii.pseudonymise(df.repartition(5), key="k").collect()}
     assert again == new and {(r.doc_id, r.n_entities): r.text for r in pii.pseudonymise(df, key="other").collect()} != new
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, "k").count() == 0
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits)))
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def replaced(spark, texts, **options):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    return [r.text for r in pii.pseudonymise(df, key="k", **options).orderBy("doc_id").collect()]
+
+
+def test_one_person_keeps_one_name(spark):
+    got = replaced(spark, [
+        "John Smith met Mr. John Smith; Smith, John and JOHN SMITH left. Johnson and smithy stayed.",
+        "Dr. Anna Weber, Frau Anna Weber, Anna", "Herr Prof. Dr. Max Weber", "John Smith has no title here", "Mr. Smith and Mrs. Smith",
+    ])
+    one = re.fullmatch(r"(\w+n) (\w+) met Mr\. \1 \2; \2, \1 and ([A-Z]+) ([A-Z]+) left\. Johnson and smithy stayed\.", got[0])
+    assert one and (one[3], one[4]) == (one[1].upper(), one[2].upper())
+    two = re.fullmatch(r"Dr\. (\w+na) (\w+), Frau \1 \2, \1", got[1])  # the doctor's gender is the given name's
+    three = re.fullmatch(r"Herr Prof\. Dr\. (\w+n) (\w+)", got[2])
+    assert two and three and two[2] == three[2] and got[3] == "John Smith has no title here"
+    assert got[4] == f"Mr. {one[2]} and Mrs. {one[2]}"
+
+
+def test_names_keep_their_script(spark):
+    got = replaced(spark, ["昨日、田中さんが来た。田中は元気だ。", "قال السيد أحمد إن أحمد هنا", "王先生说", "Κος Mr. Νίκος Παππάς", "господин Иван Петров и Петров"])
+    one = re.fullmatch("昨日、([\u4e00-\u9fff]+)さんが来た。([\u4e00-\u9fff]+)は元気だ。", got[0])
+    assert one and one[1] == one[2] != "田中"
+    two = re.fullmatch("قال السيد ([\u0600-\u06ff]+) إن ([\u0600-\u06ff]+) هنا", got[1])
+    assert two and two[1] == two[2] != "أحمد"
+    assert re.fullmatch("[\u4e00-\u9fff]+先生说", got[2]) and "王" not in got[2]
+    assert re.fullmatch("Κος Mr\\. [Α-Ωα-ω]+ς [Α-Ωα-ω]+", got[3])
+    five = re.fullmatch("господин ([А-Яа-я]+в) ([А-Яа-я]+в) и ([А-Яа-я]+)", got[4])
+    assert five and five[2] == five[3] != "Петров"
+
+
+def test_numbers_stay_true_or_false_ones(spark):
+    cards, ibans = ["4111111111111111", "4111111111111112", "378282246310005"], ["GB82WEST12345698765432", "GB83WEST12345698765432", "DE89370400440532013000"]
+    got = replaced(spark, [" ; ".join([*cards, *ibans])])[0].split(" ; ")
+    for old, new in zip(cards, got[:3], strict=True):
+        assert luhn(old) % 10 == luhn(new) % 10 and old != new and old[0] == new[0]
+    for old, new in zip(ibans, got[3:], strict=True):
+        assert (mod97(old) == 1) == (mod97(new) == 1) and old[:2] == new[:2] and old != new and len(old) == len(new)
+        assert [c.isdigit() for c in old[4:]] == [c.isdigit() for c in new[4:]]
+
+
+HOSTILE = ["a@" + "b." * 500_000 + "com", "a" * 1_000_000 + "@", "1" * 1_000_000, "+1" + " 22" * 300_000, "1." * 500_000, "Mr. " * 250_000, "Mr. A" + "b" * 1_000_000, "DE12" + " AAAA" * 200_000, "(12) " * 200_000,
+           "A" * 1_000_000, "田" * 300_000 + "さん", "x@y." * 250_000, "Dr. Prof. " * 100_000 + "Xy", "Mr. Ab " * 140_000, "a@b-" * 250_000]
+
+
+def test_hostile_texts_of_a_megabyte_end(spark):
+    got = replaced(spark, HOSTILE)
+    assert got[0] != HOSTILE[0] and got[0].startswith("a@") is False and got[0].endswith(".com")
+    assert got[1] == HOSTILE[1] and got[2] == HOSTILE[2] and got[5] == HOSTILE[5] and got[9] == HOSTILE[9]
+    assert len(got[13].split()) == 280_000 and "Ab" not in got[13].split()
+
+
+def test_many_short_names_stay_distinct(spark):
+    names = ["".join(x) for x in np.random.default_rng(3).choice(list("abcdefghij"), (3000, 4))]
+    names = sorted({n.capitalize() for n in names})
+    entities = spark.createDataFrame([("family", f"latin|u|{n.lower()}") for n in names], "part_kind string, norm string")
+    got = pii.distinct_surrogates(entities, "k").collect()
+    assert len({r.surrogate.lower() for r in got}) == len(names) and not {r.surrogate.lower() for r in got} & {n.lower() for n in names}
+
+
+def test_surrogates_need_a_key_and_keep_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.org", "x", 5)], "doc_id long, text string, __id string, __new int")
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymise(df, "")
+    r = pii.pseudonymise(df, "k").first()
+    assert (r["__id"], r["__new"], r.n_entities) == ("x", 5, 1) and r.text != "a@b.org"
 
 
 def test_surrogates_run_no_python(spark):
     df = spark.createDataFrame([(i, t) for i, t, _ in PRIVATE], "doc_id long, text string")
-    plan = pii.pseudonymise(df)._jdf.queryExecution().executedPlan().toString()
+    plan = pii.pseudonymise(df, "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
