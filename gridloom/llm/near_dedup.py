@@ -11,7 +11,7 @@ is missed. Shorter texts have parts of about four shingles and so many splits th
 and the next, so that any two sizes within the threshold share one.
 
 Exact copies are one class beforehand and never expanded. Within a list each class is compared
-with the list's smallest id; texts of compared classes give the estimate from the union of the two
+with the list's head (the class of the smallest id); texts of compared classes give the estimate from the union of the two
 sketches, and where it isn't far below the threshold, the exact similarity of the full sets.
 Connected lists are done. Where a list still spans several components, the classes outside its
 main component are compared with all others of the list, unless something excludes a link for sure:
@@ -22,7 +22,8 @@ comparisons.
 
 Null and empty texts and texts without words have no shingles and are linked with nothing. Rows
 with a null id take no part (their component is null) and are kept. Repeated rows (same id and
-text) have the same result. Columns of the input other than the id, the text and those to be carried along aren't read.
+text) have the same result. An id that has several texts is one document with all their links:
+classes that share an id are connected too. Columns of the input other than the id, the text and those to be carried along aren't read.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SHINGLE = 5
 #: Similarity of 75 / 100 or more.
 PERCENT = 75
 PARTS, RETAINED = 40, 4
+#: Pairs of one head from which on its key is spread over several tasks.
+PAIRS_OF_KEY = 2000
 #: Class of sizes from which on all texts have PARTS parts; class c starts at (4/3)**c shingles.
 LARGEST = 18
 #: The estimate must lie so far below the threshold for a pair to be dropped without the exact
@@ -143,13 +146,22 @@ def _sums(d: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return c[at[1:]] - c[at[:-1]]
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, common, total) of the pairs of ids. Where the estimate excludes a link, total is
-    below 0: minus a lower bound of the distance, in millionths."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(small(ids), "id", "left_semi")
-    texts = save(texts, "texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, common, total) of the pairs of classes. Where the estimate excludes a link, total is
+    below 0: minus a lower bound of the distance, in millionths.
+
+    A class's text is that of one of its rows. The second text joins first, by keys that stand in
+    few pairs; heads of many pairs get theirs last, spread over copies of the key, so that no
+    task has all pairs of one head and no head's text is shuffled with them."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = classes.select("node", "first").join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
+    texts = docs.select("id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("t")).join(small(wanted), ["id", "text_hash"])
+    texts = save(texts.groupBy("node").agg(F.first("t").alias("t")), "texts")
+    copies = pairs.groupBy("a").agg(F.floor(F.count("*") / PAIRS_OF_KEY).cast("int").alias("more"))
+    dealt = pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("more") + 1).cast("int")).drop("more")
+    dealt = dealt.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
+    heads = texts.join(copies, texts["node"] == copies["a"]).select("a", F.col("t").alias("ta"), F.explode(F.sequence(F.lit(0), "more")).alias("salt"))
+    both = dealt.join(heads, ["a", "salt"])
 
     def fn(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         a, b = (column(batch, c).to_numpy() for c in "ab")
@@ -203,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if done:
             drop(both)
-            return labels.select("id", "component")
+            return labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
@@ -211,26 +223,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked texts, its own if it has no link), kept (whether it is that id) and the columns `carry`."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     carried = [F.struct(*carry).alias("carried")] if carry else []
-    rows = save(add_columns(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried), "text", {"n_shingles": "bigint", "low": "bigint", "high": "bigint", "odd": "array<bigint>", "lists": "array<bigint>"}, lambda b: _describe(b, "text")).drop("text"), "sketches")
-    classes = rows.where("id IS NOT NULL AND n_shingles > 0").groupBy("low", "high").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"), F.first("odd").alias("odd"), F.first("lists").alias("lists"))
-    classes = save(classes, "classes")
-
-    entries = classes.select("rep", F.explode("lists").alias("list"))
-    heads = entries.groupBy("list").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = save(entries.join(heads, "list"), "lists")
-    star = members.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _compare(star, base, "id", "text")
+    rows = save(add_columns(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"), *carried), "text", {"n_shingles": "bigint", "low": "bigint", "high": "bigint", "odd": "array<bigint>", "lists": "array<bigint>"}, lambda b: _describe(b, "text")).drop("text"), "sketches")
+    classes = rows.where("id IS NOT NULL AND n_shingles > 0").groupBy("low", "high").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("n_shingles").alias("size"), F.first("odd").alias("odd"), F.first("lists").alias("lists"))
+    node = F.xxhash64("low", "high")
+    classes = save(classes.withColumn("node", node), "classes")
+
+    entries = classes.select("node", F.col("first.id").alias("rep"), F.explode("lists").alias("list"))
+    heads = entries.groupBy("list").agg(F.min(F.struct("rep", "node"))["node"].alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = save(entries.drop("rep").join(heads, "list"), "lists")
+    star = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    first = _compare(star, base, classes)
     linked = F.col("total") > 0
     linked = linked & (100 * F.col("common") >= PERCENT * F.col("total"))
-    comp = components(first.where(linked))
+    links = first.where(linked).select("a", "b")
+    of_ids = rows.where("id IS NOT NULL AND n_shingles > 0").select("id", node.alias("node")).groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
+    of_ids = save(rows.where("n_shingles > 0").select("id", node.alias("b")).join(small(of_ids), "id").where("a <> b").select("a", "b").distinct(), "texts-of-an-id")
+    comp = components(links.unionByName(of_ids))
 
-    rest = _undecided(members, first, comp, classes.select("rep", "size", "lists", *[F.col("odd")[i].alias(f"o{i}") for i in range(4)]))
+    rest = _undecided(members, first, comp, classes.select("node", "size", "lists", *[F.col("odd")[i].alias(f"o{i}") for i in range(4)]))
+    second = None
     if not rest.isEmpty():
-        second = _compare(rest, base, "id", "text").where(linked)
-        if not second.isEmpty():
-            comp = components(first.where(linked).select("a", "b").unionByName(second.select("a", "b")))
-    ids = classes.select("low", "high", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("low", "high", F.coalesce("component", "rep").alias("component"))
-    out = rows.drop("lists", "odd").join(ids, ["low", "high"], "left")
+        second = _compare(rest, base, classes)
+        more = second.where(linked).select("a", "b")
+        if not more.isEmpty():
+            drop(comp)
+            comp = components(links.unionByName(of_ids).unionByName(more))
+    # a component's number is the smallest id of its classes
+    group = classes.select("low", "high", "node", F.col("first.id").alias("rep")).join(comp.select(F.col("id").alias("node"), "component"), "node", "left")
+    group = group.withColumn("component", F.coalesce("component", "node"))
+    number = group.groupBy("component").agg(F.min("rep").alias("number"))
+    ids = save(group.join(number, "component").select("low", "high", F.col("number").alias("component")), "numbers")
+    for t in (members, first, of_ids, comp, rest, classes, *([second] if second is not None else [])):
+        drop(t)
+    out = rows.drop("lists", "odd", "text_hash").join(ids, ["low", "high"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), own)
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"), *[F.col("carried")[c].alias(c) for c in carry])
@@ -242,14 +267,14 @@ def _undecided(members: DataFrame, compared: DataFrame, comp: DataFrame, sets: D
     exact = F.col("total") > 0
     share = F.col("common") / F.greatest("total", F.lit(1))
     lo = F.when(exact, 1 - share).otherwise(-F.col("total") / 1e6)
-    known = compared.select(F.col("a").alias("head"), F.col("b").alias("rep"), lo.alias("lo"), F.when(exact, 1 - share).otherwise(1.0).alias("hi"))
-    label = comp.select(F.col("id").alias("rep"), "component")
-    m = members.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    known = compared.select(F.col("a").alias("head"), F.col("b").alias("node"), lo.alias("lo"), F.when(exact, 1 - share).otherwise(1.0).alias("hi"))
+    label = comp.select(F.col("id").alias("node"), "component")
+    m = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     span = m.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
-    m = m.join(span, "list").join(known, ["head", "rep"], "left").fillna(0.0, ["lo", "hi"])  # the head itself: 0
+    m = m.join(span, "list").join(known, ["head", "node"], "left").fillna(0.0, ["lo", "hi"])  # the head itself: 0
     heads = comp.select(F.col("id").alias("head"), F.col("component").alias("main"))
-    own = ["list", "rep", "component", "main", "lo", "hi", "size", "lists", "o0", "o1", "o2", "o3"]
-    m = save(m.join(heads, "head", "left").withColumn("main", F.coalesce("main", "head")).join(sets, "rep").select(*own), "open")
+    own = ["list", "node", "component", "main", "lo", "hi", "size", "lists", "o0", "o1", "o2", "o3"]
+    m = save(m.join(heads, "head", "left").withColumn("main", F.coalesce("main", "head")).join(sets, "node").select(*own), "open")
     x, y = m.where("component <> main").alias("x"), m.alias("y")
     most = 1 - PERCENT / 100 + 1e-9
     near = (F.col("x.lo") - F.col("y.hi") <= most) & (F.col("y.lo") - F.col("x.hi") <= most)
@@ -257,13 +282,16 @@ def _undecided(members: DataFrame, compared: DataFrame, comp: DataFrame, sets: D
     alone = sum((F.bit_count(F.col(f"x.o{i}").bitwiseXOR(F.col(f"y.o{i}"))) for i in range(4)), F.lit(0))
     # similarity s of sets with a and b members: (a + b) (1 - s) / (1 + s) members are in one alone
     differ = alone * (100 + PERCENT) <= (100 - PERCENT) * (F.col("x.size") + F.col("y.size"))
-    once = (F.col("x.rep") < F.col("y.rep")) | (F.col("y.component") == F.col("y.main"))
+    once = (F.col("x.node") < F.col("y.node")) | (F.col("y.component") == F.col("y.main"))
     # near copies share most of their lists: a pair is taken from one of them
     here = F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("x.list")
     pairs = x.join(y, F.col("x.list") == F.col("y.list")).where((F.col("x.component") != F.col("y.component")) & sizes & near & differ & once & here)
-    pairs = pairs.select(F.col("x.rep").alias("x"), F.col("y.rep").alias("y"))
+    pairs = pairs.select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return save(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "undecided")
+    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    out = save(pairs.join(done, ["a", "b"], "left_anti"), "undecided")
+    drop(m)
+    return out
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, language_id, near_dedup, packing, pii, quality, secrets, substring_dedup, token_counts, toxicity
 from gridloom.llm.fm_index import FMIndex
-from gridloom.llm.words import NOT_SPACE, Bytes, Table, slices
+from gridloom.llm.words import NOT_SPACE, Bytes, Table, mix, slices
 
 SPACES = "[^\x20\x09-\x0d]+"
 WORDS = [a + b for a in "ba be bi bo bu da de di do du ka ke".split() for b in "n r s lo mi té".split()]
@@ -343,6 +343,48 @@ def test_near_duplicates(spark):
     assert got.where("kept <> coalesce(doc_id = component_id, true)").isEmpty()
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    rng = np.random.default_rng(21)
+    t1, t2, t4 = (text(rng, 150) for _ in range(3))
+    near = lambda t: t + " one more"
+    rows = [(1, near(t1)), (6, t1), (6, t2), (7, near(t2)), (3, t4), (9, t4), (9, t4), (12, ""), (12, near(t4)), (20, text(rng, 50))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
+    assert {r.component_id for r in got.where("doc_id IN (6, 7)").collect()} == {1}
+
+
+def test_a_head_of_many_pairs_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS_OF_KEY", 7)
+    rng = np.random.default_rng(22)
+    base = text(rng, 120).split()
+    rows = []
+    for k in range(60):
+        w = list(base)
+        w[int(rng.integers(0, 120))] = f"x{k}"
+        rows.append((k + 5, " ".join(w)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
+
+
+def test_no_pair_at_the_threshold_is_missed():
+    """Lists in common, and the estimate: of 20,000 pairs with 0.75 or a little more, none is lost."""
+    rng, lost, pairs = np.random.default_rng(23), 0, 0
+    for _ in range(1000):
+        n = int(np.exp(rng.uniform(np.log(3), np.log(1500))))
+        both = -(-75 * n // 100)
+        v = mix(rng.integers(0, 1 << 62, (20, n)).astype(np.uint64))
+        side = rng.random((20, n - both)) < rng.random((20, 1))
+        for k in range(20):
+            a, b = np.sort(np.concatenate([v[k, :both], v[k, both:][side[k]]])), np.sort(np.concatenate([v[k, :both], v[k, both:][~side[k]]]))
+            d, values = np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b])
+            doc, own = near_dedup.lists(d, values, np.array([len(a), len(b)]))
+            sa, sb = (near_dedup.sketch(np.zeros(len(s), np.int64), s)[2] for s in (a, b))
+            met = len(np.intersect1d(own[doc == 0], own[doc == 1])) > 0 or len(a) == len(b) == both
+            lost += not (met and near_dedup.union_estimate(np.sort(sa), np.sort(sb)) >= 0.75 - near_dedup.MARGIN)
+            pairs += 1
+    assert pairs == 20_000 and lost == 0
+
+
 def test_near_duplicates_of_nothing(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
