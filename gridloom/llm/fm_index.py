@@ -21,7 +21,7 @@ class FMIndex:
             after[: max(0, n - span)] = rank[span:] + 1
             rank = np.unique(rank * (n + int(text.max(initial=0)) + 2) + after, return_inverse=True)[1]
             span *= 2
-        self.suffixes = np.argsort(rank, kind="stable")
+        self.suffixes = np.argsort(rank, kind="stable").astype(np.int32 if n < 1 << 31 else np.int64)
         bwt = text[self.suffixes - 1]  # the symbol before the first is the last
         counts = np.bincount(text, minlength=int(text.max(initial=0)) + 1)
         self.first = np.concatenate([[0], np.cumsum(counts)])
@@ -54,15 +54,29 @@ class FMIndex:
         both = self.ranks(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
         return self.first[symbol] + both[: len(low)], self.first[symbol] + both[len(low) :]
 
+    def in_suffix_order(self, values: np.ndarray) -> np.ndarray:
+        """Values of the text's positions in the order of their suffixes."""
+        return values[self.suffixes]
+
+    def matching_statistics(self, text: np.ndarray, ends: np.ndarray, depth: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, low, high) for each position: how many symbols of `text` that end there (it
+        included) occur at `least` places of the index, `depth` at most, and the range of the suffixes
+        that start with them. A search goes backward until fewer places are left."""
+        low, high, length = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
+        on = np.flatnonzero(text[ends] + 1 < len(self.first))
+        low[on], high[on] = self.first[text[ends[on]]], self.first[text[ends[on]] + 1]
+        on = on[high[on] - low[on] >= least]
+        length[on] = 1
+        for k in range(1, depth):
+            on = on[ends[on] >= k]
+            on = on[text[ends[on] - k] + 1 < len(self.first)]  # a symbol that the index has
+            a, z = self.extend(low[on], high[on], text[ends[on] - k])
+            more = z - a >= least
+            on, a, z = on[more], a[more], z[more]
+            low[on], high[on], length[on] = a, z, k + 1
+        return length, low, high
+
     def find(self, text: np.ndarray, starts: np.ndarray, length: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of the patterns text[s : s + length]. A search ends as soon as fewer than
-        `least` suffixes are left; such patterns, and those that do not occur, have empty ranges."""
-        last = text[starts + length - 1]
-        low, high = self.first[last], self.first[last + 1]
-        on = np.arange(len(starts))
-        for k in range(length - 2, -1, -1):
-            on = on[high[on] - low[on] >= least]
-            low[on], high[on] = self.extend(low[on], high[on], text[starts[on] + k])
-        short = high - low < least
-        high[short] = low[short]
-        return low, high
+        """Suffix ranges of the patterns text[s : s + length]; empty where there are fewer than `least` suffixes."""
+        got, low, high = self.matching_statistics(text, starts + length - 1, length, least)
+        return np.where(got == length, low, 0), np.where(got == length, high, 0)

@@ -8,15 +8,19 @@ only repeat in segments of its anchor:
 1. Anchors that stand in one document alone are left out (counts of all anchors).
 2. The documents with other anchors give the segments around these; equal segments become one,
    with the smallest id that has it.
-3. Segments are dealt to shards by their anchor. A shard is a compressed FM-index of its segments,
-   and all segments are streamed through it: backward search gives the matching statistics up to
-   the window's length, and where they reach it the smallest id of all occurrences.
-   An anchor with more than `HOT` different segments is dealt by single windows instead, so
-   that no shard grows with one passage's surroundings.
+3. Segments are dealt to shards by their anchor. A shard is an FM-index of its segments (a wavelet
+   matrix, and for each suffix the number of its document), and all segments are streamed
+   through it: backward search gives the matching statistic of each word, the length of the
+   longest sequence that ends there and occurs more than once, up to the window's length. Where
+   it reaches that, the range of suffixes has the smallest id of all occurrences.
+   An anchor with more than `HOT` different segments is dealt by single windows instead, each with
+   the smallest id that has it, so that no shard grows with one passage's surroundings: of such
+   passages equal windows are found by their hashes when they are dealt, and the index confirms.
 4. What a shard reports goes back to the documents, whose covered words are removed.
 
 Null and empty texts have no words. Rows with a null id keep all words, and nothing is removed
-because of them. Rows that repeat an id are judged alike and do not count against one another.
+because of them. Rows that repeat an id do not count against one another; each is judged by its
+own text. All columns of the input but n_words, n_removed and kept stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.fm_index import FMIndex
-from gridloom.llm.tables import drop, save
+from gridloom.llm.tables import drop, free_names, save
 from gridloom.llm.words import NOT_SPACE, Bytes, add_columns, column, emit_rows, full, mix, ngrams, prepare, range_hashes
 
 WINDOW, ANCHOR = 13, 5
@@ -84,6 +88,7 @@ def _cut(docs: DataFrame) -> DataFrame:
         raw = b.raw.tobytes()
         return {
             "id": column(batch, "id").take(pa.array(doc)),
+            "row": column(batch, "row").take(pa.array(doc)),
             "start": (first - base[doc]).astype(np.int32),
             "anchor": anchor.view(np.int64),
             "low": range_hashes(h, first, last, 0).view(np.int64),
@@ -91,7 +96,7 @@ def _cut(docs: DataFrame) -> DataFrame:
             "words": pa.array([raw[s:e] for s, e in zip(start[first].tolist(), end[last - 1].tolist(), strict=True)], pa.binary()),
         }
 
-    return emit_rows(docs, "text", "id bigint, start int, anchor bigint, low bigint, high bigint, words binary", fn)
+    return emit_rows(docs, "text", "id bigint, row bigint, start int, anchor bigint, low bigint, high bigint, words binary", fn)
 
 
 def search_shard(ids: np.ndarray, words: pa.Array) -> list[np.ndarray]:
@@ -107,15 +112,16 @@ def search_shard(ids: np.ndarray, words: pa.Array) -> list[np.ndarray]:
     owner[place] = ids[seg]
     index = FMIndex(text, WINDOW)  # it ends with a separator, which no window holds
     at = place[: max(0, len(seg) - WINDOW + 1)][full(seg, WINDOW)]
-    low, high = index.find(text, at, WINDOW, least=2)
+    length, low, high = index.matching_statistics(text, at + WINDOW - 1, WINDOW)
     values = owner[at]  # of windows that occur once
-    twice = np.flatnonzero(high > low)
+    twice = np.flatnonzero(length == WINDOW)
     if len(twice):
         uniq, back = np.unique(low[twice], return_inverse=True)
         stop = np.zeros(len(uniq), np.int64)
         stop[back] = high[twice]
-        by_suffix = np.append(owner[index.suffixes], np.iinfo(np.int64).max)
-        values[twice] = np.minimum.reduceat(by_suffix, np.column_stack([uniq, stop]).ravel())[::2][back]
+        known, number = np.unique(owner, return_inverse=True)
+        by_suffix = np.append(index.in_suffix_order(number.astype(np.int32)), np.int32(len(known)))
+        values[twice] = known[np.minimum.reduceat(by_suffix, np.column_stack([uniq, stop]).ravel())[::2][back]]
     of = np.searchsorted(seg[: max(0, len(seg) - WINDOW + 1)][full(seg, WINDOW)], np.arange(b.n + 1))
     return [values[of[i] : of[i + 1]] for i in range(b.n)]
 
@@ -159,7 +165,7 @@ def _least(segments: DataFrame) -> DataFrame:
     """(low, high, least) of the distinct segments."""
     spark = segments.sparkSession
     one = segments.groupBy("low", "high").agg(F.min("id").alias("id"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
-    one = save(one, "distinct")
+    one = save(one, "distinct-segments")
     hot = one.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot"))
     hot = save(hot, "hot")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -176,30 +182,34 @@ def _least(segments: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, starts): the word positions at which windows of a document start that also start in
-    a document with a smaller id."""
-    base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    """(id, row, starts): the word positions at which windows of a document start that also start in
+    a document with a smaller id; row is the hash of the text, for ids that have several."""
+    base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     anchors = _anchors(base)
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     known = save(anchors.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     segments = save(_cut(base.join(known, "id")), "segments")
     drop(known)
     least = save(_least(segments), "least")
-    places = segments.select("id", "start", "low", "high").distinct()
-    hits = places.join(least, ["low", "high"]).select("id", F.expr("filter(transform(least, (m, k) -> IF(m < id, start + k, NULL)), x -> x IS NOT NULL)").alias("starts"))
-    return hits.where(F.size("starts") > 0).groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    places = segments.select("id", "row", "start", "low", "high").distinct()
+    hits = places.join(least, ["low", "high"]).select("id", "row", F.expr("filter(transform(least, (m, k) -> IF(m < id, start + k, NULL)), x -> x IS NOT NULL)").alias("starts"))
+    out = save(hits.where(F.size("starts") > 0).groupBy("id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts")), "hits")
+    drop(segments)
+    drop(least)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_words, n_removed and kept (the kept words, joined by single spaces); columns
     with these names are replaced."""
-    hits = save(repeated_windows(docs, id_col, text_col), "hits")
-    rest = docs.drop("__starts", "__id")
-    both = rest.join(hits.select(F.col("id").alias("__id"), F.col("starts").alias("__starts")), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    hits = repeated_windows(docs, id_col, text_col)
+    h_id, h_row, h_starts = free_names(docs, "id", "row", "starts")
+    hits = hits.select(F.col("id").alias(h_id), F.col("row").alias(h_row), F.col("starts").alias(h_starts))
+    both = docs.join(hits, (docs[f"`{id_col}`"] == F.col(h_id)) & (F.xxhash64(docs[f"`{text_col}`"]) == F.col(h_row)), "left").drop(h_id, h_row)
 
     def fn(batch: pa.RecordBatch) -> dict[str, list]:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
-        for text, starts in zip(column(batch, text_col).to_pylist(), column(batch, "__starts"), strict=True):
+        for text, starts in zip(column(batch, text_col).to_pylist(), column(batch, h_starts), strict=True):
             words = (text or "").encode().split()
             out["n_words"].append(len(words))
             kept = words
@@ -215,7 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out["kept"].append(b" ".join(kept).decode())
         return out
 
-    return add_columns(both, text_col, {"n_words": "bigint", "n_removed": "bigint", "kept": "string"}, fn).drop("__starts")
+    return add_columns(both, text_col, {"n_words": "bigint", "n_removed": "bigint", "kept": "string"}, fn).drop(h_starts)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -147,6 +147,16 @@ def test_substring_dedup(spark, docs, monkeypatch, hot):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == want
 
 
+def test_repeated_ids_are_judged_by_their_own_text(spark):
+    rng = np.random.default_rng(31)
+    t1, t2 = text(rng, 60), text(rng, 60)
+    rows = [(1, t1), (6, t1), (6, t2), (6, t2), (8, t2 + " " + t1), (None, t2)]
+    df = spark.createDataFrame([(*r, "a", 3) for r in rows], "doc_id long, text string, __id string, __starts int")
+    got = substring_dedup.remove_repeats(df)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute_repeats(rows)
+    assert {(r["__id"], r["__starts"]) for r in got.collect()} == {("a", 3)}
+
+
 def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
@@ -159,6 +169,14 @@ def test_fm_index():
     for n in (1, 3, 7, 13):
         for s, a, z in zip(starts, *f.find(t, starts, n), strict=True):
             assert set(f.suffixes[a:z].tolist()) == {i for i in range(len(t) - n + 1) if (t[i : i + n] == t[s : s + n]).all()}
+    text = np.append(rng.integers(1, 5, 300), t[40:70])  # of another document, with a symbol that the index lacks
+    ends = np.arange(len(text))
+    for least in (1, 2):
+        length, low, high = f.matching_statistics(text, ends, 13, least)
+        for e in ends:
+            places = [sum((t[i : i + n] == text[e + 1 - n : e + 1]).all() for i in range(len(t) - n + 1)) for n in range(1, min(13, e + 1) + 1)]
+            want = next((k for k, c in enumerate(places) if c < least), len(places))
+            assert length[e] == want and (want == 0 or high[e] - low[e] == places[want - 1])
 
 
 # --- 3 token counts
