@@ -123,11 +123,13 @@ def _dense(values: list) -> list[int | None]:
     return [None if v is None else number.setdefault(v, len(number)) for v in values]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", cluster_col: str | None = None, capacity: int = CAPACITY, group: int = GROUP, near: bool = False, tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source", cluster_col: str | None = None, capacity: int = CAPACITY, group: int = GROUP, near: bool = False, tokens: bool = False, with_text: bool = False) -> DataFrame:
     """One row per piece of a document: id_col, piece (from 0), start and length (bytes of the
     text), size (what it takes of its bin: bytes, or with `tokens` tokens), bin_id and position
     (order of placement in the bin). Without cluster_col, equal texts are a cluster; with `near`,
-    linked near copies are one (instead of cluster_col)."""
+    linked near copies are one (instead of cluster_col). `with_text` adds the pieces' text (not with `near`)."""
+    if near and with_text:
+        raise ValueError("near copies are packed without their text")
     if capacity < 4:
         raise ValueError("a bin must hold any character: 4 bytes or tokens at least")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -139,14 +141,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         (F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")).alias("source"),
         (F.when(F.col(cluster_col).isNotNull(), F.xxhash64(F.col(cluster_col))) if cluster_col else F.when(text != "", F.xxhash64(text))).alias("cluster"),
     ]
-    base = docs.select(*base_columns)
+    base = docs.select(*base_columns, *([text.alias("text")] if with_text else []))
     if near:
         # the key is of row and text, so that a null id or an id with two texts has its clusters too
         keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"), F.struct(*base_columns).alias("doc"))
         found = near_duplicates(keyed, "key", "text", ["doc"])
         base = found.select("doc.id", "doc.cuts", "doc.source", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc.cluster")).alias("cluster"))
     groups = max(1, -(-docs.count() // group))
-    pieces = base.select("id", "source", "cluster", F.posexplode("cuts").alias("piece", "cut")).select("id", "source", "cluster", F.col("piece").cast("bigint").alias("piece"), "cut.start", "cut.length", "cut.size")
+    kept = ["id", "source", "cluster", *(["text"] if with_text else [])]
+    pieces = base.select(*kept, F.posexplode("cuts").alias("piece", "cut")).select(*kept, F.col("piece").cast("bigint").alias("piece"), "cut.start", "cut.length", "cut.size")
+    if with_text:
+        part = F.substring(F.col("text").cast("binary"), (F.col("start") + 1).cast("int"), F.col("length").cast("int"))
+        pieces = pieces.withColumn("text", F.decode(part, "UTF-8"))
     pieces = pieces.withColumn("batch", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
 
     def run(t: pa.Table) -> pa.Table:
@@ -159,14 +165,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             position.append(seen.get(k, 0))
             seen[k] = position[-1] + 1
         batch = t.column("batch")[0].as_py() if t.num_rows else 0
-        return pa.table({
+        own = {"text": t.column("text")} if with_text else {}
+        return pa.table(own | {
             "id": t.column("id"), "piece": t.column("piece"), "start": t.column("start"), "length": t.column("length"), "size": t.column("size"),
             "bin_id": pa.array([(batch << 32) + k for k in bins], pa.int64()), "position": pa.array(position, pa.int64()),
         })
 
     ship_package(docs.sparkSession)
     kind = base.schema["id"].dataType.simpleString()
-    packed = pieces.groupBy("batch").applyInArrow(run, f"id {kind}, piece bigint, start bigint, length bigint, size bigint, bin_id bigint, position bigint")
+    packed = pieces.groupBy("batch").applyInArrow(run, ("text string, " if with_text else "") + f"id {kind}, piece bigint, start bigint, length bigint, size bigint, bin_id bigint, position bigint")
     return packed.withColumnRenamed("id", id_col)
 
 
