@@ -10,7 +10,11 @@ transition are settled without it, which changes no result. A span that the fiel
 touches no span of the patterns, with kind crf.
 
 The field is fitted by gradient ascent on the conditional likelihood of at most `TRAIN_LINES`
-lines (those with the smallest hash), labelled by the patterns: lines with a match, and as many without.
+different pieces of lines (those with the smallest hash), labelled by the patterns: pieces with a match,
+and as many without, from the documents with a match and from about `CLEAN_DOCS` others that a hash
+chooses among all. A long line is cut into pieces of `PIECE` tokens, none inside a secret. So that the
+field learns more than the patterns say, what they know is held out in copies of each piece
+with a match: the keyword is hidden, the secret's length and alphabet are others, or both.
 Offsets are code points, the end exclusive. Null and empty texts have no spans; repeated rows have
 the same spans. Without a training line that holds a match the field adds nothing.
 """
@@ -34,8 +38,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A cheap superset of the texts with an assignment or an access key.
 _MAYBE = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]"
-#: Bound of the training sample: lines.
-TRAIN_LINES = 3000
+#: Bounds of the training sample: pieces of lines, and documents without a match that give some.
+TRAIN_LINES, CLEAN_DOCS = 2000, 4000
+#: Tokens of a piece.
+PIECE = 200
 STEPS, RATE, DECAY = 80, 0.3, 1e-3
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -212,41 +218,70 @@ def _weak_labels(tokens: Tokens, texts: list[str]) -> np.ndarray:
     return label
 
 
+def pieces_of(first: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """First tokens of the pieces of all lines, whose first tokens are given."""
+    stop = np.append(first[1:], len(label))
+    cuts = np.concatenate([np.arange(a, z, PIECE) for a, z in zip(first, stop, strict=True)] or [first])
+    for k in np.flatnonzero(label[cuts] == INSIDE):  # inside a secret: where it ends
+        while cuts[k] < len(label) and label[cuts[k]] == INSIDE:
+            cuts[k] += 1
+    return np.unique(cuts[cuts < len(label)])
+
+
+def held_out_copies(x: np.ndarray, y: np.ndarray, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Copies of a piece with a secret: keyword hidden; secret of another shape; both."""
+    rng, out = np.random.default_rng(seed), []
+    column = np.arange(5) * SHAPES
+    for hide, reshape in ((True, False), (False, True), (True, True)):
+        new = x.copy()
+        if hide:  # a short plain word stands there
+            at = new[:, :5] - column == 33
+            new[:, :5] = np.where(at, column + 1, new[:, :5])
+        if reshape:
+            for t in np.flatnonzero(y == BEGIN):
+                shape = 1 + int(rng.integers(2 if hide else 1, 4)) * 8 + int(rng.integers(2, 6))
+                for k, u in ((0, t), (1, t + 1), (2, t + 2), (3, t + 3), (4, t - 1)):
+                    if 0 <= u < len(new) and new[u, k] != k * SHAPES:  # not over a line's border
+                        new[u, k] = k * SHAPES + shape
+        out.append((new, y))
+    return out
+
+
 def learn(docs: DataFrame, text_col: str = "text", lines: int = TRAIN_LINES) -> Field | None:
-    """The field, from at most `lines` different lines of docs of at most 400 tokens, half of them with a match."""
+    """The field, from at most `lines` different pieces of lines, half of them with a match."""
+    n = docs.count()
+    few = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, CLEAN_DOCS / max(1, n)))
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array] | None:
         texts = column(batch, "text")
-        some = np.flatnonzero(_maybe(texts) | np.asarray(pc.fill_null(pc.match_substring_regex(texts, "[0-9a-f]{24}"), False)))
+        hex_ = np.asarray(pc.fill_null(pc.match_substring_regex(texts, "[0-9a-f]{24}"), False))
+        some = np.flatnonzero(_maybe(texts) | hex_ | np.asarray(pc.fill_null(column(batch, "few"), False)))
         if not len(some):
             return None
         t = Tokens(texts.take(pa.array(some)))
+        if not len(t.start):
+            return None
         x = t.features()
         y = _weak_labels(t, [s.as_py() or "" for s in texts.take(pa.array(some))])
-        stop = np.append(t.first[1:], len(y))
-        hit = np.maximum.reduceat(y, t.first) > 0
-        order = _line_hash(t, stop)
-        keep = np.flatnonzero((stop - t.first) <= 400)
-        if not len(keep):
-            return None
+        first = pieces_of(t.first, y)
+        stop = np.append(first[1:], len(y))
         return {
-            "hit": pa.array(hit[keep]),
-            "ord": pa.array(order[keep]),
-            "x": pa.array([x[t.first[i] : stop[i]].astype(np.int16).tobytes() for i in keep], pa.binary()),
-            "y": pa.array([y[t.first[i] : stop[i]].tobytes() for i in keep], pa.binary()),
+            "hit": pa.array(np.maximum.reduceat(y, first) > 0),
+            "ord": pa.array(t.bytes.hashes(t.start[first], t.end[stop - 1]).view(np.int64)),
+            "x": pa.array([x[a:z].astype(np.int16).tobytes() for a, z in zip(first, stop, strict=True)], pa.binary()),
+            "y": pa.array([y[a:z].tobytes() for a, z in zip(first, stop, strict=True)], pa.binary()),
         }
 
-    rows = save(emit_rows(docs.select(F.col(text_col).alias("text")), "text", "hit boolean, ord bigint, x binary, y binary", fn), "lines")
+    rows = save(emit_rows(docs.select(F.col(text_col).alias("text"), few.alias("few")), "text", "hit boolean, ord bigint, x binary, y binary", fn), "lines")
     order = ["ord", "x", "y"]
     different = rows.distinct()  # a copied line counts once
     sample = different.where("hit").orderBy(*order).limit(lines // 2).unionByName(different.where("NOT hit").orderBy(*order).limit(lines // 2)).toArrow()
     drop(rows)
     got = [(np.frombuffer(x, np.int16).reshape(-1, 6).astype(np.int64), np.frombuffer(y, np.int8).astype(np.int64)) for x, y in zip(sample.column("x").to_pylist(), sample.column("y").to_pylist(), strict=True)]
-    return fit(got) if any(y.any() for _, y in got) else None
-
-
-def _line_hash(t: Tokens, stop: np.ndarray) -> np.ndarray:
-    return t.bytes.hashes(t.start[t.first], t.end[stop - 1]).view(np.int64)
+    if not any(y.any() for _, y in got):
+        return None
+    copies = [c for k, (x, y) in enumerate(got) if y.any() for c in held_out_copies(x, y, k)]
+    return fit([*got, *copies])
 
 
 def _maybe(texts: pa.Array) -> np.ndarray:

@@ -115,11 +115,59 @@ def test_field_finds_what_the_patterns_do_not(spark):
 
 def test_copied_lines_do_not_fill_the_sample(spark, monkeypatch):
     monkeypatch.setattr(secrets, "fit", lambda lines: lines)
+    monkeypatch.setattr(secrets, "held_out_copies", lambda x, y, seed: [])
     rows = [(f"api_key = {k:016x}{k:016x} of it" + " word" * k,) for k in range(8) for _ in range(30)]
     sample = secrets.learn(spark.createDataFrame(rows, "text string"), lines=16)
     assert len({len(y) for _, y in sample}) == len(sample) == 8
 
 
+def planted_lines(rng, n):
+    """Lines with secrets that no pattern matches, and clean lines that look a little like them."""
+    pick = lambda chars, k: "".join(rng.choice(list(chars), k))
+    letters, digits = string.ascii_letters, string.digits
+    secret = [
+        lambda: ("pwd = ", pick(letters + digits, 14) + "7q"), lambda: ("auth: ", pick(letters + digits, 32) + "9"), lambda: ("credential = ", "x" + pick(letters + digits, 22) + "3"),
+        lambda: ('license = "', pick("ABCDEF" + digits, 28) + "4A"), lambda: ("session: ", pick(letters + digits + "+/", 40) + "5"), lambda: ("key = ", pick("0123456789abcdef", 20) + "1f"),
+    ]
+    clean = [
+        lambda: "see https://www.example.com/" + pick(string.ascii_lowercase, 8) + " for more", lambda: "on 2024-05-17 at 10:" + pick(digits, 2), lambda: "call 755-555-" + pick(digits, 4),
+        lambda: pick(string.ascii_lowercase, 6) + "." + pick(digits, 2) + "@mail" + pick(digits, 1) + ".example.com", lambda: "size = " + pick(digits, 3), lambda: "name: " + pick(string.ascii_lowercase, 9), lambda: text(rng, 9),
+    ]
+    out = []
+    for k in range(n):
+        before, after = text(rng, int(rng.integers(1, 6))), text(rng, int(rng.integers(1, 6)))
+        if k % 2:
+            lead, s = secret[k // 2 % len(secret)]()
+            out.append((f"{before} {lead}{s} {after}", s))
+        else:
+            out.append((f"{before} {clean[k // 2 % len(clean)]()} {after}", None))
+    return out
+
+
+def test_field_finds_planted_secrets_beyond_the_patterns(spark):
+    rng = np.random.default_rng(17)
+    hexa = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    known = [f'{text(rng, 5)} token = "{hexa(40)}" {text(rng, 5)}' for _ in range(200)] + [f"{text(rng, 4)} password: {hexa(9)}Q {text(rng, 4)}" for _ in range(60)]
+    clean = [t for t, s in planted_lines(rng, 1200) if s is None]
+    field = secrets.learn(spark.createDataFrame([(t,) for t in known + clean], "text string"))
+    planted = planted_lines(np.random.default_rng(18), 600)
+    got = secrets.find_secrets(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(planted)], "doc_id int, text string"), field).collect()
+    right = wrong = 0
+    for r in got:
+        s = planted[r.doc_id][1]
+        assert all(x.kind == "crf" for x in r.secrets)
+        for x in r.secrets:
+            hit = s is not None and s in r.text[x.start : x.end] and x.end - x.start <= len(s) + 1
+            right, wrong = right + hit, wrong + (not hit)
+    assert right / 300 > 0.8 and right / (right + wrong) > 0.95, (right, wrong)
+
+
+def test_long_lines_train_in_pieces():
+    label = np.zeros(1000, np.int8)
+    label[199:203] = [secrets.BEGIN, secrets.INSIDE, secrets.INSIDE, secrets.INSIDE]
+    assert secrets.pieces_of(np.array([0, 700, 710]), label).tolist() == [0, 203, 400, 600, 700, 710, 910]
+
+
 # --- 2 substring deduplication
 
 
