@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.tables import drop, save, small
-from gridloom.llm.words import LOWER, NOT_SPACE, Bytes, add_columns, column, doc_bounds, emit_rows, full, mix, ngrams
+from gridloom.llm.words import LOWER, NOT_SPACE, Bytes, add_columns, column, doc_bounds, emit_rows, full, mix, ngrams, stable_order
 
 SHINGLE = 5
 #: Similarity of 75 / 100 or more.
@@ -66,7 +66,8 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
             docs.append(short)
             vals.append(mix(ngrams(h, doc, m)[bounds[short]] + np.uint64(m)))
     d, v = np.concatenate(docs), np.concatenate(vals)
-    order = np.lexsort((v, d))
+    order = np.argsort(v)
+    order = order[stable_order(d[order])]
     d, v = d[order], v[order]
     new = np.ones(len(d), dtype=bool)
     new[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
@@ -74,10 +75,10 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
 
 def sketch(d: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, part, value) of the retained values, by document, part and value."""
+    """(document, part, value) of the retained values, by document, part and value; v is sorted in each document."""
     part = (mix(v) % np.uint64(PARTS)).astype(np.int64)
     group = d * PARTS + part
-    order = np.lexsort((v, group))
+    order = stable_order(group)
     group, v = group[order], v[order]
     keep = _starts(group)[1] < RETAINED
     return group[keep] // PARTS, group[keep] % PARTS, v[keep]
@@ -90,7 +91,7 @@ def _starts(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lists(d: np.ndarray, v: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, list) of the inverted lists that hold each document, by document."""
+    """(document, list) of the inverted lists that hold each document, by document; v is sorted in each document."""
     own = np.floor(np.log(np.maximum(size, 1)) / np.log(4 / 3) + 1e-9).astype(np.int64).clip(0, LARGEST)
     docs, vals, groups = [], [], []
     for c in range(int(own.max(initial=0)) + 2):
@@ -109,7 +110,7 @@ def lists(d: np.ndarray, v: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, n
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     doc, val, group = np.concatenate(docs), np.concatenate(vals), np.concatenate(groups)
     key = doc * ((LARGEST + 1) * 64 * 64) + group
-    order = np.lexsort((val, key))
+    order = stable_order(key)  # values stay in order
     doc, val, group, key = doc[order], val[order], group[order], key[order]
     _, rank = _starts(key)
     keep = rank < RETAINED

@@ -109,6 +109,15 @@ class Bytes:
         return out
 
 
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """Indexes that sort keys of 0 or more, equal ones in their order: one sort of numbers where
+    key and index fit into one."""
+    n = len(key)
+    if n and n < 1 << 24 and int(key.max()) < 1 << 39:
+        return np.sort((key.astype(np.int64) << 24) | np.arange(n)) & ((1 << 24) - 1)
+    return np.argsort(key, kind="stable")
+
+
 def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Hash of words i..i+n-1 for each i (meaningful where `full` says so)."""
     out = np.zeros(max(0, len(h) - n + 1), dtype=_U)
