@@ -253,6 +253,29 @@ def _(i):
     return spatial.regrid(target, source, COARSE).select("row", "col", "v")
 
 
+#: A projected target grid of cells of 2.7 km, and a source grid in degrees of longitude and latitude.
+CALIFORNIA = spatial.Albers(lat1=34.0, lat2=40.5, lat0=0.0, lon0=-120.0, false_northing=-4_000_000.0)
+DEGREES = GridSpec(n_rows=20, n_cols=5, x0=-121.0, y0=38.2, dx=0.4, dy=0.5, crs="lonlat")
+
+
+@query("c05_regrid_projected", """
+    WITH p AS (SELECT 6378137.0E0 AS a, 0.00669438002290079E0 AS f, sqrt(0.00669438002290079E0) AS e, sin(radians(34.0E0)) AS s1, sin(radians(40.5E0)) AS s2),
+    q AS (SELECT *, (1 - f) * (s1 / (1 - f * s1 * s1) - ln((1 - e * s1) / (1 + e * s1)) / (2 * e)) AS q1, (1 - f) * (s2 / (1 - f * s2 * s2) - ln((1 - e * s2) / (1 + e * s2)) / (2 * e)) AS q2,
+          (1 - f) * (1 / (1 - f) - ln((1 - e) / (1 + e)) / (2 * e)) AS pole, (1 - s1 * s1) / (1 - f * s1 * s1) AS m1, (1 - s2 * s2) / (1 - f * s2 * s2) AS m2 FROM p),
+    n AS (SELECT *, (m1 - m2) / (q2 - q1) AS n FROM q),
+    k AS (SELECT *, m1 + n * q1 AS c, a * sqrt(m1 + n * q1) / n AS r0 FROM n),
+    t AS (SELECT d.row, d.col, (d.col + 0.5E0) * 2700 - 67500 AS dx, r0 - (4000000 - (d.row + 0.5E0) * 2700) AS dy, n, c, a, f, pole FROM dem d CROSS JOIN k),
+    b AS (SELECT *, asin((c - (dx * dx + dy * dy) * n * n / (a * a)) / n / pole) AS b FROM t),
+    g AS (SELECT row, col, -120 + degrees(atan2(dx, dy) / n) AS lon, degrees(b + (f / 3 + 31 * f * f / 180 + 517 * f * f * f / 5040) * sin(2 * b) + (23 * f * f / 360 + 251 * f * f * f / 3780) * sin(4 * b) + 761 * f * f * f / 45360 * sin(6 * b)) AS lat FROM b),
+    s AS (SELECT CAST(floor(row / 4.0) AS INT) AS r, CAST(floor(col / 2.0) AS INT) AS k, max(ppt) AS v FROM annual GROUP BY CAST(floor(row / 4.0) AS INT), CAST(floor(col / 2.0) AS INT))
+    SELECT g.row, g.col, s.v FROM g LEFT JOIN s ON s.r = floor((38.2E0 - g.lat) / 0.5E0) AND s.k = floor((g.lon + 121) / 0.4E0) AND s.r < 20 AND s.k < 5""")
+def _(i):
+    source = i.annual.groupBy(F.floor(F.col("row") / 4).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col")).agg(F.max("ppt").alias("v"))
+    target = i.dem.select("row", "col", ((F.col("col") + 0.5) * 2700 - 67500).alias("easting"), (-(F.col("row") + 0.5) * 2700).alias("northing"))
+    lon, lat = CALIFORNIA.inverse(F.col("easting"), F.col("northing"))
+    return spatial.regrid(target, source, DEGREES, lon, lat).select("row", "col", "v")
+
+
 def _regions(spark):
     box = lambda x0, x1, y0, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
     rows = [
