@@ -11,11 +11,12 @@ is missed. Shorter texts have parts of about four shingles and so many splits th
 and the next, so that any two sizes within the threshold share one.
 
 Exact copies are one class beforehand and never expanded. Within a list each class is compared
-with the list's head (the class of the smallest id); texts of compared classes give the estimate from the union of the two
+with the list's head: the class whose lists are the longest taken together, which is the text that
+the others were made from, if there is one (copies of it may be no near copies of each other). Texts of compared classes give the estimate from the union of the two
 sketches, and where it isn't far below the threshold, the exact similarity of the full sets.
 Connected lists are done. Where a list still spans several components, the classes outside its
 main component are compared with all others of the list, unless something excludes a link for sure:
-the sizes, the distances to the smallest id (Jaccard distance is a metric), or the parities of
+the sizes, the distances to the head (Jaccard distance is a metric), or the parities of
 the two sets' hash counts (each that differs stands for a shingle in one set alone). So no
 pair of a list stays undecided between components, and a list of n near copies costs about n
 comparisons.
@@ -147,17 +148,17 @@ def _sums(d: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return c[at[1:]] - c[at[:-1]]
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bool) -> DataFrame:
     """(a, b, common, total) of the pairs of classes. Where the estimate excludes a link, total is
     below 0: minus a lower bound of the distance, in millionths.
 
-    A class's text is that of one of its rows. The second text joins first, by keys that stand in
+    A class's text is that of one of its rows (`repeated`: which may stand there several times). The second text joins first, by keys that stand in
     few pairs; heads of many pairs get theirs last, spread over copies of the key, so that no
     task has all pairs of one head and no head's text is shuffled with them."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = classes.select("node", "first").join(nodes, "node").select("node", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
     texts = docs.select("id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("t")).join(small(wanted), ["id", "text_hash"])
-    texts = save(texts.groupBy("node").agg(F.first("t").alias("t")), "texts")
+    texts = save(texts.groupBy("node").agg(F.first("t").alias("t")) if repeated else texts.select("node", "t"), "texts")
     copies = pairs.groupBy("a").agg(F.floor(F.count("*") / PAIRS_OF_KEY).cast("int").alias("more"))
     dealt = pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("more") + 1).cast("int")).drop("more")
     dealt = dealt.join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
@@ -230,10 +231,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = save(classes.withColumn("node", node), "classes")
 
     entries = classes.select("node", F.col("first.id").alias("rep"), F.explode("lists").alias("list"))
-    heads = entries.groupBy("list").agg(F.min(F.struct("rep", "node"))["node"].alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = save(entries.drop("rep").join(heads, "list"), "lists")
+    long = entries.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
+    listed = save(entries.join(long, "list"), "listed")
+    weight = listed.groupBy("node").agg(F.sum("n").alias("weight"))
+    heads = listed.join(weight, "node").groupBy("list").agg(F.min(F.struct(-F.col("weight"), "rep", "node"))["node"].alias("head"))
+    members = save(listed.select("list", "node").join(heads, "list"), "lists")
+    drop(listed)
     star = members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    first = _compare(star, base, classes)
+    repeated = not rows.groupBy("id", "text_hash").count().where("count > 1").isEmpty()
+    first = _compare(star, base, classes, repeated)
     linked = F.col("total") > 0
     linked = linked & (100 * F.col("common") >= PERCENT * F.col("total"))
     links = first.where(linked).select("a", "b")
@@ -244,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = _undecided(members, first, comp, classes.select("node", "size", "lists", *[F.col("odd")[i].alias(f"o{i}") for i in range(4)]))
     second = None
     if not rest.isEmpty():
-        second = _compare(rest, base, classes)
+        second = _compare(rest, base, classes, repeated)
         more = second.where(linked).select("a", "b")
         if not more.isEmpty():
             drop(comp)

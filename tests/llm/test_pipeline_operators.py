@@ -523,16 +523,22 @@ def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
         assert len(seen[-1]) == n
 
 
-def plain_forward(word: bytes, table, longest, logp):
-    """log of the sum over all segmentations, position by position in Python."""
+def plain_matches(word: bytes, table, longest):
+    """(start, piece) of the pieces that end at each position."""
     b = Bytes(pa.array([word], pa.binary()))
-    alpha = [0.0]
+    out = []
     for i in range(1, len(word) + 1):
-        ways = []
-        for n in range(1, min(i, longest) + 1):
-            t = table.get(b.hashes(np.array([i - n]), np.array([i])))[0]
-            if t >= 0:
-                ways.append(alpha[i - n] + logp[t])
+        n = np.arange(1, min(i, longest) + 1)
+        t = table.get(b.hashes(i - n, np.full(len(n), i)))
+        out.append([(i - k, x) for k, x in zip(n.tolist(), t.tolist(), strict=True) if x >= 0])
+    return out
+
+
+def plain_forward(matches, logp):
+    """log of the sum over all segmentations, position by position in Python."""
+    alpha = [0.0]
+    for found in matches:
+        ways = [alpha[a] + logp[t] for a, t in found]
         top = max(ways)
         alpha.append(top + np.log(sum(np.exp(w - top) for w in ways)))
     return alpha[-1]
@@ -548,11 +554,11 @@ def test_forward_algorithm_sums_all_segmentations(monkeypatch, block):
     texts = ["Über the the straße, " + "z" * 90 + " достопримечательностями " + run, "of " + "ж" * 300 + "x"]
     b, doc, word, start, end = language_id._words(pa.array(texts))
     assert (end - start).max() == len(run.encode()) + 1  # no run is cut
+    matches = [plain_matches(b.data[x:y].tobytes(), table, longest) for x, y in zip(start, end, strict=True)]
     for q in (p, np.maximum(p, 1e-12), np.full_like(p, 1e-13)):  # products far below the range of doubles
         got = language_id.log_probabilities(b, start, end, table, longest, q)
         for k in range(len(start)):
-            w = b.data[start[k] : end[k]].tobytes()
-            assert np.allclose(got[k], [plain_forward(w, table, longest, np.log(q[:, j])) for j in (0, 1)], rtol=1e-9)
+            assert np.allclose(got[k], [plain_forward(matches[k], np.log(q[:, j])) for j in (0, 1)], rtol=1e-9)
     small = language_id.log_probabilities(b, start, end, table, longest, np.stack([np.full(n, 5e-11), np.full(n, 5e-12)], axis=1))
     assert (small[:, 0] > small[:, 1]).all()  # languages stay apart, however small the products
 
