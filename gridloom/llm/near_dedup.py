@@ -217,7 +217,22 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if done:
             drop(both)
-            return labels
+            out = labels.select("id", "component")
+            out.stored_at = labels.stored_at
+            return out
+
+
+def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """The components when further edges are added: those that they join become one. Only the
+    graph of the components themselves is walked again."""
+    ends = more.select(F.col("a").alias("id")).unionByName(more.select(F.col("b").alias("id"))).distinct()
+    known = comp.unionByName(ends.join(comp, "id", "left_anti").select("id", F.col("id").alias("component")))
+    of = lambda end: known.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}"))
+    joined = more.join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    up = components(joined)
+    out = save(known.join(up.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component")), "labels")
+    drop(up)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
@@ -253,8 +268,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         second = _compare(rest, base, classes, repeated)
         more = second.where(linked).select("a", "b")
         if not more.isEmpty():
-            drop(comp)
-            comp = components(links.unionByName(of_ids).unionByName(more))
+            first_comp, comp = comp, merged(comp, more)
+            drop(first_comp)
     # a component's number is the smallest id of its classes
     group = classes.select("low", "high", "node", F.col("first.id").alias("rep")).join(comp.select(F.col("id").alias("node"), "component"), "node", "left")
     group = group.withColumn("component", F.coalesce("component", "node"))

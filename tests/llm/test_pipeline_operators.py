@@ -419,6 +419,13 @@ def test_an_id_with_several_texts_is_one_document(spark):
     assert {r.component_id for r in got.where("doc_id IN (6, 7)").collect()} == {1}
 
 
+def test_components_merge(spark):
+    kind = "a long, b long"
+    comp = near_dedup.components(spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21)], kind))
+    got = {r.id: r.component for r in near_dedup.merged(comp, spark.createDataFrame([(3, 11), (30, 31), (31, 32), (2, 1)], kind)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 30, 31: 30, 32: 30}
+
+
 def test_a_head_of_many_pairs_is_spread(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "PAIRS_OF_KEY", 7)
     rng = np.random.default_rng(22)
