@@ -16,6 +16,9 @@ _QUERIES = {
     "op8_pii_surrogates": ("pii", None),
     "op9_decontaminate": ("decontaminate", "OP9_SQL"),
     "op10_language_id": ("language_id", None),
+    "op11_filter_audit": ("filter_audit", "OP11_SQL"),
+    "op12_importance_resampling": ("resampling", "OP12_SQL"),
+    "op13_license_scan": ("licenses", None),
 }
 
 
