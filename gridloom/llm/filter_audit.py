@@ -13,7 +13,7 @@ Texts are read once, for the filters that look at one text and for a hash. Equal
 hash, aggregated before it is shuffled; the smallest ids are written, so that the join of a hot text is split by rows. Repeated rows are counted before
 the joins, and count as often as they stand.
 
-Null texts are empty, a null part (or one that is '') is ''. A row with a null id has no smaller id and is none.
+Null texts are empty, a null part (or one that is '') is ''. A row with a null id has no labels and no smaller id, and is none.
 Labels of an id that stand several times count once (any 1 makes it 1); labels of unknown ids are ignored.
 Rows of one id with different texts are told apart by their text. Empty tables have an empty result.
 """
