@@ -10,7 +10,7 @@ however long or hostile, makes the engine recurse.
 A surrogate is derived from a keyed hash of the entity's kind and normal form, so all mentions of an
 entity have the same one, in every document and in every format. Names are replaced part by part:
 a family name is the same beside any given name. Surrogates keep the mention's format (separators,
-letter case, title, country code, top-level domain, issuer digit) and what makes it a true one of its
+letter case, title, the digits before a phone number's last ten, top-level domain, issuer digit) and what makes it a true one of its
 kind: a card's Luhn sum, an IBAN's remainder, a social security number's valid ranges, a name's
 script and gender (by the title; a title of either gender takes the one that the given name has
 most often in the corpus).
@@ -18,7 +18,10 @@ most often in the corpus).
 Distinct entities keep distinct surrogates: the table of distinct entities is checked for two
 entities with one surrogate and for surrogates that are themselves entities of the corpus; those
 are derived anew with the next attempt number, which makes names and addresses longer, until none
-is left. No text is shuffled for that; the replacements return to the documents by their id and
+is left. Numbers can't grow: where a corpus has so many of one format (kind, length, a card's first digit) that they
+fill more than an eighth of it (`CROWDED`), a keyed permutation of the whole format (a Feistel network over
+its digits) takes the place of the hash. It is distinct by construction and ends on any corpus; in such a format a
+surrogate may be another number of the corpus, and a social security number may leave the valid ranges. No text is shuffled for that; the replacements return to the documents by their id and
 the text's hash, broadcast if they are few.
 
 Null texts stay null, texts without entities are unchanged. Repeated rows are each replaced alike.
@@ -37,6 +40,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.tables import drop, free_names, save, small
 
 ATTEMPTS = 24
+#: Numbers of a format are permuted where this many times their number exceeds the format's surrogates.
+CROWDED = 8
 #: Rows and bytes up to which the replacements are broadcast.
 FEW_ROWS, FEW_BYTES = 50_000, 32 << 20
 
@@ -93,7 +98,8 @@ def entity_parts(mentions: DataFrame) -> DataFrame:
     digits = F.regexp_replace("mention", "[^0-9]", "")
     plain = mentions.where(~kind.isin("name", "word")).select(
         "*", F.lit(0).alias("part"), kind.alias("part_kind"),
-        F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace("mention", " ", "")).otherwise(F.lower("mention")).alias("norm"),
+        F.when(kind == "phone", F.right(digits, F.lit(10))).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace("mention", " ", ""))
+        .when(kind == "ip", F.regexp_replace("mention", r"(?<![0-9])0+(?=[0-9])", "")).otherwise(F.lower("mention")).alias("norm"),
     )
     # a name's gender: that of its last title which has one
     gender = F.when(mention.rlike(rf"(?:^| )(?:{_FEMALE})\.? |女士$"), "f").when(mention.rlike(rf"(?:^| )(?:{_MALE})\.? "), "m").otherwise("u")
@@ -201,8 +207,46 @@ def _generated(hexed: Column, script: Column, gender: Column, attempt: Column) -
     return F.initcap(F.concat(syllables, ending))
 
 
+def _space(kind: Column, norm: Column) -> Column:
+    """How many surrogates a number's format has; null for what can grow."""
+    length = F.length(norm)
+    return F.when(kind == "phone", 8 * F.pow(F.lit(10.0), length - 1)).when(kind == "ssn", F.lit(665.0 * 99 * 9999)).when(kind == "card", F.pow(F.lit(10.0), length - 2)).when(kind == "ip", F.lit(254.0**4))
+
+
+def with_crowded(entities: DataFrame) -> DataFrame:
+    """entities with crowded: whether those of their format fill too much of it for chosen numbers."""
+    kind, norm = F.col("kind"), F.col("norm")
+    format_ = F.when(_space(kind, norm).isNotNull(), F.concat_ws("|", kind, F.when(kind != "ip", F.length(norm)), F.when(kind == "card", F.left(norm, F.lit(1)))))
+    counts = entities.groupBy(format_.alias("format")).agg(F.count("*").alias("n"), F.first(_space(kind, norm)).alias("space")).where(f"n * {CROWDED} > space")
+    full = [r.format for r in counts.collect()]  # formats, a few dozen at most
+    return entities.withColumn("crowded", F.coalesce(format_.isin(full), F.lit(False)) if full else F.lit(False))
+
+
+def _permuted(value: Column, name: Column, left_size: Column, right_size: Column, key: str) -> Column:
+    """A keyed permutation of the numbers below left_size * right_size: eight rounds in which one half is shifted by a hash of the other."""
+
+    def shift(r: Column, half: Column, size: Column) -> Column:
+        hexed = F.sha2(F.concat_ws("|", F.lit(key), F.lit("permutation"), name, r, half).cast("binary"), 256)
+        return F.pmod(F.conv(F.substr(hexed, F.lit(1), F.lit(12)), 16, 10).cast("bigint"), size)
+
+    def step(acc: Column, r: Column) -> Column:
+        a, b = acc["a"], acc["b"]
+        return F.struct(F.when(r % 2 == 0, F.pmod(a + shift(r, b, left_size), left_size)).otherwise(a).alias("a"), F.when(r % 2 == 1, F.pmod(b + shift(r, a, right_size), right_size)).otherwise(b).alias("b"))
+
+    start = F.struct(F.floor(value / right_size).cast("bigint").alias("a"), F.pmod(value, right_size).alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(7)), start, step, lambda acc: acc["a"] * right_size + acc["b"])
+
+
+def _permuted_digits(digits: Column, name: Column, key: str) -> Column:
+    """A keyed permutation of the digit strings of one length (18 at most)."""
+    n = F.length(digits)
+    ten = lambda k: F.rpad(F.lit("1"), k + 1, "0").cast("bigint")
+    half = F.floor(n / 2).cast("int")
+    return F.lpad(_permuted(digits.cast("bigint"), F.concat_ws("|", name, n), ten(half), ten(n - half), key).cast("string"), n, "0")
+
+
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, attempt) with surrogate: the new normal form."""
+    """(kind, norm, attempt, crowded) with surrogate: the new normal form."""
     kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
     hexed = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt).cast("binary"), 512)
     local, domain = F.substring_index("norm", "@", 1), F.substring_index("norm", "@", -1)
@@ -214,7 +258,15 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     ip = F.concat_ws(".", *[(F.pmod(_byte(hexed, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])
     phone = F.concat((F.pmod(_byte(hexed, F.lit(63)), F.lit(8)) + 2).cast("string"), _chars(F.expr("substr(norm, 2)"), hexed))
     ssn = F.concat(*[F.lpad(_number(hexed, 6 * i, below).cast("string"), width, "0") for i, (below, width) in enumerate(((665, 3), (99, 2), (9999, 4)))])
-    rest = F.concat(F.left(norm, F.lit(1)), _chars(F.substr(norm, F.lit(2), F.length(norm) - 2), hexed))
+    crowded = F.col("crowded")
+    octets = F.split("norm", "[.]")
+    number = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, x: acc * 256 + x.cast("bigint"))
+    moved = _permuted(number, kind, F.lit(65536).cast("bigint"), F.lit(65536).cast("bigint"), key)
+    ip = F.when(crowded, _once(moved, lambda v: F.concat_ws(".", *[F.shiftright(v, 24 - 8 * i).bitwiseAND(255).cast("string") for i in range(4)]))).otherwise(ip)
+    phone = F.when(crowded, _permuted_digits(norm, kind, key)).otherwise(phone)
+    ssn = F.when(crowded, _permuted_digits(norm, kind, key)).otherwise(ssn)
+    middle = F.substr(norm, F.lit(2), F.length(norm) - 2)
+    rest = F.concat(F.left(norm, F.lit(1)), F.when(crowded, _permuted_digits(middle, F.concat_ws("|", kind, F.left(norm, F.lit(1))), key)).otherwise(_chars(middle, hexed)))
     card = F.concat(rest, F.pmod(luhn_sum(norm) - luhn_sum(F.concat(rest, F.lit("0"))), F.lit(10)).cast("string"))
     account, country = _chars(F.expr("substr(norm, 5)"), hexed), F.left(norm, F.lit(2))
     check = 98 - iban_remainder(F.concat(country, F.lit("00"), account))
@@ -223,30 +275,32 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     script, gender = F.split_part("norm", F.lit("|"), F.lit(1)), F.split_part("norm", F.lit("|"), F.lit(2))
     named = _generated(hexed, script, gender, attempt)
     new = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "iban", iban).when(kind == "card", card).otherwise(named)
-    return entities.select("kind", "norm", "attempt", new.alias("surrogate"))
+    return entities.select("kind", "norm", "attempt", "crowded", new.alias("surrogate"))
 
 
 def distinct_surrogates(parts: DataFrame, key: str) -> DataFrame:
     """(part_kind, norm, surrogate) of all distinct entities; no surrogate twice among those of a
-    kind (all names are one), and none that is an entity of the corpus."""
+    kind (all names are one), and none that is an entity of the corpus (but in crowded formats)."""
     is_name = F.col("kind").isin("given", "family")
     group = F.when(is_name, "name").otherwise(F.col("kind"))
     entities = parts.where("norm IS NOT NULL").select(F.col("part_kind").alias("kind"), "norm").distinct().withColumn("attempt", F.lit(0))
+    entities = save(with_crowded(entities), "entities")
     table = save(surrogates(entities, key), "surrogates")
+    drop(entities)
     for _ in range(ATTEMPTS):
         # what a text would show
         own = table.select("*", group.alias("group"), F.lower("surrogate").alias("shown"), F.concat_ws("|", "kind", "norm").alias("who"))
         taken = own.groupBy("group", "shown").agg(F.min("who").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
         real = own.select("group", F.lower(F.when(is_name, F.split_part("norm", F.lit("|"), F.lit(3))).otherwise(F.col("norm"))).alias("shown"), F.lit(True).alias("real")).distinct()
         checked = own.join(taken, ["group", "shown"], "left").join(real, ["group", "shown"], "left")
-        clash = F.coalesce("real", F.lit(False)) | F.coalesce(F.col("keeper") != F.col("who"), F.lit(False))
-        checked = save(checked.select("kind", "norm", "attempt", clash.alias("clash")), "checked")
+        clash = ~F.col("crowded") & (F.coalesce("real", F.lit(False)) | F.coalesce(F.col("keeper") != F.col("who"), F.lit(False)))
+        checked = save(checked.select("kind", "norm", "attempt", "crowded", clash.alias("clash")), "checked")
         if checked.where("clash").isEmpty():
             drop(checked)
             out = table.select(F.col("kind").alias("part_kind"), "norm", "surrogate")
             out.stored_at = table.stored_at
             return out
-        new = save(surrogates(checked.select("kind", "norm", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt")), key), "surrogates")
+        new = save(surrogates(checked.select("kind", "norm", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"), "crowded"), key), "surrogates")
         drop(checked)
         drop(table)
         table = new
