@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.tables import drop, save
+from gridloom.llm.tables import drop, free_names, save
 from gridloom.llm.words import LOWER, add_columns, byte_class, column
 
 WINDOW = 10
@@ -136,7 +136,7 @@ def _scan(docs: DataFrame, shared, key: str, window: int, text_col: str, first:
 
 def _replace(docs: DataFrame, text_col: str, out: dict[str, str], fn) -> DataFrame:
     """add_columns for a function that also reads the columns it replaces."""
-    names = {k: f"__{k}" for k in out}
+    names = dict(zip(out, free_names(docs, *out), strict=True))
 
     def renamed(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         new = fn(batch)
