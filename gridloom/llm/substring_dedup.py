@@ -15,11 +15,12 @@ only repeat in segments of its anchor:
    it reaches that, the range of suffixes has the smallest id of all occurrences.
    An anchor with more than `HOT` different segments is dealt by single windows instead, each with
    the smallest id that has it, so that no shard grows with one passage's surroundings: of such
-   passages equal windows are found by their hashes when they are dealt, and the index confirms.
+   passages equal windows are found by their hashes when they are dealt, and each stands in its
+   index once, so that the search adds nothing there.
 4. What a shard reports goes back to the documents, whose covered words are removed.
 
 Null and empty texts have no words. Rows with a null id keep all words, and nothing is removed
-because of them. Rows that repeat an id do not count against one another; each is judged by its
+because of them. Ids may be of any type that has an order. Rows that repeat an id do not count against one another; each is judged by its
 own text. All columns of the input but n_words, n_removed and kept stay, whatever their names.
 """
 
@@ -29,6 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,13 +64,17 @@ def _segments(b: Bytes) -> tuple[np.ndarray, ...]:
     return start, end, h, first, count, doc[first], best[first]
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["id"].dataType.simpleString()
+
+
 def _anchors(docs: DataFrame) -> DataFrame:
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         *_, doc, anchor = _segments(Bytes(column(batch, "text")))
         once = np.unique(mix(anchor + mix(doc.astype(np.uint64))), return_index=True)[1]
         return {"id": column(batch, "id").take(pa.array(doc[once])), "anchor": anchor[once].view(np.int64)}
 
-    return emit_rows(docs, "text", "id bigint, anchor bigint", fn)
+    return emit_rows(docs, "text", f"id {_kind(docs)}, anchor bigint", fn)
 
 
 def _cut(docs: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def _cut(docs: DataFrame) -> DataFrame:
             "words": pa.array([raw[s:e] for s, e in zip(start[first].tolist(), end[last - 1].tolist(), strict=True)], pa.binary()),
         }
 
-    return emit_rows(docs, "text", "id bigint, row bigint, start int, anchor bigint, low bigint, high bigint, words binary", fn)
+    return emit_rows(docs, "text", f"id {_kind(docs)}, row bigint, start int, anchor bigint, low bigint, high bigint, words binary", fn)
 
 
 def search_shard(ids: np.ndarray, words: pa.Array) -> list[np.ndarray]:
@@ -127,16 +133,22 @@ def search_shard(ids: np.ndarray, words: pa.Array) -> list[np.ndarray]:
 
 
 def _search(rows: DataFrame, n_shards: int, shard) -> DataFrame:
-    """rows (low, high, id, words) with least: the smallest id for each window."""
+    """rows (low, high, id, words) with least: the smallest id for each window. Ids of any type that has an
+    order are searched as their ranks in the shard."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        found = search_shard(t.column("id").to_numpy(), t.column("words").combine_chunks())
-        return pa.table({"low": t.column("low"), "high": t.column("high"), "least": pa.array(found, pa.list_(pa.int64()))})
+        ids = t.column("id").combine_chunks()
+        known = ids.unique().sort()
+        ranks = pc.index_in(ids, known).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = search_shard(ranks, t.column("words").combine_chunks())
+        sizes = np.cumsum([0, *(len(f) for f in found)])
+        flat = np.concatenate(found) if found else np.empty(0, np.int64)
+        return pa.table({"low": t.column("low"), "high": t.column("high"), "least": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), known.take(pa.array(flat, pa.int64())))})
 
     prepare(rows.sparkSession)
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(shard), F.lit(n_shards))).select("shard", "low", "high", "id", "words")
-    return dealt.groupBy("shard").applyInArrow(run, "low bigint, high bigint, least array<bigint>")
+    return dealt.groupBy("shard").applyInArrow(run, f"low bigint, high bigint, least array<{_kind(rows)}>")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -158,11 +170,11 @@ def _windows(rows: DataFrame) -> DataFrame:
             "words": pa.array([raw[s:e] for s, e in zip(start[at].tolist(), end[at + WINDOW - 1].tolist(), strict=True)], pa.binary()),
         }
 
-    return emit_rows(rows, "words", "seg_low bigint, seg_high bigint, k int, low bigint, high bigint, id bigint, words binary", fn)
+    return emit_rows(rows, "words", f"seg_low bigint, seg_high bigint, k int, low bigint, high bigint, id {_kind(rows)}, words binary", fn)
 
 
-def _least(segments: DataFrame) -> DataFrame:
-    """(low, high, least) of the distinct segments."""
+def _least(segments: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(low, high, least) of the distinct segments, and the written tables that it reads."""
     spark = segments.sparkSession
     one = segments.groupBy("low", "high").agg(F.min("id").alias("id"), F.first("anchor").alias("anchor"), F.first("words").alias("words"))
     one = save(one, "distinct-segments")
@@ -171,26 +183,29 @@ def _least(segments: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(parts, -(-one.count() * (WINDOW + 4) // SHARD_WORDS))
     if hot.isEmpty():
-        return _search(one, shards, F.col("anchor"))
+        return _search(one, shards, F.col("anchor")), [one, hot]
     plain = _search(one.join(hot, "anchor", "left_anti"), shards, F.col("anchor"))
     single = save(_windows(one.join(hot, "anchor", "left_semi").select("low", "high", "id", "words")), "windows")
     each = single.groupBy("low", "high").agg(F.min("id").alias("id"), F.first("words").alias("words"))
     found = _search(each, shards, F.col("low")).select("low", "high", F.col("least")[0].alias("m"))
     back = single.select("seg_low", "seg_high", "k", "low", "high").join(found, ["low", "high"])
     back = back.groupBy(F.col("seg_low").alias("low"), F.col("seg_high").alias("high")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("least"))
-    return plain.unionByName(back)
+    return plain.unionByName(back), [one, hot, single]
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, starts): the word positions at which windows of a document start that also start in
     a document with a smaller id; row is the hash of the text, for ids that have several."""
-    base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     anchors = _anchors(base)
     shared = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     known = save(anchors.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
     segments = save(_cut(base.join(known, "id")), "segments")
     drop(known)
-    least = save(_least(segments), "least")
+    found, read = _least(segments)
+    least = save(found, "least")
+    for t in read:
+        drop(t)
     places = segments.select("id", "row", "start", "low", "high").distinct()
     hits = places.join(least, ["low", "high"]).select("id", "row", F.expr("filter(transform(least, (m, k) -> IF(m < id, start + k, NULL)), x -> x IS NOT NULL)").alias("starts"))
     out = save(hits.where(F.size("starts") > 0).groupBy("id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts")), "hits")
