@@ -66,7 +66,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     again = repeated.join(gone, "key", "left_anti").withColumnRenamed("key", own)
     if not again.isEmpty():
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        one = kept.join(small(again), own, "left_semi").groupBy(own).agg(F.min(whole).alias("whole")).select("whole.*")
+        others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))  # maps have no order, their JSON has one
+        one = kept.join(small(again), own, "left_semi").groupBy(own).agg(F.min_by(whole, others).alias("whole")).select("whole.*")
         return kept.join(small(again), own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -133,6 +133,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     if capacity < 4:
         raise ValueError("a bin must hold any character: 4 bytes or tokens at least")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    # pieces are at most one for each document and one for each `capacity` bytes, or nearly so
+    n_docs, n_bytes = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    groups = max(1, -(-(n_docs + n_bytes // capacity) // group))
     if tokens:
         docs = _with_token_cuts(docs, text_col, capacity)
     base_columns = [
@@ -147,7 +150,6 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         keyed = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"), F.struct(*base_columns).alias("doc"))
         found = near_duplicates(keyed, "key", "text", ["doc"])
         base = found.select("doc.id", "doc.cuts", "doc.source", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc.cluster")).alias("cluster"))
-    groups = max(1, -(-docs.count() // group))
     kept = ["id", "source", "cluster", *(["text"] if with_text else [])]
     pieces = base.select(*kept, F.posexplode("cuts").alias("piece", "cut")).select(*kept, F.col("piece").cast("bigint").alias("piece"), "cut.start", "cut.length", "cut.size")
     if with_text:
