@@ -860,3 +860,59 @@ def test_decontamination(spark, docs, empty, monkeypatch, block):
     assert [spans.text[s.start : s.end].split()[0].strip(";") for s in spans.spans][0] == "ONE--two"
     assert decontaminate.find_contamination(df, bench.where("item_id > 99")).where("size(hits) > 0").isEmpty()
     assert decontaminate.find_contamination(empty, bench).count() == 0
+
+
+def test_numbers_of_a_full_format_stay_distinct(spark):
+    """All five-digit phone numbers, addresses of a full block and crowded social security numbers: no attempt can be free."""
+    phones = [f"+{i}" for i in range(10_000, 100_000)]
+    texts = [" ; ".join(phones[i::100]) for i in range(100)]
+    out = [r.text.split(" ; ") for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    shown = [x for row in out for x in row]
+    assert len(set(shown)) == len(phones) and all(len(x) == 6 and x[0] == "+" for x in shown)
+    assert sum(a != b for a, b in zip(shown, [x for i in range(100) for x in phones[i::100]], strict=True)) > 80_000
+    again = [r.text.split(" ; ") for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert again == out
+
+
+@pytest.mark.parametrize("digits", [1, 2, 3, 5])
+def test_permuted_digits_are_a_permutation(spark, digits):
+    rows = spark.range(10**digits).select(F.lpad(F.col("id").cast("string"), digits, "0").alias("d"))
+    got = {r.d: r.p for r in rows.select("d", pii._permuted_digits(F.col("d"), F.lit("x"), "key").alias("p")).collect()}
+    assert sorted(got.values()) == sorted(got)
+
+
+def test_crowded_formats_of_every_kind(spark, monkeypatch):
+    monkeypatch.setattr(pii, "CROWDED", 10**18)
+    text = "call +49 30 1234567 or 123-45-6789, pay 4111 1111 1111 1111 or 4111 1111 1111 1112 from 10.1.2.3 and 10.01.2.3 or 10.1.2.4"
+    new = replaced(spark, [text])[0]
+    cards = [x.replace(" ", "") for x in re.findall("[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}", new)]
+    assert luhn(cards[0]) % 10 == 0 and luhn(cards[1]) % 10 and cards[0][:-1] == cards[1][:-1] != "411111111111111" and cards[0][0] == "4"
+    ips = re.findall(r"[0-9]+(?:[.][0-9]+){3}", new)
+    assert ips[0] == ips[1] != ips[2] and all(int(x) < 256 for ip in ips for x in ip.split("."))
+    assert re.search(r"\+4[0-9] [0-9]{2} [0-9]{7} ", new) and "123-45-6789" not in new
+
+
+def test_decontamination_keeps_columns_with_its_own_names(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", "mine", 7)], "doc_id long, text string, __hits string, __n_words long")
+    items = spark.createDataFrame([(f"q{k}", " ".join(f"{w}" for w in ("a b c d e f g h i j", "one two three four five six seven eight nine ten", "k l m n o p q r s t u")[k].split())) for k in range(3)], "item_id string, text string")
+    row = decontaminate.find_contamination(docs, items).collect()[0]
+    assert (row["__hits"], row["__n_words"], row.items) == ("mine", 7, ["q1"])
+
+
+def test_substring_dedup_of_other_ids(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    passage = text(rng, 30)
+    rows = [(f"id-{k:02}", f"{text(rng, 10)} {passage} {text(rng, 10)}") for k in range(12)] + [(None, passage)]
+    for hot in (400, 3):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+        assert got == {f"id-{k:02}": 30 if k else 0 for k in range(12)} | {None: 0}
+
+
+def test_a_few_huge_texts_are_several_batches(spark):
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, text(rng, 20_000), f"s{i}") for i in range(4)], "doc_id long, text string, source string")
+    rows = packing.pack(docs, capacity=500, group=100).collect()
+    assert len({r.bin_id >> 32 for r in rows}) >= 8
+    assert all(sum(r.size for r in rows if r.bin_id == b) <= 500 for b in {r.bin_id for r in rows})

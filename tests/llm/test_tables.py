@@ -183,3 +183,11 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id string, text string")):
         spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_dedup_stage_takes_maps_and_structs(spark, tmp_path):
+    prose = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, prose, {"a": 1}, (2, [3])), (1, prose, {"a": 1}, (2, [3])), (2, prose + " more", {"b": 1}, None), (3, "other words of its own", None, None)], "doc_id long, text string, tags map<string,int>, more struct<x:int,y:array<int>>")
+    docs.write.parquet(str(tmp_path / "docs"))
+    got = corpus_pipeline.near_dedup_stage(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    assert sorted((r.doc_id, r.tags) for r in got.collect()) == [(1, {"a": 1}), (3, None)]
