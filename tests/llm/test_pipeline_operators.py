@@ -903,7 +903,7 @@ def test_decontamination_keeps_columns_with_its_own_names(spark, monkeypatch):
 def test_substring_dedup_of_other_ids(spark, monkeypatch):
     rng = np.random.default_rng(2)
     passage = text(rng, 30)
-    rows = [(f"id-{k:02}", f"{text(rng, 10)} {passage} {text(rng, 10)}") for k in range(12)] + [(None, passage)]
+    rows = [(f"id-{k:02}", f"before{k} {passage} after{k}") for k in range(12)] + [(None, passage)]
     for hot in (400, 3):
         monkeypatch.setattr(substring_dedup, "HOT", hot)
         got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
