@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.missing import clamp_infinity
 from gridloom.functions.sized import small, stored
 from gridloom.operators.features import RANGES, complete_rows, positive_targets, severity_midpoint
+from gridloom.operators.forests import Forest, extra_trees, from_spark, score, with_prediction
 from gridloom.operators.select import distinct_splits
 
 
@@ -34,37 +35,39 @@ def regressor(seed: int = 0, trees: int = 100, depth: int = 5) -> RandomForestRe
     return RandomForestRegressor(labelCol="target", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
 
 
-def classifier(seed: int = 0, trees: int = 100, depth: int = 5, weight: str | None = None) -> RandomForestClassifier:
-    out = RandomForestClassifier(labelCol="target", numTrees=trees, maxDepth=depth, seed=seed)
-    return out.setWeightCol(weight) if weight else out
+def feature_array(features: Sequence[str], fill: float | None = None) -> Column:
+    """The features as one array, infinities clamped; null where one is missing."""
+    value = lambda f: F.col(f"`{f}`").cast("double")
+    return F.when(complete_rows(features), F.array(*[value(f) if fill is None else clamp_infinity(value(f), fill) for f in features]))
 
 
 def fold_grid(table: DataFrame, features: Sequence[str], fill: float = 100.0, trees: int = 100, threads: int = 4, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(predictions, importances) of one regressor for each (year, fold): trained on the year's other
-    folds, applied to all years of the fold. The assembled table is stored by fold, so that a
-    model is applied to its fold's files only; a few models train at a time."""
-    ready = assembled(table, features, fill).select("id", "fold", "year", F.col("target").cast("double").alias("target"), "features")
-    ready = stored(ready.repartition("fold"), "fold-grid", ["fold"])
+    folds, applied to all years of the fold. A few models train at a time, on their year's files of the
+    stored table; all of them then score their folds in one pass over it."""
+    ready = table.where(complete_rows(features)).select("id", "fold", "year", F.col("target").cast("double").alias("target"), feature_array(features, fill).alias("x"))
+    ready = stored(ready, "fold-grid", ["year"])
+    vectors = ready.select("year", "fold", "target", array_to_vector("x").alias("features"))
     splits = [tuple(r) for r in distinct_splits(ready).collect()]
 
-    def one(split: tuple[int, int]) -> tuple[DataFrame, list[tuple[int, int, str, float]]] | None:
+    def one(split: tuple[int, int]) -> tuple[int, int, Forest, list[float]] | None:
         year, fold = split
-        train = ready.where((F.col("year") == year) & (F.col("fold") != fold))
+        train = vectors.where((F.col("year") == year) & (F.col("fold") != fold))
         if train.isEmpty():
             return None
         model = regressor(seed, trees).fit(train)
-        found = model.transform(ready.where(F.col("fold") == fold)).select(F.lit(year).alias("train_year"), F.col("year").alias("eval_year"), "fold", "id", "prediction", "target")
-        return found, [(year, fold, f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
+        return year, fold, from_spark(model, features), model.featureImportances.toArray().tolist()
 
     with ThreadPoolExecutor(threads) as pool:
         done = [r for r in pool.map(one, splits) if r]
     if not done:
         raise ValueError("no split has rows to train on")
-    predictions = done[0][0]
-    for more, _ in done[1:]:
-        predictions = predictions.unionByName(more)
-    spark = table.sparkSession
-    return predictions, spark.createDataFrame([x for _, rows in done for x in rows], "train_year int, fold int, feature string, importance double")
+    by_fold: dict[int, list] = {}
+    for year, fold, forest, _ in done:
+        by_fold.setdefault(fold, []).append((year, forest))
+    predictions = score(ready, by_fold, ["year", "fold", "id", "target"], "fold", "train_year").withColumnRenamed("year", "eval_year")
+    rows = [(year, fold, f, v) for year, fold, _, own in done for f, v in zip(features, own, strict=True)]
+    return predictions.select("train_year", "eval_year", "fold", "id", "prediction", "target"), table.sparkSession.createDataFrame(rows, "train_year int, fold int, feature string, importance double")
 
 
 def fit_year(table: DataFrame, features: Sequence[str], year: int, fill: float = 100.0, trees: int = 100) -> PipelineModel:
@@ -73,12 +76,18 @@ def fit_year(table: DataFrame, features: Sequence[str], year: int, fill: float =
     return Pipeline(stages=[regressor(trees=trees)]).fit(rows)
 
 
-def fit_severity(table: DataFrame, features: Sequence[str], classes: bool = True, fill: float = 100.0, trees: int = 100) -> tuple[PipelineModel, dict]:
-    """(model, {features, ranges}): of positive codes, a classifier, or a regressor on the classes' midpoints."""
-    rows = assembled(positive_targets(table), features, fill)
-    if not classes:
-        rows = rows.withColumn("target", severity_midpoint(F.col("target")))
-    model = Pipeline(stages=[classifier(trees=trees) if classes else regressor(trees=trees)]).fit(rows.withColumn("target", F.col("target").cast("double")))
+def _severity_rows(table: DataFrame, features: Sequence[str], fill: float, classes: bool = True) -> DataFrame:
+    """(key, year, id, target, features) of positive codes and complete features; the key is of id and year."""
+    rows = positive_targets(table).where(complete_rows(features))
+    target = F.col("target") if classes else severity_midpoint(F.col("target"))
+    clamped = [clamp_infinity(F.col(f"`{f}`").cast("double"), fill).alias(f) for f in features]
+    return rows.select((F.col("id") * 10_000 + F.col("year")).alias("key"), F.col("year").alias("__year"), F.col("id").alias("__id"), target.cast("double").alias("__target"), *clamped)
+
+
+def fit_severity(table: DataFrame, features: Sequence[str], classes: bool = True, fill: float = 100.0, trees: int = 100, seed: int = 0) -> tuple[Forest, dict]:
+    """(extremely randomised trees, {features, ranges}): of positive codes, for the classes or for their midpoints."""
+    rows = _severity_rows(table, features, fill, classes)
+    model = extra_trees(rows, features, classes, trees, seed=seed, target="__target")[None]
     return model, {"features": list(features), "ranges": {str(k): list(v) for k, v in RANGES.items()}}
 
 
@@ -89,25 +98,29 @@ def class_weights(rows: DataFrame, target: str = "target") -> DataFrame:
     return rows.join(small(n), target).join(F.broadcast(total), how="cross").withColumn("weight", F.col("__all") / (F.col("__k") * F.col("__n"))).drop("__n", "__all", "__k")
 
 
-def leave_year_out(table: DataFrame, features: Sequence[str], fill: float = 10.0, trees: int = 100) -> DataFrame:
-    """(year, id, target, prediction): each year's classes by a classifier of all other years."""
-    ready = assembled(positive_targets(table), features, fill).select("id", "year", F.col("target").cast("double").alias("target"), "features")
-    ready = stored(ready.repartition("year"), "leave-year-out", ["year"])
-    out = None
-    for (year,) in distinct_splits(ready, ["year"]).collect():
-        model = classifier(trees=trees, weight="weight").fit(class_weights(ready.where(F.col("year") != year)))
-        one = model.transform(ready.where(F.col("year") == year)).select("year", "id", "target", "prediction")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
+def leave_year_out(table: DataFrame, features: Sequence[str], fill: float = 10.0, trees: int = 100, seed: int = 0) -> DataFrame:
+    """(year, id, target, prediction): each year's classes by extremely randomised trees of all other years,
+    balanced in each tree's bootstrap. All years' models grow together and score in one pass."""
+    rows = _severity_rows(table, features, fill)
+    kept = rows.select("key", F.col("__year").cast("int").alias("__year"), "__id", "__target", feature_array(features).alias("x"), *[f"`{f}`" for f in features])
+    kept = stored(kept, "leave-year-out")
+    if kept.isEmpty():
         raise ValueError("no row has a positive target")
-    return out
+    grown = extra_trees(kept, features, True, trees, seed=seed, balanced=True, hold_out="__year", target="__target")
+    scored = score(kept, {year: [(year, forest)] for year, forest in grown.items()}, ["__year", "__id", "__target"], "__year", "model")
+    return scored.select(F.col("__year").alias("year"), F.col("__id").alias("id"), F.col("__target").alias("target"), "prediction")
 
 
-def apply_model(model: PipelineModel, table: DataFrame, features: Sequence[str], years: tuple[int, int], name: str = "prediction", fill: float = 100.0) -> DataFrame:
+def apply_model(model: PipelineModel | Forest, table: DataFrame, features: Sequence[str], years: tuple[int, int], name: str = "prediction", fill: float = 100.0, probability: str | None = None) -> DataFrame:
     """table's rows of the years [start, end) with the prediction, missing where a feature is; one
-    pass, without a shuffle. A column with the prediction's name is replaced."""
-    kept = [c for c in table.columns if c.lower() not in (name.lower(), "prediction", "features", "rawprediction", "probability")]
+    pass, without a shuffle. A column with the prediction's name is replaced. `probability` names a column
+    for a forest's class probabilities."""
+    kept = [c for c in table.columns if c.lower() not in (name.lower(), "prediction", "features", "rawprediction", "probability", (probability or name).lower())]
     rows = table.where((F.col("year") >= years[0]) & (F.col("year") < years[1]))
+    if isinstance(model, Forest):
+        if "x" in kept:
+            raise ValueError("a forest's table may not have a column x")
+        return with_prediction(model, rows.select(*[F.col(f"`{c}`") for c in kept], feature_array(features, fill).alias("x")), name, probability)
     scored = model.transform(assembled(rows.select(*[F.col(f"`{c}`") for c in kept]), features, fill, keep=True))
     return scored.select(*[F.col(f"`{c}`") for c in kept], F.when(complete_rows(features), F.col("prediction")).alias(name))
 

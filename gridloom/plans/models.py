@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.functions.grid import with_folds
-from gridloom.operators import climate, evaluate, features, models
+from gridloom.functions.sized import shared_dir
+from gridloom.operators import climate, evaluate, features, forests, models
 from gridloom.plans.climate import _ROLLED, _rolling_sql
 from gridloom.plans.registry import query, r6
 from gridloom.plans.tables import SUPPLIERS
+from gridloom.sources import models as sink
 
 _YEARS = (1998, 1999, 2000)
 _INDEX = ["ppt", "pet"]
@@ -81,13 +85,42 @@ def _(i):
 def _(i):
     t = _training(i)
     names = features.feature_columns(t)
-    model, extra = models.fit_severity(t, names)
+    path = f"{shared_dir(t.sparkSession)}/gridloom/severity-{uuid.uuid4().hex}"
+    sink.save_model(*models.fit_severity(t, names), path)
+    model, extra = sink.load_model(t.sparkSession, path)
     yearly = i.annual.join(i.heat, ["row", "col", "year"], "left")
     static = i.topo.withColumns({"eastings": SUPPLIERS.easting(F.col("col")), "northings": SUPPLIERS.northing(F.col("row"))})
     scored = models.apply_model(model, features.by_name(yearly, static, extra["features"], (1998, 2001)), extra["features"], (1998, 2001), "severity")
     return scored.select("row", "col", "year", "severity")
 
 
+
+
+def _keyed_sql(seed: int, *parts: str) -> str:
+    """WITH-less SQL: nested selects that carry h through the halves of each part."""
+    out = f"SELECT *, {seed}::BIGINT AS h FROM draws"
+    for part in parts:
+        for half in (f"({part})::BIGINT & 4294967295", f"(({part})::BIGINT >> 32) & 4294967295"):
+            out = f"SELECT * REPLACE ((h * 31 + ({half}) + 1) & 4294967295 AS h) FROM ({out}) q"
+            for _ in range(2):
+                out = f"SELECT * REPLACE ((xor(h, h >> 16) * 73244475) & 4294967295 AS h) FROM ({out}) q"
+            out = f"SELECT * REPLACE (xor(h, h >> 16) AS h) FROM ({out}) q"
+    return out
+
+
+@query("h05_balanced_bootstrap", f"""
+    WITH draws AS (SELECT t.tree, CAST(id * 10000 + eval_year AS BIGINT) AS key, CAST(floor(target) AS INT) % 5 AS target FROM predictions CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS tree) t),
+    hashed AS ({_keyed_sql(0, "tree", "key")}),
+    counted AS (SELECT tree, key, target, {" + ".join(f"(h >= {c})::INT" for c in forests.POISSON)} AS n FROM hashed),
+    by_class AS (SELECT tree, target, sum(n) AS c FROM counted GROUP BY tree, target HAVING sum(n) > 0),
+    weights AS (SELECT tree, target, sum(c) OVER (PARTITION BY tree) / (count(*) OVER (PARTITION BY tree) * c) AS weight FROM by_class)
+    SELECT tree, target, count(*) AS rows, sum(n)::BIGINT AS drawn, sum(n * key % 9973)::BIGINT AS checksum, round(max(weight), 6) AS weight FROM counted LEFT JOIN weights USING (tree, target) GROUP BY tree, target""")
+def _(i):
+    rows = i.predictions.select(F.explode(F.sequence(F.lit(0), F.lit(3))).alias("tree"), (F.col("id") * 10_000 + F.col("eval_year")).cast("bigint").alias("key"), (F.floor("target").cast("int") % 5).alias("target"))
+    drawn = forests.balanced_weights(rows)
+    return r6(drawn.groupBy("tree", "target").agg(F.count("*").alias("rows"), F.sum("n").alias("drawn"), F.sum(F.col("n") * F.col("key") % 9973).alias("checksum"), F.max("weight").alias("weight")), "weight")
+
+
 @query("h07_posterior_quantile", """
     WITH n AS (SELECT id, c1 + c2 + c3 + c4 + c5 AS t, * EXCLUDE (id) FROM class_counts),
     p AS (SELECT id, c1 / t AS p1, c2 / t AS p2, c3 / t AS p3, c4 / t AS p4, c5 / t AS p5 FROM n)
