@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.functions.missing import poison, statistic
-from gridloom.functions.sized import small
+from gridloom.functions.sized import stored
 from gridloom.operators.select import year_range
 
 #: How each monthly variable becomes an annual one.
@@ -39,11 +39,16 @@ def water_year(monthly: DataFrame, keys: Sequence[str] = ("row", "col"), how: di
     return monthly.groupBy(*keys, water_year_of(F.col("time")).alias("year")).agg(*out)
 
 
-def with_year_index(annual: DataFrame, year: str = "year") -> DataFrame:
-    """annual with year_index: the rank of the year among all years of the table (a small
-    table), so that frames over it count a cell's absent years as missing ones."""
-    years = annual.select(year).distinct().withColumn("year_index", F.row_number().over(Window.orderBy(year)))
-    return annual.join(small(years), year)
+def with_year_index(annual: DataFrame, year: str = "year", years: Sequence[int] | None = None) -> DataFrame:
+    """annual with year_index: the place of the year among `years`, so that frames over it count a cell's
+    absent years as missing ones. Rows of other years go. Without `years`, they are all years of the
+    table, which is stored once, so that they are found without a second run of what makes it."""
+    if years is None:
+        annual = stored(annual, "annual")
+        years = [r[0] for r in annual.where(F.col(year).isNotNull()).select(year).distinct().collect()]  # calendar years
+    years = sorted(set(years))
+    at = F.array_position(F.array(*[F.lit(int(y)).cast("bigint") for y in years]), F.col(year).cast("bigint")) if years else F.lit(0)
+    return annual.withColumn("year_index", at.cast("int")).where(F.col("year_index") > 0)
 
 
 def rolling_sum(value: Column, span: int, keys: Sequence[str], order: str = "year_index") -> Column:
@@ -52,13 +57,14 @@ def rolling_sum(value: Column, span: int, keys: Sequence[str], order: str = "yea
     return F.when(F.count(value).over(w) == span, F.sum(value).over(w))
 
 
-def rolling_indices(annual: DataFrame, spans: Sequence[int] = SPANS, keys: Sequence[str] = ("row", "col"), names: Sequence[str] = ("PR", "PRET")) -> DataFrame:
-    """annual with PR{s} (sums of ppt) and PRET{s} (sums of ppt - pet); all frames share one sort."""
+def rolling_indices(annual: DataFrame, spans: Sequence[int] = SPANS, keys: Sequence[str] = ("row", "col"), names: Sequence[str] = ("PR", "PRET"), years: Sequence[int] | None = None) -> DataFrame:
+    """annual with PR{s} (sums of ppt) and PRET{s} (sums of ppt - pet); all frames share one sort. With
+    `years` (see with_year_index) annual is read once, and nothing runs before the result does."""
     source = {"PR": F.col("ppt"), "PRET": F.col("ppt") - F.col("pet")}
     unknown = [n for n in names if n not in source]
     if unknown:
         raise ValueError(f"unknown index {unknown[0]!r}; known are {', '.join(source)}")
-    df = with_year_index(annual)
+    df = with_year_index(annual, years=years)
     return df.withColumns({f"{n}{s}": rolling_sum(source[n], s, keys) for s in spans for n in names}).drop("year_index")
 
 
@@ -69,12 +75,14 @@ def splice(reference: DataFrame, focal: DataFrame, reference_years: tuple[int, i
     return ref.join(foc.select(*cells).distinct(), cells, "left_semi").unionByName(foc.join(ref.select(*cells).distinct(), cells, "left_semi"))
 
 
-def index_suite(annual: DataFrame, reference_years: tuple[int, int], focal_years: tuple[int, int], spans: Sequence[int] = SPANS, names: Sequence[str] = INDICES, keys: Sequence[str] = ("row", "col"), reference: DataFrame | None = None) -> DataFrame:
+def index_suite(annual: DataFrame, reference_years: tuple[int, int], focal_years: tuple[int, int], spans: Sequence[int] = SPANS, names: Sequence[str] = INDICES, keys: Sequence[str] = ("row", "col"), reference: DataFrame | None = None, years: Sequence[int] | None = None, parameters: dict[str, DataFrame] | None = None) -> DataFrame:
     """Focal rows of annual with the indices of all spans.
 
     SPI{s} and SPEI{s} are fitted per cell on PR{s} and PRET{s} of the reference years. With
     `reference`, these years come from that table; both are cut to their years before the sums, so
-    the first windows of the focal years cross the seam.
+    the first windows of the focal years cross the seam. `parameters` ({"SPI": table, "SPEI": table}, of
+    stdindex.fit_parameters) stand for the fits: projections with one reference share them. `years` as
+    in with_year_index.
     """
     from gridloom.operators.stdindex import standardised
 
@@ -85,9 +93,12 @@ def index_suite(annual: DataFrame, reference_years: tuple[int, int], focal_years
         annual = splice(reference, annual, reference_years, focal_years, keys)
     original = annual.columns
     base = [n for n, needs in (("PR", {"PR", "SPI"}), ("PRET", {"PRET", "SPEI"})) if needs & set(names)]
-    df = rolling_indices(annual, spans, keys, base)
+    df = rolling_indices(annual, spans, keys, base, years)
+    given = parameters or {}
+    if set(names) & {"SPI", "SPEI"} - set(given):
+        df = stored(df, "rolled")  # read by the fits and by what they are applied to
     focal = year_range(df, *focal_years)
     for name, source, kind in (("SPI", "PR", "gamma"), ("SPEI", "PRET", "shifted_gamma")):
         if name in names:
-            focal = standardised(df, focal, {f"{source}{s}": f"{name}{s}" for s in spans}, reference_years, kind, keys)
+            focal = standardised(df, focal, {f"{source}{s}": f"{name}{s}" for s in spans}, reference_years, kind, keys, given.get(name))
     return focal.select(*original, *[f"{n}{s}" for s in spans for n in names])

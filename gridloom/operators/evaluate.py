@@ -98,18 +98,24 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
     return both.withColumn("cumulative_share", F.sum("n").over(upto) / F.sum("n").over(Window.partitionBy()))
 
 
+def with_slices(rows: DataFrame, slices: int) -> DataFrame:
+    """rows with __slice: the number of the year's id quantiles (of as many as slices) below the id."""
+    shares = [k / slices for k in range(1, slices)]
+    bounds = rows.groupBy("train_year").agg(F.percentile_approx("id", shares, 50 * slices).alias("__bounds"))
+    return rows.join(F.broadcast(bounds), "train_year").withColumn("__slice", F.size(F.filter("__bounds", lambda b: b < F.col("id")))).drop("__bounds")  # one row a year
+
+
 def systematic_sample(predictions: DataFrame, step: int = 1000, slices: int = 256) -> DataFrame:
     """Every step-th id of each model's own year, with the largest value of the year's sample as limit.
 
-    Ids are numbered within slices of their range, plus the sizes of the slices before: no task
-    sorts all ids of a year. Equal ids follow one another in no order of their own."""
+    Ids are numbered within slices of about equal numbers of rows (bounds by a quantile sketch of each year's ids),
+    plus the sizes of the slices before: no task sorts all ids of a year, whatever their
+    distribution. Equal ids follow one another in no order of their own."""
     own = predictions.where("train_year = eval_year")
-    span = own.groupBy("train_year").agg(F.min("id").alias("__lo"), F.max("id").alias("__hi"))
-    at = F.floor((F.col("id") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * slices)
-    own = own.join(small(span), "train_year").withColumn("__slice", at).drop("__lo", "__hi")
+    own = with_slices(own, slices)
     upto = Window.partitionBy("train_year").orderBy("__slice").rowsBetween(Window.unboundedPreceding, 0)
     sizes = own.groupBy("train_year", "__slice").count().select("train_year", "__slice", (F.sum("count").over(upto) - F.col("count")).alias("__before"))
     w = Window.partitionBy("train_year", "__slice").orderBy("id")
-    numbered = own.withColumn("__n", F.row_number().over(w) - 1).join(small(sizes), ["train_year", "__slice"])
+    numbered = own.withColumn("__n", F.row_number().over(w) - 1).join(F.broadcast(sizes), ["train_year", "__slice"])  # years times slices
     own = numbered.where((F.col("__n") + F.col("__before")) % step == 0).drop("__n", "__slice", "__before")
     return own.withColumn("limit", F.max(F.greatest("prediction", "target")).over(Window.partitionBy("train_year")))

@@ -84,10 +84,15 @@ def shifted_gamma_fit(v: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndar
         best = np.nanargmax(np.where(np.isfinite(likes), likes, -np.inf), axis=0)
         step = (hi - lo) / 24
         a, b = lo + (best - 1) * step, lo + (best + 1) * step
+        c, d = b - ratio * (b - a), a + ratio * (b - a)
+        of_c, of_d = at(c)[0], at(d)[0]
         for _ in range(30):
-            c, d = b - ratio * (b - a), a + ratio * (b - a)
-            left = at(c)[0] > at(d)[0]
+            left = of_c > of_d
             a, b = np.where(left, a, c), np.where(left, d, b)
+            new = np.where(left, b - ratio * (b - a), a + ratio * (b - a))
+            of_new = at(new)[0]  # the other inner point is one of the two before
+            c, d = np.where(left, new, d), np.where(left, c, new)
+            of_c, of_d = np.where(left, of_new, of_d), np.where(left, of_c, of_new)
         _, shape, loc = at((a + b) / 2)
     scale = (mean - loc) / shape
     return tuple(np.where(good, x, np.nan) for x in (shape, loc, scale))
@@ -117,28 +122,41 @@ def shifted_gamma_parameters(df: DataFrame, columns: Sequence[str], reference_ye
     return fitted.select(*keys, *[F.col(f"{c}.{p}").alias(f"{c}_{p}") for c in columns for p in ("shape", "loc", "scale")])
 
 
-def standardised(df: DataFrame, focal: DataFrame, names: dict[str, str], reference_years: tuple[int, int], kind: str, keys: Sequence[str] = ("row", "col")) -> DataFrame:
-    """focal with a standardised column for each of `names` (source: new name), fitted on df's
-    reference years; NULL where the value or the fit is missing."""
-    ship_package(df.sparkSession)
-    if kind == "gamma":
-        parameters = fit_statistics(df, list(names), reference_years, keys)
-        fields = ("p0", "mean", "meanlog")
+FIELDS = {"gamma": ("p0", "mean", "meanlog"), "shifted_gamma": ("shape", "loc", "scale")}
+
+
+def fit_parameters(df: DataFrame, columns: Sequence[str], reference_years: tuple[int, int], kind: str, keys: Sequence[str] = ("row", "col")) -> DataFrame:
+    """Per cell what `standardised` needs of each column: c_p0, c_mean, c_meanlog (gamma) or c_shape, c_loc, c_scale."""
+    if kind not in FIELDS:
+        raise ValueError(f"unknown distribution {kind!r}")
+    make = fit_statistics if kind == "gamma" else shifted_gamma_parameters
+    return make(df, columns, reference_years, keys)
 
-        @F.pandas_udf("double")
-        def score(x: pd.Series, p0: pd.Series, mean: pd.Series, meanlog: pd.Series) -> pd.Series:
-            return pd.Series(gamma_scores(*(s.to_numpy(dtype=float) for s in (x, p0, mean, meanlog))))
 
-    elif kind == "shifted_gamma":
-        parameters = shifted_gamma_parameters(df, list(names), reference_years, keys)
-        fields = ("shape", "loc", "scale")
+def store_parameters(parameters: DataFrame, table: str, keys: Sequence[str] = ("row", "col"), buckets: int = 64) -> DataFrame:
+    """The parameters as a table that is bucketed and sorted by cell, read again: a join with it moves
+    the projections' rows alone, however many projections there are."""
+    parameters.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(table)
+    return parameters.sparkSession.table(table)
 
-        @F.pandas_udf("double")
-        def score(x: pd.Series, shape: pd.Series, loc: pd.Series, scale: pd.Series) -> pd.Series:
-            return pd.Series(shifted_gamma_scores(*(s.to_numpy(dtype=float) for s in (x, shape, loc, scale))))
 
-    else:
+def standardised(
+    df: DataFrame | None, focal: DataFrame, names: dict[str, str], reference_years: tuple[int, int] | None, kind: str, keys: Sequence[str] = ("row", "col"), parameters: DataFrame | None = None,
+) -> DataFrame:
+    """focal with a standardised column for each of `names` (source: new name), fitted on df's
+    reference years, or by the `parameters` of an earlier fit (df and the years aren't looked at then); NULL
+    where the value or the fit is missing."""
+    ship_package(focal.sparkSession)
+    if kind not in FIELDS:
         raise ValueError(f"unknown distribution {kind!r}")
+    if parameters is None:
+        parameters = fit_parameters(df, list(names), reference_years, kind, keys)
+    make = gamma_scores if kind == "gamma" else shifted_gamma_scores
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, first: pd.Series, second: pd.Series, third: pd.Series) -> pd.Series:
+        return pd.Series(make(*(s.to_numpy(dtype=float) for s in (x, first, second, third))))
+
     both = focal.join(parameters, list(keys), "left")
-    new = {to: score(F.col(c), *[F.col(f"{c}_{f}") for f in fields]) for c, to in names.items()}
+    new = {to: score(F.col(c), *[F.col(f"{c}_{f}") for f in FIELDS[kind]]) for c, to in names.items()}
     return both.withColumns(new).select(*focal.columns, *names.values())

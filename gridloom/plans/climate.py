@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.functions.sized import stored
 from gridloom.operators import climate, evaluate, heat, projection, stdindex
 from gridloom.operators.select import distinct_splits, year_range
 from gridloom.plans.registry import query, r6
@@ -166,17 +167,19 @@ def _rolling_sql(table: str, columns: str) -> str:
     return f"SELECT {columns}, {', '.join(out)} FROM {table}"
 
 
+#: The water years of the views.
+YEARS = range(1995, 2003)
 _ROLLED = [f"{n}{s}" for s in range(1, 7) for n in ("PR", "PRET")]
 
 
 @query("e01_rolling_sums", _rolling_sql("annual_part", "row, col, year"), signed=tuple(_ROLLED))
 def _(i):
-    return r6(climate.rolling_indices(i.annual_part).select("row", "col", "year", *_ROLLED), *_ROLLED)
+    return r6(climate.rolling_indices(i.annual_part, years=YEARS).select("row", "col", "year", *_ROLLED), *_ROLLED)
 
 
 @query("e02_water_year_indices", _rolling_sql("annual", "row, col, year"), signed=tuple(_ROLLED))
 def _(i):
-    return r6(climate.rolling_indices(climate.water_year(i.monthly)).select("row", "col", "year", *_ROLLED), *_ROLLED)
+    return r6(climate.rolling_indices(climate.water_year(i.monthly), years=YEARS).select("row", "col", "year", *_ROLLED), *_ROLLED)
 
 
 @query("e03_accumulated", """
@@ -217,30 +220,30 @@ _REFERENCE = (1995, 2001)
 
 @query("g01_spi")
 def _(i):
-    df = climate.rolling_indices(i.annual_part, names=("PR",))
+    df = stored(climate.rolling_indices(i.annual_part, names=("PR",), years=YEARS), "rolled")
     names = {f"PR{s}": f"SPI{s}" for s in climate.SPANS}
     return r6(stdindex.standardised(df, year_range(df, 1998, 2001), names, _REFERENCE, "gamma").select("row", "col", "year", *names.values()), *names.values())
 
 
 @query("g02_spei")
 def _(i):
-    df = climate.rolling_indices(i.annual_part, names=("PRET",))
+    df = stored(climate.rolling_indices(i.annual_part, names=("PRET",), years=YEARS), "rolled")
     names = {f"PRET{s}": f"SPEI{s}" for s in climate.SPANS}
     return r6(stdindex.standardised(df, year_range(df, 1998, 2001), names, _REFERENCE, "shifted_gamma").select("row", "col", "year", *names.values()), *names.values())
 
 
 @query("g03_index_suite")
 def _(i):
-    return climate.index_suite(i.annual_part, _REFERENCE, (1998, 2001))
+    return climate.index_suite(i.annual_part, _REFERENCE, (1998, 2001), years=YEARS)
 
 
 @query("g03_suite_sums", "SELECT * FROM (" + _rolling_sql("annual", "row, col, year") + ") x WHERE year BETWEEN 1998 AND 2001", signed=tuple(_ROLLED))
 def _(i):
-    return r6(climate.index_suite(i.annual, (1995, 1999), (1998, 2001), names=("PR", "PRET")).select("row", "col", "year", *_ROLLED), *_ROLLED)
+    return r6(climate.index_suite(i.annual, (1995, 1999), (1998, 2001), names=("PR", "PRET"), years=YEARS).select("row", "col", "year", *_ROLLED), *_ROLLED)
 
 
 @query("g04_spliced_sums", "WITH j AS (SELECT * FROM annual WHERE year BETWEEN 1996 AND 1998 UNION ALL SELECT row, col, year, ppt * 2 AS ppt, pet, tmn, tmx FROM annual WHERE year BETWEEN 1999 AND 2001) SELECT * FROM (" + _rolling_sql("j", "row, col, year") + ") x WHERE year BETWEEN 1999 AND 2001", signed=tuple(_ROLLED))
 def _(i):
     future = i.annual.withColumn("ppt", F.col("ppt") * 2)
-    out = climate.index_suite(future, (1996, 1998), (1999, 2001), names=("PR", "PRET"), reference=i.annual)
+    out = climate.index_suite(future, (1996, 1998), (1999, 2001), names=("PR", "PRET"), reference=i.annual, years=range(1996, 2002))
     return r6(out.select("row", "col", "year", *_ROLLED), *_ROLLED)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.grid import with_folds
 from gridloom.functions.sized import shared_dir
 from gridloom.operators import climate, evaluate, features, forests, models
-from gridloom.plans.climate import _ROLLED, _rolling_sql
+from gridloom.plans.climate import _ROLLED, YEARS, _rolling_sql
 from gridloom.plans.registry import query, r6
 from gridloom.plans.tables import SUPPLIERS
 from gridloom.sources import models as sink
@@ -41,7 +41,7 @@ def _lag_sql() -> tuple[str, str]:
     WHERE m.severity_code IS NOT NULL AND t.slope IS NOT NULL AND m.year IN (1998, 1999, 2000) AND a0.year IS NOT NULL AND h0.year IS NOT NULL""")
 def _(i):
     grid = with_folds(i.mortality, SUPPLIERS, 4)
-    t = features.training_table(grid, climate.rolling_indices(i.annual), i.topo, i.heat, "severity_code", _YEARS, _ROLLED, _TOPO).drop("northing", "easting")
+    t = features.training_table(grid, climate.rolling_indices(i.annual, years=YEARS), i.topo, i.heat, "severity_code", _YEARS, _ROLLED, _TOPO).drop("northing", "easting")
     return r6(t, "slope", *[c for c in t.columns if "-" in c])
 
 

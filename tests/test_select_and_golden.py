@@ -207,7 +207,9 @@ def test_year_model_severity_and_scoring(spark):
     got = models.apply_model(kinds, easy.withColumn("severity", F.lit("x")), extra["features"], (2000, 2001), "severity").collect()
     assert all(r.severity is None or r.severity == r.target for r in got)
     middle, _ = models.fit_severity(easy, names, classes=False)
-    assert {round(r.prediction) for r in models.apply_model(middle, easy, names, (2000, 2001)).collect() if r.prediction is not None} == {2, 75}
+    # thresholds of extremely randomised trees are drawn, so a few trees split beside the step
+    found = [r for r in models.apply_model(middle, easy, names, (2000, 2001)).collect() if r.prediction is not None]
+    assert found and all(abs(r.prediction - (75 if r.target == 5 else 2)) < 3 for r in found)
 
 
 def test_leave_year_out_learns_from_other_years_only(spark):
