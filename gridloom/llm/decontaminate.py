@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.tables import drop, free_names, save
-from gridloom.llm.words import LOWER, add_columns, byte_class, column
+from gridloom.llm.words import caches, LOWER, add_columns, byte_class, column
 
 WINDOW = 10
 #: Bytes of benchmark text that one automaton holds, and that the driver reads and sends at once.
@@ -50,6 +50,7 @@ def windows(words: list[bytes], n: int) -> list[bytes]:
 
 
 _built: dict[str, object] = {}
+caches.append(_built.clear)
 
 
 def automaton(key: str, items: list[tuple[str | None, str]], n: int) -> tuple[object, list[list[int]]]:

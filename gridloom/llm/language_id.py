@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.words import LOWER, Bytes, Store, Table, add_columns, byte_class, column, own_store, prepare, slices
+from gridloom.llm.words import LOWER, Bytes, Store, Table, add_columns, byte_class, column, keep_only, own_store, prepare, slices
 
 UNKNOWN = "und"
 SMOOTHING = 0.05
@@ -228,6 +228,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", path:
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(__name__)
         counts = WordCounts(path)
         for batch in batches:
             for part in slices(batch, "text"):

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import words
 from gridloom.llm.words import Bytes, Table, add_columns, column
 
 LIMIT = 1024
@@ -337,6 +338,9 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
+words.caches.append(counter.cache_clear)
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

@@ -6,6 +6,9 @@ holds a few tens of MB whatever the table's size. Null texts count as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -183,6 +186,7 @@ def add_columns(
     kinds = {f.name: f.type for f in to_arrow_schema(added)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(fn.__module__)
         for batch in batches:
             for part in slices(batch, text_col):
                 new = fn(part)
@@ -202,6 +206,7 @@ def emit_rows(df: DataFrame, text_col: str, schema: str, fn: Callable[[pa.Record
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(fn.__module__)
         for batch in batches:
             for part in slices(batch, text_col):
                 new = fn(part)
@@ -280,6 +285,23 @@ class Store:
 
 _stores: dict[str, Store] = {}
 
+#: What empties a module's caches in this worker process.
+caches: list[Callable[[], object]] = [_stores.clear]
+_running: list[str] = [""]
+
+
+def keep_only(module: str) -> None:
+    """A worker process that Spark uses again for another operator drops what the last one kept, so that the
+    stages of a pipeline don't add up in memory."""
+    if _running[0] != module:
+        if _running[0]:
+            for clear in caches:
+                clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # freed memory goes back to the system where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+        _running[0] = module
+
 
 def own_store(name: str, limit: int) -> Store:
     """This worker process' store for one model; another model's store goes."""
