@@ -115,7 +115,7 @@ def _with_token_cuts(docs: DataFrame, text_col: str, capacity: int) -> DataFrame
             out.append([dict(zip(("start", "length", "size"), x, strict=True)) for x in cuts])
         return {"__cuts": out}
 
-    return add_columns(docs, text_col, {"__cuts": "array<struct<start:bigint,length:bigint,size:bigint>>"}, fn)
+    return add_columns(docs, text_col, {"__cuts": "array<struct<start:bigint,length:bigint,size:bigint>>"}, fn, [counter.cache_clear])
 
 
 def _dense(values: list) -> list[int | None]:

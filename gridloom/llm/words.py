@@ -9,7 +9,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -169,9 +169,10 @@ def prepare(spark: SparkSession) -> None:
 
 
 def add_columns(
-    df: DataFrame, text_col: str, out: dict[str, str], fn: Callable[[pa.RecordBatch], dict[str, pa.Array]]
+    df: DataFrame, text_col: str, out: dict[str, str], fn: Callable[[pa.RecordBatch], dict[str, pa.Array]], done: Sequence[Callable[[], object]] = ()
 ) -> DataFrame:
-    """df with columns that fn computes from slices of its rows; no shuffle.
+    """df with columns that fn computes from slices of its rows; no shuffle. Caches that `done` empties don't outlive
+    a task: Spark may keep more worker processes than tasks run at once.
 
     `out` maps new columns to their Spark types. A column of df with one of these names is
     replaced. fn gets record batches with df's columns and returns one array per new column.
@@ -192,6 +193,8 @@ def add_columns(
                 new = fn(part)
                 cols = [*part.columns, *(pa.array(new[k], type=kinds[k]) if not isinstance(new[k], pa.Array) else new[k].cast(kinds[k]) for k in out)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, *out])
+        if done:
+            empty(done)
 
     prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -295,14 +298,19 @@ def keep_only(module: str) -> None:
     stages of a pipeline don't add up in memory."""
     if _running[0] != module:
         if _running[0]:
-            for clear in caches:
-                clear()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # freed memory goes back to the system where the C library can
-                ctypes.CDLL(None).malloc_trim(0)
+            empty(caches)
         _running[0] = module
 
 
+def empty(held: Sequence[Callable[[], object]]) -> None:
+    """Empties caches; what they freed goes back to the system where the C library can."""
+    for clear in held:
+        clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def own_store(name: str, limit: int) -> Store:
     """This worker process' store for one model; another model's store goes."""
     if name not in _stores:
