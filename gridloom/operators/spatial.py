@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,9 +13,16 @@ from pyspark.sql import functions as F
 
 from gridloom.cluster import ship_package
 from gridloom.functions.grid import GridSpec
+from gridloom.functions.sized import stored
 
 #: Rows up to which the source of a regridding is broadcast.
 BROADCAST_CELLS = 500_000
+#: Points of polygons up to which tasks get all of them.
+BROADCAST_POINTS = 1_000
+#: Parts of about equal numbers of cells in which scanlines meet edges, and spans meet cells.
+BANDS, STRETCHES = 4096, 256
+#: Years that a list of clipping regions may name.
+BROADCAST_YEARS = 10_000
 
 
 @dataclass(frozen=True)
@@ -98,14 +106,28 @@ def inside_rings(x: np.ndarray, y: np.ndarray, rings: list[list[tuple[float, flo
     return out
 
 
-def cells_in_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
-    """(row, col, region_id) of the cells (row, col, easting, northing) whose centre is in a region.
+def cells_in_regions(cells: DataFrame, regions: DataFrame, broadcast_points: int = BROADCAST_POINTS) -> DataFrame:
+    """(row, col, region_id) of the cells (row, col, easting, northing) whose centre is in a region
+    (region_id, rings), by the even-odd rule; regions may overlap.
 
-    regions (region_id, rings) are a hand-kept list, read on the driver; each has its bounding
-    box tried first. One pass over the cells, without a shuffle.
+    The polygons of a region_id's different rows count as one shape. Points with a missing or infinite
+    coordinate are left out of their ring; cells without a centre are in no region. Lists of up to
+    `broadcast_points` points go to the tasks, which try each cell against them without a shuffle;
+    longer ones are joined by scanlines (`_by_scanlines`).
     """
-    shapes = [(r["region_id"], [[(p["x"], p["y"]) for p in ring] for ring in r["rings"]]) for r in regions.select("region_id", "rings").collect()]
-    boxes = [(k, rings, min(p[0] for r in rings for p in r), max(p[0] for r in rings for p in r), min(p[1] for r in rings for p in r), max(p[1] for r in rings for p in r)) for k, rings in shapes if any(rings)]
+    usable = lambda p: (F.abs(p["x"]) < math.inf) & (F.abs(p["y"]) < math.inf)
+    shapes = regions.select("region_id", "rings").distinct().select("region_id", F.explode("rings").alias("ring"))
+    shapes = shapes.select("region_id", F.filter("ring", usable).alias("ring")).where(F.size("ring") > 2)
+    points = shapes.select(F.sum(F.size("ring"))).first()[0] or 0
+    return _by_broadcast(cells, shapes) if points <= broadcast_points else _by_scanlines(cells, shapes)
+
+
+def _by_broadcast(cells: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Each task has all shapes; a cell is tried against those whose bounding box holds it."""
+    found_rings: dict[int, list[list[tuple[float, float]]]] = {}
+    for r in shapes.collect():  # at most BROADCAST_POINTS points
+        found_rings.setdefault(r["region_id"], []).append([(p["x"], p["y"]) for p in r["ring"]])
+    boxes = [(k, rings, min(p[0] for r in rings for p in r), max(p[0] for r in rings for p in r), min(p[1] for r in rings for p in r), max(p[1] for r in rings for p in r)) for k, rings in found_rings.items()]
     ship_package(cells.sparkSession)
 
     @F.pandas_udf("array<int>")
@@ -121,20 +143,68 @@ def cells_in_regions(cells: DataFrame, regions: DataFrame) -> DataFrame:
     return cells.select("row", "col", F.explode(found("easting", "northing")).alias("region_id"))
 
 
+def _slots(bounds: list[float]) -> Callable[..., Column]:
+    """The number of bounds at or below a value, as a column function."""
+    edges = np.array(sorted(set(bounds)))
+
+    @F.pandas_udf("int")
+    def slot(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, v.to_numpy(dtype=float), side="right").astype("int32"))
+
+    return slot
+
+
+def _by_scanlines(cells: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Each row of cell centres (a scanline) meets the edges of its band; the crossings of a region
+    with it, in order, bound the spans that lie inside; cells meet the spans of their stretch of
+    the row. Interiors are spans, whatever their width, so work grows with the outlines' length in rows.
+
+    Bands and stretches hold about equal numbers of cells (`BANDS` and `STRETCHES` quantiles, the only
+    numbers that reach the driver), so neither the unit of the coordinates nor far outliers matter.
+    All joins are equi-joins on them, with the exact test beside.
+    """
+    cells = stored(cells.select("row", "col", "easting", "northing").where("easting IS NOT NULL AND northing IS NOT NULL AND NOT isnan(easting) AND NOT isnan(northing)"), "clip-cells")
+    sketch = lambda c, n: F.percentile_approx(c, [k / n for k in range(1, n)], 10 * n)
+    ys, xs = cells.agg(sketch("northing", BANDS), sketch("easting", STRETCHES)).first()
+    band, stretch = _slots(ys or []), _slots(xs or [])
+
+    lines = cells.select("northing").distinct().withColumn("band", band("northing"))
+    ring = F.col("ring")
+    following = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+    edges = shapes.select("region_id", F.explode(F.arrays_zip(ring.alias("a"), following.alias("b"))).alias("e"))
+    edges = edges.selectExpr("region_id", "e.a.x AS ax", "e.a.y AS ay", "e.b.x AS bx", "e.b.y AS by").where("ay <> by")
+    edges = edges.withColumns({"low": band(F.least("ay", "by")), "high": band(F.greatest("ay", "by"))}).withColumn("band", F.explode(F.sequence("low", "high")))
+
+    crossed = edges.join(lines, "band").where("(ay <= northing) <> (by <= northing)")
+    crossings = crossed.selectExpr("region_id", "northing", "ax + (northing - ay) * (bx - ax) / (by - ay) AS x")
+    ordered = crossings.groupBy("region_id", "northing").agg(F.sort_array(F.collect_list("x")).alias("x"))  # closed rings cross a line an even number of times
+    pairs = ordered.select("region_id", "northing", F.explode(F.expr("transform(sequence(1, size(x) div 2), k -> struct(x[2 * k - 2] AS x0, x[2 * k - 1] AS x1))")).alias("s"))
+    spans = pairs.select("region_id", "northing", "s.x0", "s.x1").where("x0 < x1")
+    spans = spans.withColumns({"low": stretch("x0"), "high": stretch("x1")}).withColumn("stretch", F.explode(F.sequence("low", "high")))
+    placed = cells.withColumn("stretch", stretch("easting"))
+    return placed.join(spans.drop("low", "high"), ["northing", "stretch"]).where("easting >= x0 AND easting < x1").select("row", "col", "region_id")
+
+
 def clip(df: DataFrame, regions: DataFrame, values: list[str], fill: float | None = 0.0) -> DataFrame:
     """df (row, col, easting, northing, year, values) clipped by each year's region, or by the default
     one (region year NULL) in years without: inside, a missing value becomes `fill`; outside, all
-    are missing. Without regions df is returned unchanged."""
-    listed = regions.select("region_id", "year").collect()
+    are missing. Of several regions of one year (or several defaults) the smallest id counts.
+    Without regions df is returned unchanged."""
+    years = regions.where("region_id IS NOT NULL").groupBy("year").agg(F.min("region_id").alias("__region"))
+    listed = years.limit(BROADCAST_YEARS + 1).collect()
     if not listed:
         return df
-    named = {r["year"]: r["region_id"] for r in listed if r["year"] is not None}
-    default = [r["region_id"] for r in listed if r["year"] is None]
-    region = F.lit(default[0] if default else None).cast("int")
-    for year, k in named.items():
-        region = F.when(F.col("year") == year, F.lit(k)).otherwise(region)
+    if len(listed) > BROADCAST_YEARS:
+        raise ValueError(f"regions name over {BROADCAST_YEARS} years")
+    named = {r["year"]: r["__region"] for r in listed if r["year"] is not None}
+    default = next((r["__region"] for r in listed if r["year"] is None), None)
+    region = F.lit(default).cast("int")
+    if named:
+        of_year = F.create_map(*[F.lit(v) for pair in named.items() for v in pair])
+        region = F.coalesce(of_year[F.col("year")], region)
     cells = df.select("row", "col", "easting", "northing").distinct()
-    member = cells_in_regions(cells, regions).withColumnRenamed("region_id", "__region").withColumn("__in", F.lit(True))
+    used = regions.where(F.col("region_id").isin([r["__region"] for r in listed]))
+    member = cells_in_regions(cells, used).withColumnRenamed("region_id", "__region").withColumn("__in", F.lit(True))
     both = df.withColumn("__region", region).join(member, ["row", "col", "__region"], "left")
 
     def one(c: str) -> Column:

@@ -293,6 +293,21 @@ def _(i):
     return spatial.clip(i.mortality, _regions(i.spark), ["severity_code"]).select("row", "col", "year", "severity_code")
 
 
+@query("c06_cells_in_regions", """
+    SELECT p.row, p.col, c.region_id FROM (SELECT row, col, col * 270.0E0 + 135.0E0 AS x, -(row * 270.0E0 + 135.0E0) AS y FROM dem) p
+    JOIN (SELECT CAST(c_custkey AS INT) AS region_id, CAST(c_custkey * 89 % 13500 AS DOUBLE) AS x0, CAST(-(c_custkey * 7919 % 108000) AS DOUBLE) AS y0, 300.0E0 + c_custkey % 7 * 250 AS side FROM {customer}) c
+    ON y >= y0 AND y < y0 + side AND x >= x0 AND x < x0 + side - (y - y0)
+       AND NOT (y >= y0 + 50 AND y < y0 + 120 AND x >= x0 + 50 AND x < x0 + 120)""")
+def _(i):
+    """A triangle with a square hole for each customer."""
+    corner = i.table("customer").selectExpr("CAST(c_custkey AS INT) AS region_id", "CAST(c_custkey * 89 % 13500 AS DOUBLE) AS x0", "CAST(-(c_custkey * 7919 % 108000) AS DOUBLE) AS y0", "300.0D + c_custkey % 7 * 250 AS side")
+    point = lambda dx, dy: f"named_struct('x', x0 + {dx}, 'y', y0 + {dy})"
+    outline, hole = (", ".join(point(*p) for p in ring) for ring in ([(0, 0), ("side", 0), (0, "side")], [(50, 50), (120, 50), (120, 120), (50, 120)]))
+    regions = corner.selectExpr("region_id", f"array(array({outline}), array({hole})) AS rings")
+    cells = i.dem.selectExpr("row", "col", "col * 270.0D + 135 AS easting", "-(row * 270.0D + 135) AS northing")
+    return spatial.cells_in_regions(cells, regions, broadcast_points=0)
+
+
 @query("c07_predictions_on_grid", """
     SELECT m.row, m.col, m.year, round(CASE WHEN severity_code IS NOT NULL THEN prediction END, 6) AS prediction
     FROM mortality m LEFT JOIN (SELECT id, eval_year, prediction FROM predictions WHERE train_year = eval_year) p ON p.id = m.row * 10 + m.col AND p.eval_year = m.year""")

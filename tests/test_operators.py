@@ -93,6 +93,38 @@ def test_clip_default_own_year_and_none(spark):
     got = {(r.col, r.year): r.v for r in spatial.clip(df, regions, ["v"]).collect()}
     assert got == {(0, 1999): 0.0, (1, 1999): None, (0, 2000): None, (1, 2000): 3.0}
     assert spatial.clip(df, spark.createDataFrame([], kind), ["v"]) is df
+    again = regions.unionByName(spark.createDataFrame([(1, 2001, box(0.0, 1.0)), (7, 2000, box(0.0, 1.0))], kind))  # one region for several years, a year with several
+    assert {(r.col, r.year): r.v for r in spatial.clip(df, again, ["v"]).collect()} == got
+
+
+def test_regions_by_scanlines_are_regions_by_broadcast(spark):
+    kind = "region_id int, rings array<array<struct<x: double, y: double>>>"
+    rng = np.random.default_rng(3)
+    rings = {k: [[tuple(map(float, p)) for p in rng.integers(0, 41, (rng.integers(3, 9), 2)) * 0.5] for _ in range(rng.integers(1, 4))] for k in range(150)}
+    rings[150], rings[151] = [[(-1e6, -1e6), (1e6, -1e6), (1e6, 1e6), (-1e6, 1e6)]], [[(0.0, 0.0), (5.0, 5.0)], []]
+    shapes = [(k, r) for k, r in rings.items()]
+    dirty = [(150, rings[150]), (152, [[(0.0, 0.0), (float("nan"), 3.0), (9.0, 0.0), (9.0, 9.0), (None, 4.0), (float("inf"), 1.0)]]), (153, None), (154, [])]
+    rings[152] = [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0)]]
+    places = [(r, c, c * 0.25, r * 0.5) for r in range(45) for c in range(85)] + [(90, 0, 1e15, 3.0), (91, 0, 3.0, -1e15), (92, 0, None, 1.0), (93, 0, float("nan"), 1.0), (94, 0, 1.0, float("nan"))]
+    cells = spark.createDataFrame(places, "row int, col int, easting double, northing double")
+    x, y = (np.array([np.nan if p[k] is None else p[k] for p in places]) for k in (2, 3))
+    want = sorted((*places[i][:2], k) for k, r in rings.items() for i in np.flatnonzero(spatial.inside_rings(x, y, [ring for ring in r if ring])))
+    regions = spark.createDataFrame(shapes + dirty, kind)
+    for limit in (0, 10**6):
+        assert sorted(tuple(r) for r in spatial.cells_in_regions(cells, regions, limit).collect()) == want
+    for a, b in ((cells.limit(0), regions), (cells, regions.limit(0))):
+        assert all(spatial.cells_in_regions(a, b, limit).collect() == [] for limit in (-1, 0, 10**6))
+
+
+def test_scanline_joins_meet_on_equal_keys(spark):
+    square = "array(array(named_struct('x', {0}, 'y', {1}), named_struct('x', {0} + 3D, 'y', {1}), named_struct('x', {0} + 3D, 'y', {1} + 3D), named_struct('x', {0}, 'y', {1} + 3D)))"
+    regions = spark.range(20_000).selectExpr("CAST(id AS INT) AS region_id", square.format("CAST(id % 197 AS DOUBLE)", "CAST(id * 7 % 193 AS DOUBLE)") + " AS rings")
+    cells = spark.range(40_000).selectExpr("CAST(id / 200 AS INT) AS row", "CAST(id % 200 AS INT) AS col", "id % 200 + 0.5D AS easting", "CAST(id / 200 AS INT) + 0.5D AS northing")
+    found = spatial.cells_in_regions(cells, regions)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in text and "NestedLoop" not in text
+    assert found.count() == 9 * 20_000
+    assert found.groupBy("region_id").count().agg(F.min("count"), F.max("count")).first() == (9, 9)
 
 
 def test_albers_round_trip_and_known_point(spark):
