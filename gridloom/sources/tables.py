@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,12 +21,17 @@ def unpivoted(df: DataFrame, variables: Sequence[str], keys: Sequence[str] = ("r
     return df.unpivot(list(keys), list(variables), "variable", "value")
 
 
-def export_layers(df: DataFrame, variables: Sequence[str], path: str, template: str = "{variable}_{year}") -> None:
-    """One folder for each variable and year, named by the template."""
+def layer_name(template: str) -> Column:
+    """The template with a row's variable and year."""
     named = F.lit(template)
     for c in ("variable", "year"):
         named = F.replace(named, F.lit("{" + c + "}"), F.col(c).cast("string"))
-    unpivoted(df, variables).withColumn("layer", named).repartition("layer").write.mode("overwrite").partitionBy("layer").parquet(path)
+    return named
+
+
+def export_layers(df: DataFrame, variables: Sequence[str], path: str, template: str = "{variable}_{year}") -> None:
+    """One Parquet folder for each variable and year, named by the template (raster files: `sources.geotiff`)."""
+    unpivoted(df, variables).withColumn("layer", layer_name(template)).repartition("layer").write.mode("overwrite").partitionBy("layer").parquet(path)
 
 
 def recompress(spark: SparkSession, source: str, target: str, codec: str = "zstd", files: int | None = None) -> None:
