@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.plans import climate, models, registry, tables, terrain
+from gridloom.plans import climate, files, models, registry, tables, terrain
 
 #: Imported for their registrations.
-MODULES = (climate, models, tables, terrain)
+MODULES = (climate, files, models, tables, terrain)
 
 
 def queries() -> dict:
