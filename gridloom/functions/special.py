@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
+_erfc = np.vectorize(math.erfc, otypes=[float])
+
 # Lanczos approximation, g = 7, n = 9.
 _LANCZOS = (
     0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059,
@@ -47,13 +51,33 @@ def trigamma(x: np.ndarray) -> np.ndarray:
     return 1 / y + r / 2 + r / y * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r / 30))) + back
 
 
+#: Shape from which on the incomplete gamma function is taken from its uniform expansion: the series and the
+#: continued fraction need about nine times the square root of the shape of steps.
+LARGE_SHAPE = 20_000.0
+
+
+def _gammainc_large(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Uniform asymptotic expansion (Temme 1979), two terms: a normal distribution and its correction."""
+    with np.errstate(all="ignore"):
+        mu = x / a - 1
+        eta = np.sign(mu) * np.sqrt(np.maximum(2 * (mu - np.log1p(mu)), 0))
+        near = np.abs(eta) < 0.05
+        c0 = np.where(near, -1 / 3 + eta * (1 / 12 - eta * (2 / 135 - eta * (1 / 864 + eta / 2835))), 1 / mu - 1 / eta)
+        c1 = np.where(near, -1 / 540 - eta / 288, 1 / eta**3 - 1 / mu**3 - 1 / mu**2 - 1 / (12 * mu))
+        z = eta * np.sqrt(a / 2)
+        return np.clip(0.5 * _erfc(-z) - np.exp(-z * z) / np.sqrt(2 * np.pi * a) * (c0 + c1 / a), 0.0, 1.0)
+
+
 def gammainc(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised lower incomplete gamma function; 0 for x <= 0, 1 for x = inf."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     out = np.where(x == np.inf, 1.0, 0.0)
     ok = (x > 0) & np.isfinite(x) & (a > 0)
     out = np.where(np.isnan(a) | np.isnan(x), np.nan, out)
-    series, tail = ok & (x < a + 1), ok & (x >= a + 1)
+    large = ok & (a >= LARGE_SHAPE)
+    if large.any():
+        out[large] = _gammainc_large(a[large], x[large])
+    series, tail = ok & ~large & (x < a + 1), ok & ~large & (x >= a + 1)
     if series.any():
         p, q = a[series], x[series]
         term = total = 1 / p
@@ -97,9 +121,7 @@ def norm_ppf(p: np.ndarray) -> np.ndarray:
     outer = np.where(q < 0.5, 1, -1) * np.polyval(c, t) / np.polyval(d, t)
     m = q - 0.5
     x = np.where(tail < 0.02425, outer, m * np.polyval(a, m * m) / np.polyval(b, m * m))
-    from math import erfc
-
-    tails = np.vectorize(lambda v: 0.5 * erfc(-v / 2**0.5), otypes=[float])(np.where(q < 0.5, x, -x))
+    tails = 0.5 * _erfc(np.where(q < 0.5, -x, x) / 2**0.5)
     u = np.where(q < 0.5, tails - q, (1 - q) - tails) * np.sqrt(2 * np.pi) * np.exp(np.minimum(x * x / 2, 700))
     x = x - u / (1 + x * u / 2)
     return np.select([p == 0, p == 1, ~((p > 0) & (p < 1))], [-np.inf, np.inf, np.nan], x)

@@ -218,11 +218,42 @@ def _(i):
 _REFERENCE = (1995, 2001)
 
 
-@query("g01_spi")
+_SPANS = ", ".join(map(str, climate.SPANS))
+#: The psi function and its derivative at a, by their asymptotic series six steps on.
+_UP, _BACK, _BACK2 = "(a + 6)", " - ".join(f"1 / (a + {k})" for k in range(6)), " + ".join(f"1 / (a + {k}) ** 2" for k in range(6))
+_PSI = f"(ln({_UP}) - 0.5E0 / {_UP} - 1 / (12 * {_UP} ** 2) + 1 / (120 * {_UP} ** 4) - 1 / (252 * {_UP} ** 6) + 1 / (240 * {_UP} ** 8) - 1 / (132 * {_UP} ** 10) - {_BACK})"
+_PSI1 = f"(1 / {_UP} + 0.5E0 / {_UP} ** 2 + 1 / (6 * {_UP} ** 3) - 1 / (30 * {_UP} ** 5) + 1 / (42 * {_UP} ** 7) - 1 / (30 * {_UP} ** 9) + {_BACK2})"
+#: The lower incomplete gamma function P(a, x) as its power series, whose terms are all positive.
+_P = "list_sum(list_transform(range(0, CAST(greatest(x - a, 0) + 14 * sqrt(x + a) + 80 AS BIGINT)), lambda n: exp((a + n) * ln(x) - x - lgamma(a + n + 1))))"
+#: The inverse normal distribution function by Acklam's rational approximation (relative error 1.2e-9); fixed values.
+_PPF = """CASE WHEN p <= 0 THEN CAST('-inf' AS DOUBLE) WHEN p >= 1 THEN CAST('inf' AS DOUBLE)
+    WHEN least(p, 1 - p) < 0.02425E0 THEN (CASE WHEN p < 0.5E0 THEN 1 ELSE -1 END) * (((((-7.784894002430293E-03 * t - 3.223964580411365E-01) * t - 2.400758277161838E+00) * t - 2.549732539343734E+00) * t + 4.374664141464968E+00) * t + 2.938163982698783E+00)
+         / ((((7.784695709041462E-03 * t + 3.224671290700398E-01) * t + 2.445134137142996E+00) * t + 3.754408661907416E+00) * t + 1)
+    ELSE m * (((((-3.969683028665376E+01 * m * m + 2.209460984245205E+02) * m * m - 2.759285104469687E+02) * m * m + 1.383577518672690E+02) * m * m - 3.066479806614716E+01) * m * m + 2.506628277459239E+00)
+         / (((((-5.447609879822406E+01 * m * m + 1.615858368580409E+02) * m * m - 1.556989798598866E+02) * m * m + 6.680131188771972E+01) * m * m - 1.328068155288572E+01) * m * m + 1) END"""
+
+
+def _spi_sql(annual: str, focal: str) -> str:
+    """row, col, year and SPI of all spans for the focal years, fitted on all years; rounded to 3 places."""
+    return f"""
+    WITH r AS ({_rolling_sql(annual, "row, col, year")}),
+    v AS (SELECT row, col, year, unnest([{_SPANS}]) AS s, unnest([{", ".join(f"PR{k}" for k in climate.SPANS)}]) AS v FROM r),
+    f AS (SELECT row, col, s, avg(CASE WHEN v = 0 THEN 1.0E0 WHEN v IS NOT NULL THEN 0.0E0 END) AS p0, avg(CASE WHEN v > 0 THEN v END) AS mean, ln(avg(CASE WHEN v > 0 THEN v END)) - avg(CASE WHEN v > 0 THEN ln(v) END) AS gap
+          FROM v WHERE year BETWEEN {_REFERENCE[0]} AND {_REFERENCE[1]} GROUP BY row, col, s),
+    g AS (SELECT *, CASE WHEN gap > 1E-12 THEN list_reduce(list_prepend((3 - gap + sqrt((gap - 3) ** 2 + 24 * gap)) / (12 * gap), [0.0E0 for k in range(12)]), lambda a, k: a - (ln(a) - {_PSI} - gap) / (1 / a - {_PSI1})) END AS a FROM f),
+    x AS (SELECT row, col, year, s, v, p0, a, v * a / mean AS x FROM v LEFT JOIN g USING (row, col, s) WHERE {focal}),
+    p AS (SELECT row, col, year, s, CASE WHEN a IS NULL OR v IS NULL THEN NULL WHEN v = 0 THEN p0 ELSE least(1, p0 + (1 - p0) * {_P}) END AS p FROM x),
+    m AS (SELECT *, p - 0.5E0 AS m, sqrt(-2 * ln(greatest(least(p, 1 - p), 1E-300))) AS t FROM p),
+    z AS (SELECT row, col, year, s, {_PPF} AS z FROM m)
+    SELECT row, col, year, {", ".join(f"round(max(z) FILTER (s = {k}), 3) AS SPI{k}" for k in climate.SPANS)} FROM z GROUP BY row, col, year"""
+
+
+@query("g01_spi", _spi_sql("annual_part", "year BETWEEN 1998 AND 2001"), signed=tuple(f"SPI{s}" for s in climate.SPANS))
 def _(i):
     df = stored(climate.rolling_indices(i.annual_part, names=("PR",), years=YEARS), "rolled")
     names = {f"PR{s}": f"SPI{s}" for s in climate.SPANS}
-    return r6(stdindex.standardised(df, year_range(df, 1998, 2001), names, _REFERENCE, "gamma").select("row", "col", "year", *names.values()), *names.values())
+    out = stdindex.standardised(df, year_range(df, 1998, 2001), names, _REFERENCE, "gamma").select("row", "col", "year", *names.values())
+    return out.withColumns({c: F.round(c, 3) for c in names.values()})
 
 
 @query("g02_spei")

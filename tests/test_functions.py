@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
 import numpy as np
@@ -82,3 +83,24 @@ def test_exact_join_and_completeness(spark):
     assert align.exact_join(a.where("k = 1"), b, ["k"]).count() == 1
     with pytest.raises(ValueError, match="missing: v 2"):
         align.require_complete(spark.createDataFrame([("u", 1), ("u", 2), ("v", 1)], "a string, b int"), "a", "b")
+
+
+def test_incomplete_gamma_of_large_shapes():
+    """Against the power series, summed in full; its first term by Stirling's formula, as logarithms of 1e8 cancel badly."""
+
+    def brute(a, x):
+        mu = (x - a) / a
+        term = total = math.exp(-a * (mu - math.log1p(mu)) - 1 / (12 * a)) / math.sqrt(2 * math.pi * a)
+        for n in range(1, int(max(x - a, 0) + 12 * (x + a) ** 0.5 + 80)):
+            term *= x / (a + n)
+            total += term
+        return total
+
+    for a in (19_000.0, 20_000.0, 60_000.0, 1e6, 2e7):
+        x = a + np.array([-8.0, -5.0, -2.0, -0.5, -1e-3, 0.0, 1e-3, 0.5, 2.0, 5.0]) * np.sqrt(a)
+        got = special.gammainc(np.full(len(x), a), x)
+        assert np.allclose(got, [brute(a, v) for v in x], rtol=0, atol=1e-9 if a < special.LARGE_SHAPE else 1e-11), a
+    far = special.gammainc(np.array([2e4, 2e4, 2e4]), np.array([1e-3, 1e3, 1e6]))
+    assert far.tolist() == [0.0, 0.0, 1.0]
+    two = special.gammainc(np.array([1e9, 1e9, 1e9]), np.array([1e9 - 1e9**0.5, 1e9, 1e9 + 1e9**0.5]))
+    assert np.allclose(special.norm_ppf(two), [-1, 0, 1], atol=2e-5)
