@@ -233,13 +233,13 @@ _PPF = """CASE WHEN p <= 0 THEN CAST('-inf' AS DOUBLE) WHEN p >= 1 THEN CAST('in
          / (((((-5.447609879822406E+01 * m * m + 1.615858368580409E+02) * m * m - 1.556989798598866E+02) * m * m + 6.680131188771972E+01) * m * m - 1.328068155288572E+01) * m * m + 1) END"""
 
 
-def _spi_sql(annual: str, focal: str) -> str:
-    """row, col, year and SPI of all spans for the focal years, fitted on all years; rounded to 3 places."""
+def _spi_sql(annual: str, reference: tuple[int, int], focal: str) -> str:
+    """row, col, year and SPI of all spans for the focal years, fitted on the reference years; rounded to 3 places."""
     return f"""
     WITH r AS ({_rolling_sql(annual, "row, col, year")}),
     v AS (SELECT row, col, year, unnest([{_SPANS}]) AS s, unnest([{", ".join(f"PR{k}" for k in climate.SPANS)}]) AS v FROM r),
     f AS (SELECT row, col, s, avg(CASE WHEN v = 0 THEN 1.0E0 WHEN v IS NOT NULL THEN 0.0E0 END) AS p0, avg(CASE WHEN v > 0 THEN v END) AS mean, ln(avg(CASE WHEN v > 0 THEN v END)) - avg(CASE WHEN v > 0 THEN ln(v) END) AS gap
-          FROM v WHERE year BETWEEN {_REFERENCE[0]} AND {_REFERENCE[1]} GROUP BY row, col, s),
+          FROM v WHERE year BETWEEN {reference[0]} AND {reference[1]} GROUP BY row, col, s),
     g AS (SELECT *, CASE WHEN gap > 1E-12 THEN list_reduce(list_prepend((3 - gap + sqrt((gap - 3) ** 2 + 24 * gap)) / (12 * gap), [0.0E0 for k in range(12)]), lambda a, k: a - (ln(a) - {_PSI} - gap) / (1 / a - {_PSI1})) END AS a FROM f),
     x AS (SELECT row, col, year, s, v, p0, a, v * a / mean AS x FROM v LEFT JOIN g USING (row, col, s) WHERE {focal}),
     p AS (SELECT row, col, year, s, CASE WHEN a IS NULL OR v IS NULL THEN NULL WHEN v = 0 THEN p0 ELSE least(1, p0 + (1 - p0) * {_P}) END AS p FROM x),
@@ -248,7 +248,7 @@ def _spi_sql(annual: str, focal: str) -> str:
     SELECT row, col, year, {", ".join(f"round(max(z) FILTER (s = {k}), 3) AS SPI{k}" for k in climate.SPANS)} FROM z GROUP BY row, col, year"""
 
 
-@query("g01_spi", _spi_sql("annual_part", "year BETWEEN 1998 AND 2001"), signed=tuple(f"SPI{s}" for s in climate.SPANS))
+@query("g01_spi", _spi_sql("annual_part", _REFERENCE, "year BETWEEN 1998 AND 2001"), signed=tuple(f"SPI{s}" for s in climate.SPANS))
 def _(i):
     df = stored(climate.rolling_indices(i.annual_part, names=("PR",), years=YEARS), "rolled")
     names = {f"PR{s}": f"SPI{s}" for s in climate.SPANS}
