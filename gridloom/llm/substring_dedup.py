@@ -13,10 +13,10 @@ only repeat in segments of its anchor:
    through it: backward search gives the matching statistic of each word, the length of the
    longest sequence that ends there and occurs more than once, up to the window's length. Where
    it reaches that, the range of suffixes has the smallest id of all occurrences.
-   An anchor with more than `HOT` different segments is dealt by single windows instead, each with
-   the smallest id that has it, so that no shard grows with one passage's surroundings: of such
-   passages equal windows are found by their hashes when they are dealt, and each stands in its
-   index once, so that the search adds nothing there.
+   An anchor with more than `HOT` different segments is dealt finer, by single windows, so that no
+   shard grows with one passage's surroundings. A window then enters its index with the smallest
+   and the largest id that has it, as two texts where these differ; what repeats, and in which
+   document first, is found by the same search over the words as for all other anchors.
 4. What a shard reports goes back to the documents, whose covered words are removed.
 
 Null and empty texts have no words. Rows with a null id keep all words, and nothing is removed
@@ -133,8 +133,8 @@ def search_shard(ids: np.ndarray, words: pa.Array) -> list[np.ndarray]:
 
 
 def _search(rows: DataFrame, n_shards: int, shard) -> DataFrame:
-    """rows (low, high, id, words) with least: the smallest id for each window. Ids of any type that has an
-    order are searched as their ranks in the shard."""
+    """(low, high, least) of rows (low, high, id, words), once where several ids have the same words:
+    the smallest id for each window. Ids of any type that has an order are searched as their ranks in the shard."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
@@ -142,6 +142,9 @@ def _search(rows: DataFrame, n_shards: int, shard) -> DataFrame:
         known = ids.unique().sort()
         ranks = pc.index_in(ids, known).to_numpy(zero_copy_only=False).astype(np.int64)
         found = search_shard(ranks, t.column("words").combine_chunks())
+        low, high = (t.column(c).to_numpy().view(np.uint64) for c in ("low", "high"))
+        once = np.unique(mix(low + mix(high)), return_index=True)[1]
+        t, found = t.take(pa.array(once)), [found[i] for i in once]
         sizes = np.cumsum([0, *(len(f) for f in found)])
         flat = np.concatenate(found) if found else np.empty(0, np.int64)
         return pa.table({"low": t.column("low"), "high": t.column("high"), "least": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), known.take(pa.array(flat, pa.int64())))})
@@ -186,7 +189,9 @@ def _least(segments: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         return _search(one, shards, F.col("anchor")), [one, hot]
     plain = _search(one.join(hot, "anchor", "left_anti"), shards, F.col("anchor"))
     single = save(_windows(one.join(hot, "anchor", "left_semi").select("low", "high", "id", "words")), "windows")
-    each = single.groupBy("low", "high").agg(F.min("id").alias("id"), F.first("words").alias("words"))
+    ends = single.groupBy("low", "high").agg(F.array_distinct(F.array(F.min("id"), F.max("id"))).alias("ids"), F.first("words").alias("words"))
+    each = ends.select("low", "high", F.explode("ids").alias("id"), "words")
+    shards = max(parts, -(-single.count() * (WINDOW + 1) // SHARD_WORDS))
     found = _search(each, shards, F.col("low")).select("low", "high", F.col("least")[0].alias("m"))
     back = single.select("seg_low", "seg_high", "k", "low", "high").join(found, ["low", "high"])
     back = back.groupBy(F.col("seg_low").alias("low"), F.col("seg_high").alias("high")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("least"))

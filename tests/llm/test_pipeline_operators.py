@@ -205,6 +205,16 @@ def test_repeated_ids_are_judged_by_their_own_text(spark):
     assert {(r["__id"], r["__starts"]) for r in got.collect()} == {("a", 3)}
 
 
+def test_shards_find_repeats_by_words_alone(spark):
+    rng = np.random.default_rng(77)
+    window, other = text(rng, 13), text(rng, 13)
+    # (low, high) only tell rows apart: a window stands with two ids, once more inside a longer segment
+    rows = [(1, 1, 9, window), (1, 1, 5, window), (2, 1, 3, f"x {window}"), (3, 1, 2, other)]
+    df = spark.createDataFrame([(low, high, i, w.encode()) for low, high, i, w in rows], "low long, high long, id long, words binary")
+    got = sorted((r.low, r.least) for r in substring_dedup._search(df, 1, F.lit(1)).collect())
+    assert got == [(1, [3]), (2, [3, 3]), (3, [2])]
+
+
 def test_substring_dedup_of_nothing(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
