@@ -9,7 +9,8 @@ Learning is one pass over all labelled texts and one step of expectation maximis
 piece probabilities: the forward-backward algorithm gives each piece's expected count in each
 language. All words of a slice of a batch advance together, byte by byte, and a word that
 repeats is computed once. Words that are so long that a product could leave the range of doubles are
-summed in logarithms; no run of letters is cut, however long it is (scripts without spaces).
+summed in logarithms; no run of letters is cut, however long it is (scripts without spaces). Of
+such a run both ways hold one block of positions at a time.
 
 Null texts and texts without a letter are `und` with score 0. Labels that are null are not
 learnt from; equal posteriors go to the language whose name sorts first. With nothing to
@@ -137,42 +138,58 @@ def log_probabilities(b: Bytes, start: np.ndarray, end: np.ndarray, table: Table
     return out
 
 
+def _forward(b: Bytes, start: np.ndarray, size: np.ndarray, table: Table, longest: int, block: tuple[int, int], before: np.ndarray, n_pieces: int, plain: bool) -> tuple[np.ndarray, list]:
+    """(alpha, matches) of a block's positions under equal piece probabilities; alpha begins with
+    `before`, its rows up to the block's first position."""
+    low, high = block
+    found = _matches(b, start, size, table, longest, low, high)
+    alpha = np.concatenate([before, np.full((high - low, before.shape[1]), 0.0 if plain else -np.inf)])
+    base, logp = low + 1 - len(before), -np.log(n_pieces)
+    for i, n, w, _ in found:
+        if plain:
+            alpha[i - base, w] += alpha[i - n - base, w] / n_pieces
+        else:
+            alpha[i - base, w] = np.logaddexp(alpha[i - base, w], alpha[i - n - base, w] + logp)
+    return alpha, found
+
+
 def expected_counts(b: Bytes, start: np.ndarray, end: np.ndarray, table: Table, longest: int, n_pieces: int, weight: np.ndarray) -> np.ndarray:
     """Expected piece counts (pieces x languages) under equal piece probabilities; `weight` has
-    each word's count in each language."""
+    each word's count in each language. Of words of several blocks, the way forward keeps the last
+    `longest` positions before each block, and the way back fills one block after the other anew."""
     out = np.zeros((n_pieces, weight.shape[1]))
     logp = -np.log(n_pieces)
     for own in _chunks(start, end, 4):
-        size, at = (end - start)[own], np.arange(len(own))
+        size = (end - start)[own]
         top = int(size[0])
         plain = top * logp > SAFE
         zero, one = (0.0, 1.0) if plain else (-np.inf, 0.0)
-        alpha = np.full((top + 1, len(own)), zero)
-        alpha[0] = one
         blocks = [(low, min(top, low + BLOCK)) for low in range(0, top, BLOCK)]
-        found: list = []
-        for low, high in blocks:
-            found = _matches(b, start[own], size, table, longest, low, high)
-            for i, n, w, _ in found:
-                if plain:
-                    alpha[i, w] += alpha[i - n, w] / n_pieces
-                else:
-                    alpha[i, w] = np.logaddexp(alpha[i, w], alpha[i - n, w] + logp)
-        beta = np.full_like(alpha, zero)
-        total = alpha[size, at]
-        beta[size, at] = one
-        for low, high in reversed(blocks):
-            if high < top:
-                found = _matches(b, start[own], size, table, longest, low, high)
+        ends = [np.flatnonzero((size > low) & (size <= high)) for low, high in blocks]
+        total, alpha, found = np.empty(len(own)), np.full((1, len(own)), one), []
+        edges = []
+        for block, done in zip(blocks, ends, strict=True):
+            edges.append(alpha[-longest:].copy())
+            alpha, found = _forward(b, start[own], size, table, longest, block, edges[-1], n_pieces, plain)
+            total[done] = alpha[size[done] - block[1] - 1, done]
+        late = np.full((1, len(own)), zero)  # beta of the last positions of a block, as later blocks leave it
+        for block, done, before in zip(reversed(blocks), reversed(ends), reversed(edges), strict=True):
+            if block[1] < top:
+                alpha, found = _forward(b, start[own], size, table, longest, block, before, n_pieces, plain)
+            beta, base = np.full_like(alpha, zero), block[0] + 1 - len(before)
+            beta[-len(late) :] = late
+            beta[size[done] - base, done] = one
             for i, n, w, t in reversed(found):  # pieces that end at i need beta[i] whole: later ends come first
+                i, j = i - base, i - n - base
                 if plain:
-                    share = alpha[i - n, w] * beta[i, w] / n_pieces / total[w]
-                    beta[i - n, w] += beta[i, w] / n_pieces
+                    share = alpha[j, w] * beta[i, w] / n_pieces / total[w]
+                    beta[j, w] += beta[i, w] / n_pieces
                 else:
-                    share = np.exp(alpha[i - n, w] + beta[i, w] + logp - total[w])
-                    beta[i - n, w] = np.logaddexp(beta[i - n, w], beta[i, w] + logp)
+                    share = np.exp(alpha[j, w] + beta[i, w] + logp - total[w])
+                    beta[j, w] = np.logaddexp(beta[j, w], beta[i, w] + logp)
                 for k in range(weight.shape[1]):
                     np.add.at(out[:, k], t, share * weight[own[w], k])
+            late = beta[: len(before)].copy()
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -580,6 +581,26 @@ def test_forward_algorithm_sums_all_segmentations(monkeypatch, block):
     assert (small[:, 0] > small[:, 1]).all()  # languages stay apart, however small the products
 
 
+def test_learning_from_long_runs_keeps_one_block(monkeypatch):
+    table, n, longest = language_id.pieces(language_id.vocabulary_path())
+    run = "東京都千代田区は日本の首都であり多くの人がいる" * 10
+
+    def learnt(times, block):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        b, _, _, start, end = language_id._words(pa.array([run * times + " " + run[:60] + " " + "ab" * 50]))
+        tracemalloc.start()
+        got = language_id.expected_counts(b, start, end, table, longest, n, np.ones((len(start), 1)))[:, 0]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, peak
+
+    whole, _ = learnt(2, 1 << 15)
+    for block in (20, 333, 1381):  # shorter than a piece, odd, all of the run
+        assert np.allclose(learnt(2, block)[0], whole, rtol=1e-9, atol=1e-12)
+    bytes_more = 6 * len(run.encode())
+    assert learnt(8, 330)[1] - learnt(2, 330)[1] < 8 * bytes_more  # 48 if all rows of the three words stayed
+
+
 @pytest.mark.parametrize("block", [1 << 15, 5])
 def test_expected_counts_are_those_of_all_segmentations(monkeypatch, block):
     monkeypatch.setattr(language_id, "BLOCK", block)
