@@ -30,16 +30,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.words import LOWER, Bytes, Store, Table, add_columns, byte_class, column, keep_only, own_store, prepare, slices
+from gridloom.llm.words import LOWER, Bytes, Store, Table, add_columns, byte_class, caches, column, drop_stores, empty, keep_only, own_store, prepare, slices
 
 UNKNOWN = "und"
 SMOOTHING = 0.05
-#: Cells (words x letters x languages) of a chunk, and positions of a word that are matched at once.
-CELLS, BLOCK = 1 << 22, 1 << 15
+#: Cells (words x letters x languages) of a chunk, and positions of a word that are matched at once. Matches
+#: take many times a chunk's own memory.
+CELLS, BLOCK = 1 << 19, 1 << 15
 #: Log of the smallest probability that is left to plain products.
 SAFE = -600.0
-#: Words whose probabilities a task keeps; when they are more, it starts anew.
-STORE = 1_000_000
+#: Numbers (words x languages) that a task keeps; when they are more, it starts anew.
+STORE = 2_000_000
+#: Words that are counted before they are segmented.
+COUNTED = 1 << 17
 LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 _FOLD = np.where(LETTER, LOWER, 32).astype(np.uint8)
 
@@ -58,6 +61,9 @@ def pieces(path: str) -> tuple[Table, int, int]:
     return Table(b.hashes(b.offs[:-1], b.offs[1:]), np.arange(len(own), dtype=np.int32)), len(own), max(map(len, own))
 
 
+caches.append(pieces.cache_clear)
+
+
 def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
     import public_tokenizers
 
@@ -199,7 +205,7 @@ class WordCounts:
 
     def __init__(self, path: str):
         self.table, self.n, self.longest = pieces(path)
-        self.index, self.words = Store(STORE), []
+        self.index, self.words = Store(2 * COUNTED), []
         self.weights: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.counts: dict[str, np.ndarray] = {}
         self.names: dict[str, int] = {}
@@ -221,7 +227,7 @@ class WordCounts:
         if len(self.names) > 4096:
             raise ValueError("more than 4096 languages")
         self.weights.append((key // 4096, key % 4096, n))
-        if len(self.words) > STORE // 4 or self.bytes > 1 << 25 or len(self.weights) > 256:
+        if len(self.words) > COUNTED or self.bytes > 1 << 25 or len(self.weights) > 256:
             self.flush()
 
     def flush(self) -> None:
@@ -234,7 +240,7 @@ class WordCounts:
             got = expected_counts(b, b.offs[:-1], b.offs[1:], self.table, self.longest, self.n, weight)
             for name, k in self.names.items():
                 self.counts[name] = self.counts.get(name, 0) + got[:, k]
-        self.index, self.words, self.weights, self.bytes = Store(STORE), [], [], 0
+        self.index, self.words, self.weights, self.bytes = Store(2 * COUNTED), [], [], 0
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", path: str | None = None) -> tuple[list[str], np.ndarray]:
@@ -254,6 +260,8 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", path:
         for name, c in counts.counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], names=["lang", "piece", "n"])
+        counts = batch = part = c = at = None
+        empty()
 
     prepare(docs.sparkSession)
     # rounded, so that the order of the sum doesn't show
@@ -279,7 +287,7 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
             return {"lang_pred": [UNKNOWN] * n, "score": [0.0] * n}
         table, _, longest = pieces(path)
         b, doc, word, start, end = _words(texts)
-        store, h = own_store(name, STORE), b.hashes(start, end)
+        store, h = own_store(name, STORE // len(langs)), b.hashes(start, end)
         each, missing = store.get(h, len(langs))
         if len(missing):
             each[missing] = log_probabilities(b, start[missing], end[missing], table, longest, shared.value)
@@ -293,7 +301,7 @@ def detect(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
             "score": np.where(letter, score, 0.0),
         }
 
-    return add_columns(docs, text_col, {"lang_pred": "string", "score": "double"}, fn)
+    return add_columns(docs, text_col, {"lang_pred": "string", "score": "double"}, fn, [drop_stores])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -22,6 +22,8 @@ from gridloom.cluster import ship_package
 SLICE_BYTES = 1 << 20
 #: Rows of a slice at most, and of an Arrow batch that a Python worker gets.
 SLICE_ROWS = 2048
+#: Bytes whose running sums are made at once.
+SUM_BYTES = 1 << 14
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -68,6 +70,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def mapped(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """table[data] for bytes and a table of 256 bytes or truth values."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 class Bytes:
     """UTF-8 bytes of a slice of documents: `data`, and `offs` with n + 1 entries."""
 
@@ -78,7 +85,7 @@ class Bytes:
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, dtype=np.uint8)[offs[0] : offs[-1]] if n and raw is not None else np.empty(0, np.uint8)
         self.n, self.raw, self.offs = n, data, offs - offs[0] if n else np.zeros(1, np.int64)
-        self.data = data if fold is None else fold[data]
+        self.data = data if fold is None else mapped(data, fold)
         self._sums: np.ndarray | None = None
 
     def doc(self, i: int) -> bytes:
@@ -86,7 +93,7 @@ class Bytes:
 
     def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, document) of maximal runs of bytes that `inside` marks."""
-        m = inside[self.data]
+        m = mapped(self.data, inside)
         before = np.empty_like(m)
         before[:1], before[1:] = False, m[:-1]
         after = np.empty_like(m)
@@ -95,13 +102,17 @@ class Bytes:
         before[cut] = False
         after[cut - 1] = False
         starts, ends = np.flatnonzero(m & ~before), np.flatnonzero(m & ~after) + 1
-        return starts, ends, np.searchsorted(self.offs, starts, side="right") - 1
+        return starts, ends, np.repeat(np.arange(self.n), np.diff(np.searchsorted(starts, self.offs)))
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of the byte ranges, equal for equal bytes wherever they stand."""
         if self._sums is None:
             self._sums = np.zeros(len(self.data) + 1, dtype=_U)
-            np.cumsum(_TABLE[self.data] * _power(_P, len(self.data)), dtype=_U, out=self._sums[1:])
+            power = _power(_P, len(self.data))
+            for k in range(0, len(self.data), SUM_BYTES):  # what stays in the processor's cache
+                part = _TABLE[self.data[k : k + SUM_BYTES]] * power[k : k + SUM_BYTES]
+                part[:1] += self._sums[k : k + 1]
+                np.cumsum(part, dtype=_U, out=self._sums[k + 1 : k + 1 + len(part)])
         h = (self._sums[ends] - self._sums[starts]) * _power(_P_INV, len(self.data) + 1)[starts]
         return mix(h + (ends - starts).astype(_U))
 
@@ -193,8 +204,8 @@ def add_columns(
                 new = fn(part)
                 cols = [*part.columns, *(pa.array(new[k], type=kinds[k]) if not isinstance(new[k], pa.Array) else new[k].cast(kinds[k]) for k in out)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names, *out])
-        if done:
-            empty(done)
+        batch = part = new = cols = None
+        empty(done)
 
     prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -215,6 +226,8 @@ def emit_rows(df: DataFrame, text_col: str, schema: str, fn: Callable[[pa.Record
                 new = fn(part)
                 if new is not None:
                     yield pa.RecordBatch.from_arrays([new[f.name] if isinstance(new[f.name], pa.Array) else pa.array(new[f.name], type=f.type) for f in arrow], schema=arrow)
+        batch = part = new = None
+        empty()
 
     prepare(df.sparkSession)
     return df.mapInArrow(run, kind)
@@ -289,7 +302,7 @@ class Store:
 _stores: dict[str, Store] = {}
 
 #: What empties a module's caches in this worker process.
-caches: list[Callable[[], object]] = [_stores.clear]
+caches: list[Callable[[], object]] = [_powers.clear, _stores.clear]
 _running: list[str] = [""]
 
 
@@ -302,15 +315,22 @@ def keep_only(module: str) -> None:
         _running[0] = module
 
 
-def empty(held: Sequence[Callable[[], object]]) -> None:
-    """Empties caches; what they freed goes back to the system where the C library can."""
+def empty(held: Sequence[Callable[[], object]] = ()) -> None:
+    """Empties caches. What they and a task have freed goes back to the system, as far as Arrow's pool and the C
+    library can: a worker process waits for its next task with what they keep."""
     for clear in held:
         clear()
-    gc.collect()
+    if held:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def drop_stores() -> None:
+    _stores.clear()
+
+
 def own_store(name: str, limit: int) -> Store:
     """This worker process' store for one model; another model's store goes."""
     if name not in _stores:
