@@ -99,9 +99,10 @@ def lists(d: np.ndarray, v: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, n
         if c > LARGEST:
             break
         inside = (own == c) | (own == c - 1) if c < LARGEST else own >= c - 1
-        e = np.flatnonzero(inside[d] & (size[d] > 2))  # sets of one or two shingles have no partner but copies
-        if not len(e):
+        inside &= size > 2  # sets of one or two shingles have no partner but copies
+        if not inside.any():
             continue
+        e = np.flatnonzero(inside[d])
         parts = PARTS if c == LARGEST else max(2, round((4 / 3) ** c / RETAINED))
         for split in range(-(-PARTS // parts)):
             docs.append(d[e])
@@ -167,25 +168,22 @@ def _compare(pairs: DataFrame, docs: DataFrame, classes: DataFrame, repeated: bo
 
     def fn(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         a, b = (column(batch, c).to_numpy() for c in "ab")
-        sets: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        for side, ids in (("ta", a), ("tb", b)):
-            uniq, at = np.unique(ids, return_index=True)
-            if side == "tb":
-                at = at[~np.isin(uniq, a)]
-            d, v = shingle_sets(column(batch, side).take(pa.array(at)))
-            sd, _, sv = sketch(d, v)
-            dv, ds = doc_bounds(d, len(at)), doc_bounds(sd, len(at))
-            for k, i in enumerate(at):
-                sets[ids[i]] = v[dv[k] : dv[k + 1]], np.sort(sv[ds[k] : ds[k + 1]])
-        common, total = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-        for i, (x, y) in enumerate(zip(a, b, strict=True)):
-            (va, sa), (vb, sb) = sets[x], sets[y]
-            estimate = union_estimate(sa, sb)
-            if estimate < PERCENT / 100 - MARGIN:
-                total[i] = -int(1e6 * (1 - estimate - MARGIN))
-                continue
-            common[i] = len(np.intersect1d(va, vb, assume_unique=True))
-            total[i] = len(va) + len(vb) - common[i]
+        heads, at = np.unique(a, return_index=True)
+        others, of = np.unique(b, return_index=True)
+        of, others = of[new := ~np.isin(others, heads)], others[new]
+        texts = pa.concat_arrays([column(batch, "ta").take(pa.array(at)), column(batch, "tb").take(pa.array(of))])
+        d, v = shingle_sets(texts)
+        nodes = np.concatenate([heads, others])
+        order = np.argsort(nodes)
+        x, y = (order[np.searchsorted(nodes[order], ids)] for ids in (a, b))
+        estimate = union_estimates(*sketch(d, v), len(nodes), x, y)
+        low = estimate < PERCENT / 100 - MARGIN
+        bounds = doc_bounds(d, len(nodes))
+        size = np.diff(bounds)
+        common = np.zeros(len(a), np.int64)
+        for i in np.flatnonzero(~low):
+            common[i] = in_both(v[bounds[x[i]] : bounds[x[i] + 1]], v[bounds[y[i]] : bounds[y[i] + 1]])
+        total = np.where(low, -(1e6 * (1 - estimate - MARGIN)).astype(np.int64), size[x] + size[y] - common)
         return {"a": a, "b": b, "common": common, "total": total}
 
     out = save(emit_rows(both, "ta", "a bigint, b bigint, common bigint, total bigint", fn), "compared")
@@ -201,6 +199,33 @@ def union_estimate(sa: np.ndarray, sb: np.ndarray) -> float:
     return float(both.mean()) if len(both) else 0.0
 
 
+def union_estimates(doc: np.ndarray, part: np.ndarray, value: np.ndarray, n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """union_estimate of the pairs (x, y) of n documents with these sketches (as `sketch` gives them)."""
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    kept = np.full((n * PARTS, RETAINED), none)
+    group = doc * PARTS + part
+    kept[group, _starts(group)[1]] = value
+    kept = kept.reshape(n, PARTS, RETAINED)
+    out = np.empty(len(x))
+    for k in range(0, len(x), 512):
+        v = np.sort(np.concatenate([kept[x[k : k + 512]], kept[y[k : k + 512]]], axis=2), axis=2)
+        again = np.zeros(v.shape, bool)
+        again[:, :, 1:] = v[:, :, 1:] == v[:, :, :-1]
+        # of each part the smallest different values
+        retained = (np.cumsum(~again, axis=2, dtype=np.int8) <= RETAINED) & (v != none)
+        both = (again & retained).sum(axis=(1, 2))
+        out[k : k + 512] = both / np.maximum((retained & ~again).sum(axis=(1, 2)), 1)
+    return out
+
+
+def in_both(a: np.ndarray, b: np.ndarray) -> int:
+    """Values that are in both of two sorted arrays of different values."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = np.searchsorted(a, b)
+    return int(np.count_nonzero(a[np.minimum(at, len(a) - 1)] == b)) if len(b) else 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the ids in edges (a, b): the smallest id that each can reach. Each
     round takes the smallest label around and follows labels' own labels; rounds end when

@@ -978,3 +978,22 @@ def test_probabilities_of_words_go_with_their_task(spark):
             yield pa.RecordBatch.from_arrays([pa.array([len(words._stores)])], names=["n"])
 
     assert {r.n for r in df.mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_pairs_are_estimated_in_bulk_as_one_by_one():
+    rng = np.random.default_rng(12)
+    sets = [np.unique(rng.integers(0, 3000 if k % 2 else 1 << 62, n).astype(np.uint64)) for k, n in enumerate([1, 3, 40, 200, 900, 901, 2500, 2501, 0])]
+    d, v = np.concatenate([np.full(len(s), k) for k, s in enumerate(sets)]), np.concatenate(sets)
+    x, y = (np.ravel(i) for i in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    own = [np.sort(near_dedup.sketch(np.zeros(len(s), np.int64), s)[2]) for s in sets]
+    got = near_dedup.union_estimates(*near_dedup.sketch(d, v), len(sets), x, y)
+    assert got.tolist() == [near_dedup.union_estimate(own[i], own[j]) for i, j in zip(x, y, strict=True)]
+    assert [near_dedup.in_both(sets[i], sets[j]) for i, j in zip(x, y, strict=True)] == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)]
+
+
+def test_sums_of_several_blocks_hash_like_one():
+    parts = ["a" * 9, "bé", "c" * 20_000, "d e", "x" * 40_000]
+    b = Bytes(pa.array([" ".join(parts), "", None, "bé d"]))
+    start, end, doc = b.runs(NOT_SPACE)
+    one = [int(Bytes(pa.array([w])).hashes(np.array([0]), np.array([len(w.encode())]))[0]) for w in [" ".join(parts), "bé d"] for w in w.split()]
+    assert b.hashes(start, end).tolist() == one and doc.tolist() == [0] * 6 + [3] * 2
