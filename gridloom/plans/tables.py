@@ -276,12 +276,18 @@ def _(i):
     return spatial.regrid(target, source, DEGREES, lon, lat).select("row", "col", "v")
 
 
+#: Beyond the centre of any cell of an INT row and column; a power of two, so that slanted edges between such points are not rounded.
+FAR = 2.0**40
+
+
 def _regions(spark):
+    """The SQL's regions, which have no end where it names none: everything west of an easting,
+    everything but a hole, and everything above a diagonal."""
     box = lambda x0, x1, y0, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
     rows = [
-        (1, None, "default", [box(0.0, 1350.0, -100000.0, 0.0)]),
-        (2, 1997, "with a hole", [box(0.0, 2700.0, -100000.0, 0.0), box(540.0, 1620.0, -1620.0, -540.0)]),
-        (3, 1999, "triangle", [[(0.0, 0.0), (2700.0, 0.0), (0.0, -2700.0)]]),
+        (1, None, "default", [box(-FAR, 1350.0, -FAR, FAR)]),
+        (2, 1997, "with a hole", [box(-FAR, FAR, -FAR, FAR), box(540.0, 1620.0, -1620.0, -540.0)]),
+        (3, 1999, "triangle", [[(-FAR, -FAR - 2700.0), (FAR, FAR - 2700.0), (-FAR, FAR - 2700.0)]]),
     ]
     return spark.createDataFrame(rows, "region_id int, year int, name string, rings array<array<struct<x: double, y: double>>>")
 

@@ -41,6 +41,29 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def shifted(folder, **keys):
+    """The smallest tables, of which some are repeated with a key shifted (table=(key, shifts)); and DuckDB on them."""
+    import duckdb
+
+    con = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        key, shifts = keys.get(p.stem, (None, ()))
+        if key:
+            con.execute(f"COPY (SELECT * REPLACE ({key} + s AS {key}) FROM '{p}', (SELECT unnest({list(shifts)}::BIGINT[]) AS s) x) TO '{folder / p.name}' (FORMAT parquet)")
+        else:
+            (folder / p.name).symlink_to(p)
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{folder / p.name}'")
+    return con
+
+
+def test_clip_has_no_end_where_sql_has_none(spark, tmp_path):
+    con = shifted(tmp_path, lineitem=("l_suppkey", (-4000, 0, 4000, 600_000, 21_474_836_470)))  # rows on both sides of 0, and up to the last INT
+    got = queries.queries()["c06_clip"](spark, str(tmp_path)).toPandas()
+    want = con.sql(queries.oracle_sql()["c06_clip"]).df()
+    assert got["row"].min() == -400 and got["row"].max() == 2**31 - 1
+    assert rows(got) == rows(want)
+
+
 def test_lags_and_rolling_share_one_shuffle(spark):
     plan = queries.queries()["c04_lags"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
