@@ -13,7 +13,8 @@ from gridloom.functions.sized import small
 
 @dataclass(frozen=True)
 class GridSpec:
-    """A regular grid: row 0 is the northernmost, (x0, y0) its north-western corner."""
+    """A regular grid: row 0 is the northernmost, (x0, y0) its north-western corner. `open` grids have
+    rows and columns beyond n_rows and n_cols and below 0, as far as a table has cells."""
 
     n_rows: int
     n_cols: int
@@ -22,6 +23,7 @@ class GridSpec:
     dx: float
     dy: float
     crs: str = "plain"
+    open: bool = False
 
     def easting(self, col: Column) -> Column:
         return F.lit(self.x0) + (col + 0.5) * self.dx
@@ -36,7 +38,7 @@ class GridSpec:
         return F.floor((F.lit(self.y0) - northing) / self.dy).cast("int")
 
     def inside(self, row: Column, col: Column) -> Column:
-        return row.between(0, self.n_rows - 1) & col.between(0, self.n_cols - 1)
+        return F.lit(True) if self.open else row.between(0, self.n_rows - 1) & col.between(0, self.n_cols - 1)
 
     def cell_id(self, row: Column, col: Column) -> Column:
         return row.cast("long") * self.n_cols + col

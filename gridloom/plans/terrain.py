@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from gridloom.operators.spatial import regrid
@@ -124,4 +126,4 @@ def _(i):
 def _(i):
     made = _metric(i, "tpi").join(i.dem, ["row", "col"])
     target = i.annual.select("row", "col", "year", ((F.col("col") * 2 + 1.5) * 270.0).alias("easting"), (-(F.col("row") * 2 + 1.5) * 270.0).alias("northing"))
-    return regrid(target, made, PARTS, values=["tpi", "elevation"]).select("row", "col", "year", "tpi", "elevation")
+    return regrid(target, made, replace(PARTS, open=True), values=["tpi", "elevation"]).select("row", "col", "year", "tpi", "elevation")

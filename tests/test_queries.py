@@ -64,6 +64,14 @@ def test_clip_has_no_end_where_sql_has_none(spark, tmp_path):
     assert rows(got) == rows(want)
 
 
+def test_terrain_on_grid_takes_any_cell_with_elevation(spark, tmp_path):
+    con = shifted(tmp_path, lineitem=("l_suppkey", (-4000, 0, 4000, 600_000)), part=("p_partkey", (-40_000, 0, 40_000, 6_000_000)))  # parts' rows from -800, 0, 800 and 120,000 on
+    got = queries.queries()["i09_terrain_on_grid"](spark, str(tmp_path)).toPandas()
+    want = con.sql(queries.oracle_sql()["i09_terrain_on_grid"]).df()
+    assert set(got.loc[got["elevation"].notna(), "row"]) == {-400, 0, 400, 60_000}
+    assert rows(got) == rows(want)
+
+
 def test_lags_and_rolling_share_one_shuffle(spark):
     plan = queries.queries()["c04_lags"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
